@@ -1,0 +1 @@
+"""Readers and writers: log lines, XML records, indicator lists, event store, audit tables."""
