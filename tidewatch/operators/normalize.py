@@ -20,18 +20,28 @@ from tidewatch.operators.techniques import BUILTIN_RULES, technique_ids
 from tidewatch.registry import REQUIRED_FIELDS, FieldRegistry
 
 
+_TIMES = ("time", "metadata.original_time")
+
+
 @dataclass(frozen=True)
 class FieldMapping:
     """How the raw fields of one format fill the events of one class.
 
-    ``fields`` maps raw name -> event path. ``constants`` fills paths no raw field
+    ``fields`` maps raw name -> event path, or several paths. ``constants`` fills paths no raw field
     provides. ``time_formats`` are tried after epoch seconds and ISO 8601.
     """
 
-    fields: Mapping[str, str]
+    fields: Mapping[str, str | tuple[str, ...]]
     constants: Mapping[str, Any] = field(default_factory=dict)
     time_formats: tuple[str, ...] = ()
 
+    def pairs(self) -> list[tuple[str, str]]:
+        return [
+            (raw, path)
+            for raw, paths in self.fields.items()
+            for path in ((paths,) if isinstance(paths, str) else paths)
+        ]
+
 
 class MappingRegistry:
     """(format, class) -> mapping; each pair is registered once."""
@@ -72,7 +82,7 @@ class MappingRegistry:
             3001,
             FieldMapping(
                 {
-                    "ts": "time",
+                    "ts": _TIMES,
                     "id.orig_h": "src_endpoint.ip",
                     "id.orig_p": "src_endpoint.port",
                     "id.resp_h": "dst_endpoint.ip",
@@ -92,7 +102,7 @@ class MappingRegistry:
             FieldMapping(
                 {
                     "client_ip": "src_endpoint.ip",
-                    "time": "time",
+                    "time": _TIMES,
                     "method": "http.request.method",
                     "uri": "http.request.url.path",
                     "status": "http.response.code",
@@ -105,7 +115,7 @@ class MappingRegistry:
             ),
         )
         windows = {
-            "TimeCreated": "time",
+            "TimeCreated": _TIMES,
             "SubjectUserName": "actor.user.name",
             "SubjectUserSid": "actor.user.uid",
         }
@@ -146,7 +156,7 @@ class MappingRegistry:
             "syslog",
             1001,
             FieldMapping(
-                {"timestamp": "time", "message": "message"},
+                {"timestamp": _TIMES, "message": "message"},
                 {**unknown, "metadata.log_source": "syslog", "_year": year},
                 ("yyyy MMM d HH:mm:ss",),
             ),
@@ -167,13 +177,13 @@ FORMAT_CHOICES = {
 
 def dropped_fields(mapping: FieldMapping, class_uid: int, registry: FieldRegistry) -> list[str]:
     """Raw names whose path the class does not have; they are left out."""
-    return [raw for raw, path in mapping.fields.items() if not registry.is_valid_field(path, class_uid)]
+    return [raw for raw, path in mapping.pairs() if not registry.is_valid_field(path, class_uid)]
 
 
 def _raw_columns(parsed: DataFrame, mapping: FieldMapping, class_uid: int, registry: FieldRegistry) -> dict[str, Column]:
     """Event path -> raw text. Of several raw names for a path, the last non-null wins."""
     by_path: dict[str, list[Column]] = {}
-    for raw_name, path in mapping.fields.items():
+    for raw_name, path in mapping.pairs():
         if not registry.is_valid_field(path, class_uid):
             continue
         if raw_name == "timestamp" and "_year" in mapping.constants:
@@ -211,20 +221,18 @@ def normalize(
     values: dict[str, Column] = {}
     for path, column in raw.items():
         values[path] = to_registry_type(column, registry.get_field_definition(path).spark_type)
-    # one projection reads the raw fields, the next ones only look at typed columns
     values["class_uid"] = F.lit(class_uid)
     values["activity_id"] = parse_int(raw.get("activity_id", null))
     values["severity_id"] = parse_int(raw.get("severity_id", null))
     values["time"] = F.coalesce(moment, F.lit(ingest_time))
-    default_original = raw.get("metadata.original_time", raw.get("time", null))
-    values["metadata.log_source"] = F.coalesce(F.nullif(raw.get("metadata.log_source", null), F.lit("")), F.lit("unknown"))
-    values["metadata.original_time"] = F.coalesce(F.nullif(default_original, F.lit("")), F.lit("unknown"))
-    values["mitre_technique_ids"] = null
+    for path in ("metadata.log_source", "metadata.original_time"):
+        values[path] = F.coalesce(F.nullif(raw.get(path, null), F.lit("")), F.lit("unknown"))
+    values.pop("mitre_technique_ids", None)
     events = parsed.select(
         *[c for c in parsed.columns if c != "raw"],
         F.col("raw").isNotNull().alias("is_parsed"),
         (F.col("raw").isNotNull() & moment.isNull()).alias("time_fallback"),
-        *event_columns({**values, "mitre_technique_ids": F.lit(None)}, registry),
+        *event_columns(values, registry),
     )
     found = technique_ids(rules, class_uid)
     return events.withColumn("is_valid", F.col("is_parsed") & row_is_valid()).withColumn(

@@ -46,20 +46,29 @@ _FLAGS = "(?dU)"
 _MARK = "\x01"
 
 
-def _groups(text: Column, pattern: str, count: int) -> Column:
-    """All groups of a whole-line pattern as an array; null where it does not match."""
+def _with_groups(lines: DataFrame, pattern: str, count: int) -> DataFrame:
+    """Add ``_g``: all groups of a whole-line pattern; null where it does not match.
+
+    The steps are separate projections, so the match is computed once per line.
+    Lines that hold the mark themselves take one match per group instead.
+    """
     pattern = _FLAGS + pattern
-    joined = F.regexp_replace(text, pattern, _MARK.join(f"${i}" for i in range(1, count + 1)))
-    marked = F.split(joined, _MARK)
+    text = F.col("_t")
     one_by_one = F.when(
         text.rlike(pattern), F.array(*[F.regexp_extract(text, pattern, i) for i in range(1, count + 1)])
     )
-    return F.when(F.contains(text, F.lit(_MARK)), one_by_one).otherwise(F.when(F.size(marked) == count, marked))
+    joined = F.regexp_replace(text, pattern, _MARK.join(f"${i}" for i in range(1, count + 1)))
+    return (
+        lines.withColumn("_t", strip(F.col("value")))
+        .withColumn("_m", F.split(joined, _MARK))
+        .withColumn("_g", F.when(F.contains(text, F.lit(_MARK)), one_by_one).when(F.size("_m") == count, F.col("_m")))
+        .drop("_t", "_m")
+    )
 
 
 def parse_syslog(lines: DataFrame) -> DataFrame:
     """RFC 3164 lines; priority and pid are optional."""
-    split = lines.withColumn("_g", _groups(strip(F.col("value")), SYSLOG_PATTERN, len(SYSLOG_FIELDS)))
+    split = _with_groups(lines, SYSLOG_PATTERN, len(SYSLOG_FIELDS))
     part = {name: F.col("_g")[i] for i, name in enumerate(SYSLOG_FIELDS)}
     part["priority"] = blank_to_null(part["priority"])
     part["pid"] = blank_to_null(part["pid"])
@@ -70,7 +79,7 @@ def parse_syslog(lines: DataFrame) -> DataFrame:
 
 def parse_apache(lines: DataFrame) -> DataFrame:
     """Common and combined access-log lines; "-" is null except in time and status."""
-    split = lines.withColumn("_g", _groups(strip(F.col("value")), APACHE_PATTERN, len(APACHE_FIELDS)))
+    split = _with_groups(lines, APACHE_PATTERN, len(APACHE_FIELDS))
     split = split.withColumn("_request", F.split(F.col("_g")[4], " ", 3))
     part = {name: F.col("_g")[i] for i, name in enumerate(APACHE_FIELDS)}
 
@@ -218,7 +227,7 @@ def parse_zeek(lines: DataFrame, fields: list[str] | None = None) -> DataFrame:
 
 # -- Windows event XML --------------------------------------------------------
 
-_EVENT_XML = T.StructType.fromDDL(
+_EVENT_XML = (
     "System struct<EventID: struct<_VALUE: string, _Qualifiers: string>, "
     "TimeCreated: struct<_SystemTime: string, _VALUE: string>, Computer: string, Channel: string>, "
     "EventData struct<Data: array<struct<_Name: string, _VALUE: string>>>"
@@ -230,7 +239,7 @@ def parse_evtx(records: DataFrame) -> DataFrame:
     options = {"mode": "PERMISSIVE", "ignoreNamespace": "true", "ignoreSurroundingSpaces": "false"}
     text = strip(F.col("value"))
     is_event = F.contains(text, F.lit(EVENT_XML_NAMESPACE))
-    parsed = records.withColumn("_x", F.when(is_event, F.from_xml(text, _EVENT_XML.simpleString(), options)))
+    parsed = records.withColumn("_x", F.when(is_event, F.from_xml(text, _EVENT_XML, options)))
     system = F.col("_x.System")
 
     def pair(name: Column, value: Column) -> Column:

@@ -1,0 +1 @@
+"""Whole jobs: ingest, investigation, behaviour, backtest."""
