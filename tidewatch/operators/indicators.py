@@ -38,8 +38,13 @@ def look_up(events: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
     marked = events
     for i, path in enumerate(MATCH_FIELDS):
         side = wanted.select(F.col("ioc").alias(f"_ioc{i}"))
-        side = F.broadcast(side) if small else side
-        marked = marked.join(side, _field(path) == F.col(f"_ioc{i}"), "left")
+        if small:
+            side, key = F.broadcast(side), _field(path)
+        else:
+            # rows without the field would all meet in one shuffle partition
+            spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("time", "metadata"), F.lit(4096)).cast("string"))
+            key = F.coalesce(_field(path), spread)
+        marked = marked.join(side, key == F.col(f"_ioc{i}"), "left")
     hits = [F.when(F.col(f"_ioc{i}").isNotNull(), F.col(p).cast("string")) for i, p in enumerate(MATCH_FIELDS)]
     return marked.withColumn("ioc_matches", F.array_compact(F.array(*hits))).drop(
         *[f"_ioc{i}" for i in range(len(MATCH_FIELDS))]

@@ -215,12 +215,21 @@ def normalize(
     """
     registry = registry or FieldRegistry.default()
     registry.check_class(class_uid)
-    raw = _raw_columns(parsed, mapping, class_uid, registry)
+    # Plain text columns first: later steps read each of them several times, and a
+    # field taken out of a struct would be computed anew each time.
+    kept = [c for c in parsed.columns if c not in ("raw", "is_parsed")]
+    source = _raw_columns(parsed, mapping, class_uid, registry)
+    texts = parsed.select(
+        *kept,
+        "is_parsed",
+        *[column.alias(f"_raw{i}") for i, column in enumerate(source.values())],
+    )
+    raw = {path: F.col(f"_raw{i}") for i, path in enumerate(source)}
     null = F.lit(None).cast("string")
     moment = parse_time(raw.get("time", null), mapping.time_formats)
-    values: dict[str, Column] = {}
-    for path, column in raw.items():
-        values[path] = to_registry_type(column, registry.get_field_definition(path).spark_type)
+    values: dict[str, Column] = {
+        path: to_registry_type(column, registry.get_field_definition(path).spark_type) for path, column in raw.items()
+    }
     values["class_uid"] = F.lit(class_uid)
     values["activity_id"] = parse_int(raw.get("activity_id", null))
     values["severity_id"] = parse_int(raw.get("severity_id", null))
@@ -228,10 +237,10 @@ def normalize(
     for path in ("metadata.log_source", "metadata.original_time"):
         values[path] = F.coalesce(F.nullif(raw.get(path, null), F.lit("")), F.lit("unknown"))
     values.pop("mitre_technique_ids", None)
-    events = parsed.select(
-        *[c for c in parsed.columns if c != "raw"],
-        F.col("raw").isNotNull().alias("is_parsed"),
-        (F.col("raw").isNotNull() & moment.isNull()).alias("time_fallback"),
+    events = texts.select(
+        *kept,
+        "is_parsed",
+        (F.col("is_parsed") & moment.isNull()).alias("time_fallback"),
         *event_columns(values, registry),
     )
     found = technique_ids(rules, class_uid)

@@ -1,8 +1,8 @@
 """Log lines to raw fields.
 
-Every parser takes a DataFrame with a text column ``value`` and adds ``raw``: a
-struct (fixed layouts) or a map (self-describing layouts) of text fields, null
-where the line does not parse. A line's regular expression runs once; its groups
+Every parser takes a DataFrame with a text column ``value`` and adds ``is_parsed``
+and ``raw``: a struct (fixed layouts) or a map (self-describing layouts) of text
+fields, null where the line does not parse. A line's regular expression runs once; its groups
 are joined by a control character and split, instead of one match per field.
 """
 
@@ -47,21 +47,21 @@ _MARK = "\x01"
 
 
 def _with_groups(lines: DataFrame, pattern: str, count: int) -> DataFrame:
-    """Add ``_g``: all groups of a whole-line pattern; null where it does not match.
+    """Add ``is_parsed`` and ``_g``, all groups of a whole-line pattern.
 
     The steps are separate projections, so the match is computed once per line.
     Lines that hold the mark themselves take one match per group instead.
     """
     pattern = _FLAGS + pattern
     text = F.col("_t")
-    one_by_one = F.when(
-        text.rlike(pattern), F.array(*[F.regexp_extract(text, pattern, i) for i in range(1, count + 1)])
-    )
+    has_mark = F.contains(text, F.lit(_MARK))
+    one_by_one = F.array(*[F.regexp_extract(text, pattern, i) for i in range(1, count + 1)])
     joined = F.regexp_replace(text, pattern, _MARK.join(f"${i}" for i in range(1, count + 1)))
     return (
         lines.withColumn("_t", strip(F.col("value")))
         .withColumn("_m", F.split(joined, _MARK))
-        .withColumn("_g", F.when(F.contains(text, F.lit(_MARK)), one_by_one).when(F.size("_m") == count, F.col("_m")))
+        .withColumn("is_parsed", F.coalesce(F.when(has_mark, text.rlike(pattern)).otherwise(F.size("_m") == count), F.lit(False)))
+        .withColumn("_g", F.when(has_mark, one_by_one).otherwise(F.col("_m")))
         .drop("_t", "_m")
     )
 
@@ -69,19 +69,19 @@ def _with_groups(lines: DataFrame, pattern: str, count: int) -> DataFrame:
 def parse_syslog(lines: DataFrame) -> DataFrame:
     """RFC 3164 lines; priority and pid are optional."""
     split = _with_groups(lines, SYSLOG_PATTERN, len(SYSLOG_FIELDS))
-    part = {name: F.col("_g")[i] for i, name in enumerate(SYSLOG_FIELDS)}
+    part = {name: F.get(F.col("_g"), F.lit(i)) for i, name in enumerate(SYSLOG_FIELDS)}
     part["priority"] = blank_to_null(part["priority"])
     part["pid"] = blank_to_null(part["pid"])
     part["process"] = strip(part["process"])
     raw = F.struct(*[part[name].alias(name) for name in SYSLOG_FIELDS])
-    return split.withColumn("raw", F.when(F.col("_g").isNotNull(), raw)).drop("_g")
+    return split.withColumn("raw", F.when(F.col("is_parsed"), raw)).drop("_g")
 
 
 def parse_apache(lines: DataFrame) -> DataFrame:
     """Common and combined access-log lines; "-" is null except in time and status."""
     split = _with_groups(lines, APACHE_PATTERN, len(APACHE_FIELDS))
-    split = split.withColumn("_request", F.split(F.col("_g")[4], " ", 3))
-    part = {name: F.col("_g")[i] for i, name in enumerate(APACHE_FIELDS)}
+    split = split.withColumn("_request", F.split(F.get(F.col("_g"), F.lit(4)), " ", 3))
+    part = {name: F.get(F.col("_g"), F.lit(i)) for i, name in enumerate(APACHE_FIELDS)}
 
     def dash_to_null(c: Column) -> Column:
         return F.nullif(c, F.lit("-"))
@@ -103,7 +103,7 @@ def parse_apache(lines: DataFrame) -> DataFrame:
         unquote(part["referer"]).alias("referer"),
         unquote(part["user_agent"]).alias("user_agent"),
     )
-    return split.withColumn("raw", F.when(F.col("_g").isNotNull(), raw)).drop("_g", "_request")
+    return split.withColumn("raw", F.when(F.col("is_parsed"), raw)).drop("_g", "_request")
 
 
 # -- Zeek --------------------------------------------------------------------
@@ -124,25 +124,29 @@ def _zeek_fixed(lines: DataFrame, fields: list[str]) -> DataFrame:
     last = {name: i for i, name in enumerate(fields)}  # a repeated name keeps its last value
     split = lines.withColumn("_p", F.when(_is_data(), _zeek_parts()))
     raw = F.struct(*[F.nullif(F.get(F.col("_p"), F.lit(last[n])), F.lit("-")).alias(n) for n in names])
-    return split.withColumn("raw", F.when(F.size("_p") == len(fields), raw)).drop("_p")
+    fits = F.coalesce(F.size("_p") == len(fields), F.lit(False))
+    return split.withColumn("is_parsed", fits).withColumn("raw", F.when(F.col("is_parsed"), raw)).drop("_p")
 
 
 def _zeek_mapped(lines: DataFrame) -> DataFrame:
     """Lines carry their own column list in ``_fields``."""
     split = lines.withColumn("_p", F.when(_is_data(), _zeek_parts()))
     pairs = F.arrays_zip(F.col("_fields").alias("k"), F.col("_p").alias("v"))
-    raw = _last_wins(F.transform(pairs, lambda p: F.struct(p["k"].alias("k"), F.nullif(p["v"], F.lit("-")).alias("v"))))
-    fits = F.size("_p") == F.size("_fields")
-    return split.withColumn("raw", F.when(fits, raw)).drop("_p", "_fields")
+    dashed = F.transform(pairs, lambda p: F.struct(p["k"].alias("k"), F.nullif(p["v"], F.lit("-")).alias("v")))
+    fits = F.coalesce(F.size("_p") == F.size("_fields"), F.lit(False))
+    return _map_last_wins(split.withColumn("is_parsed", fits).withColumn("_pairs", dashed)).drop("_p", "_fields")
 
 
-def _last_wins(pairs: Column) -> Column:
-    """Map from (k, v) pairs; a later value replaces an earlier one of the same key."""
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    values = F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"])
-    return F.when(
-        F.size(keys) == F.size(pairs), F.map_from_arrays(keys, F.transform(pairs, lambda p: p["v"]))
-    ).otherwise(F.map_from_arrays(keys, values))
+def _map_last_wins(rows: DataFrame) -> DataFrame:
+    """``raw``, a map, from the (k, v) ``_pairs`` of parsed rows; a later value replaces an earlier one."""
+    pairs, keys = F.col("_pairs"), F.col("_keys")
+    last = F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"])
+    values = F.when(F.size(keys) == F.size(pairs), F.transform(pairs, lambda p: p["v"])).otherwise(last)
+    return (
+        rows.withColumn("_keys", F.array_distinct(F.transform(pairs, lambda p: p["k"])))
+        .withColumn("raw", F.when(F.col("is_parsed"), F.map_from_arrays(keys, values)))
+        .drop("_pairs", "_keys")
+    )
 
 
 def zeek_header_blocks(lines: DataFrame) -> DataFrame:
@@ -253,8 +257,8 @@ def parse_evtx(records: DataFrame) -> DataFrame:
     )
     named = F.filter(F.col("_x.EventData.Data"), lambda d: F.coalesce(d["_Name"], F.lit("")) != "")
     pairs = F.concat(fixed, F.coalesce(F.transform(named, lambda d: pair(d["_Name"], d["_VALUE"])), F.slice(fixed, 1, 0)))
-    valid = blank_to_null(system["EventID"]["_VALUE"]).isNotNull()
-    return parsed.withColumn("raw", F.when(valid, _last_wins(pairs))).drop("_x")
+    valid = F.coalesce(system["EventID"]["_VALUE"] != "", F.lit(False))
+    return _map_last_wins(parsed.withColumn("is_parsed", valid).withColumn("_pairs", pairs)).drop("_x")
 
 
 def raw_field(schema: T.StructType, name: str) -> Column:
@@ -283,4 +287,4 @@ def parse(lines: DataFrame, source_format: str, **options) -> DataFrame:
 
 def split_parsed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows that parsed, rows that did not)."""
-    return parsed.where(F.col("raw").isNotNull()), parsed.where(F.col("raw").isNull())
+    return parsed.where("is_parsed"), parsed.where("NOT is_parsed")

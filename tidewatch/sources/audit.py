@@ -6,10 +6,12 @@ import sys
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.sources.paths import path_exists
+
 SCHEMAS = {
     "query_audit": "entry_id string, session_id string, sql_template string, event_class int, success boolean, "
     "row_count bigint, latency_ms double, failure_reason string, executed_at timestamp",
@@ -42,12 +44,9 @@ class AuditLog:
         return self.spark.createDataFrame([], SCHEMAS[table])
 
     def read(self, table: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
-        except AnalysisException as err:
-            if "PATH_NOT_FOUND" in (err.getCondition() or ""):
-                return self.empty(table)
-            raise
+        if not path_exists(self.spark, self.path(table)):
+            return self.empty(table)
+        return self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
 
     def _one(self, table: str, *values) -> None:
         row = self.spark.createDataFrame([(uuid.uuid4().hex, *values)], SCHEMAS[table])

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators.baselines import upsert_baselines
+from tidewatch.sources.paths import path_exists
 
 SCHEMA = (
     "entity_type string, entity_value string, metric_name string, class_uid int, mean double, stddev double, "
@@ -27,33 +27,33 @@ class BaselineStore:
         self.spark = spark
         self.root = str(root).rstrip("/")
 
-    def _pointer(self) -> str | None:
-        try:
-            rows = self.spark.read.schema("version string, position bigint").parquet(f"{self.root}/current")
-        except AnalysisException as err:
-            if "PATH_NOT_FOUND" in (err.getCondition() or ""):
-                return None
-            raise
-        newest = rows.agg(F.max_by("version", "position").alias("v"), F.max("position").alias("p")).first()
-        self._position = newest.p or 0
-        return newest.v
+    def _current(self) -> tuple[str | None, int]:
+        """(version in force, its position)."""
+        path = f"{self.root}/current"
+        if not path_exists(self.spark, path):
+            return None, 0
+        pointers = self.spark.read.schema("version string, position bigint").parquet(path)
+        newest = pointers.agg(F.max_by("version", "position").alias("v"), F.max("position").alias("p")).first()
+        return newest.v, newest.p or 0
 
-    def read(self) -> DataFrame:
-        version = self._pointer()
+    def _version(self, version: str | None) -> DataFrame:
         if version is None:
-            self._position = 0
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).parquet(f"{self.root}/versions/{version}")
 
+    def read(self) -> DataFrame:
+        return self._version(self._current()[0])
+
     def upsert(self, computed: DataFrame) -> DataFrame:
         """Replace the recomputed keys, keep the others; returns the new content."""
         names = [part.split()[0] for part in SCHEMA.split(", ")]
-        merged = upsert_baselines(self.read(), computed).select(*names)
+        current, position = self._current()
+        merged = upsert_baselines(self._version(current), computed).select(*names)
         version = uuid.uuid4().hex
         merged.write.parquet(f"{self.root}/versions/{version}")
-        pointer = self.spark.createDataFrame([(version, self._position + 1)], "version string, position bigint")
+        pointer = self.spark.createDataFrame([(version, position + 1)], "version string, position bigint")
         pointer.coalesce(1).write.mode("append").parquet(f"{self.root}/current")
-        return self.read()
+        return self._version(version)
 
     def get_baseline(self, entity_type: str, entity_value: str, metric_name: str, class_uid: int):
         for name, value in (

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.errors import RuleNotConfirmedError, RuleNotFoundError
 from tidewatch.operators import rules as ops
 from tidewatch.sources.audit import AuditLog
+from tidewatch.sources.paths import path_exists
 
 _SUBMISSIONS = "rule_id string, yaml_content string, submitted_at timestamp"
 _CONFIRMATIONS = "rule_id string, version int, confirmed_at timestamp"
@@ -40,12 +40,10 @@ class RuleStore:
         self.audit = audit
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        except AnalysisException as err:
-            if "PATH_NOT_FOUND" in (err.getCondition() or ""):
-                return self.spark.createDataFrame([], schema)
-            raise
+        path = f"{self.root}/{name}"
+        if not path_exists(self.spark, path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path)
 
     def _append(self, name: str, schema: str, *row) -> None:
         self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{self.root}/{name}")

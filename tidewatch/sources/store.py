@@ -12,14 +12,14 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.errors import PartitionNotFoundError, ReplaySessionNotFoundError
-from tidewatch.registry import SUPPORTED_CLASSES, FieldRegistry
+from tidewatch.registry import FieldRegistry
 from tidewatch.sources.audit import AuditLog
+from tidewatch.sources.paths import partition_values, path_exists
 
 _SAFE_NAME = re.compile(r"[A-Za-z0-9._-]+")
 
@@ -66,29 +66,24 @@ class EventStore:
     def event_schema(self) -> T.StructType:
         return self.registry.struct_type()
 
-    def _read(self, schema: T.StructType, base: str, *paths: str) -> DataFrame | None:
-        """Parquet at the paths, or None where they do not exist; analysis only, no job."""
-        try:
-            return self.spark.read.schema(schema).option("basePath", base).parquet(*(paths or (base,)))
-        except AnalysisException as err:
-            if "PATH_NOT_FOUND" in (err.getCondition() or ""):
-                return None
-            raise
+    def _read(self, schema: T.StructType, base: str, path: str | None = None) -> DataFrame | None:
+        """Parquet at the path, or None where it does not exist."""
+        if not path_exists(self.spark, path or base):
+            return None
+        return self.spark.read.schema(schema).option("basePath", base).parquet(path or base)
 
-    def _read_events(self, base: str, *paths: str, extra: tuple[str, ...] = ()) -> DataFrame | None:
+    def _read_events(self, base: str, path: str | None = None, extra: tuple[str, ...] = ()) -> DataFrame | None:
         schema = self.event_schema()
         for name in extra:
             schema = schema.add(name, "string")
-        read = self._read(schema, base, *paths)
+        read = self._read(schema, base, path)
         return None if read is None else read.select(*self.event_schema().names, *extra)
 
     # -- reading ---------------------------------------------------------
     def available_partitions(self) -> list[int]:
-        return sorted(
-            uid
-            for uid in SUPPORTED_CLASSES
-            if self._read_events(self.events_root, self.partition_path(uid)) is not None
-        )
+        """Stored classes, ascending; folders that name no class are skipped."""
+        names = partition_values(self.spark, self.events_root, "class_uid")
+        return sorted(int(name) for name in names if name.isdecimal())
 
     def scan(self, class_uid: int, include_replay: bool = False, session_id: str | None = None) -> DataFrame:
         """Events of one class; with a session also that session's replayed events."""
@@ -104,10 +99,10 @@ class EventStore:
 
     def scan_all(self) -> DataFrame:
         """Events of every class."""
-        paths = [self.partition_path(uid) for uid in self.available_partitions()]
-        if not paths:
+        events = self._read_events(self.events_root)
+        if events is None:
             raise PartitionNotFoundError(f"no events stored below {self.events_root}")
-        return self._read_events(self.events_root, *paths)
+        return events
 
     def scan_replay(self, session_id: str, must_exist: bool = True) -> DataFrame | None:
         session_id = _safe(session_id, "session_id")

@@ -16,7 +16,12 @@ LATE = "10 minutes"
 
 
 def stream_timeline(events: DataFrame, bucket_minutes: int = 60, late: str = LATE) -> DataFrame:
-    """(window_start, count) per tumbling window; rows later than the watermark are dropped."""
+    """(window_start, count) per tumbling window; rows later than the watermark are dropped.
+
+    The batch grid restarts at midnight, so only widths that divide a day agree with it.
+    """
+    if bucket_minutes < 1 or 1440 % bucket_minutes:
+        raise ValueError(f"bucket_minutes must divide a day, got {bucket_minutes}")
     return (
         events.withWatermark("time", late)
         .groupBy(F.window("time", f"{bucket_minutes} minutes"))
