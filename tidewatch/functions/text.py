@@ -35,3 +35,13 @@ def to_double(c: Column) -> Column:
 def iso_utc(c: Column) -> Column:
     """``yyyy-MM-ddTHH:mm:ssZ`` text of an instant (session zone UTC)."""
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def evaluated_once(condition: Column) -> Column:
+    """The same condition, but a filter on it is not pushed below the step that computes it.
+
+    Pushing would repeat costly parsing once for the filter and once for the
+    columns. A filter never moves past an expression that is not deterministic;
+    the partition id is the cheapest such expression.
+    """
+    return condition & (F.spark_partition_id() >= 0)
