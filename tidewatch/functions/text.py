@@ -37,11 +37,12 @@ def iso_utc(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def evaluated_once(condition: Column) -> Column:
-    """The same condition, but a filter on it is not pushed below the step that computes it.
+def pinned(c: Column) -> Column:
+    """The same value, but later filters stay above the step that computes it.
 
-    Pushing would repeat costly parsing once for the filter and once for the
-    columns. A filter never moves past an expression that is not deterministic;
-    the partition id is the cheapest such expression.
+    Pushing a filter on a costly column below its step would compute it again,
+    once per mention. A filter never moves past an expression that is not
+    deterministic; the partition id is the cheapest such expression. Filters on
+    plain columns are held back too, so apply those first.
     """
-    return condition & (F.spark_partition_id() >= 0)
+    return F.when(F.spark_partition_id() >= 0, c)

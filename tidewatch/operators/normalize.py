@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidewatch.errors import UnregisteredFormatError
 from tidewatch.functions.coerce import parse_int, parse_time, to_registry_type
 from tidewatch.functions.ipaddr import is_ip
-from tidewatch.functions.text import evaluated_once, strip
+from tidewatch.functions.text import pinned, strip
 from tidewatch.operators.events import event_columns
 from tidewatch.operators.parse import format_name, raw_field
 from tidewatch.operators.techniques import BUILTIN_RULES, technique_ids
@@ -244,7 +244,7 @@ def normalize(
         *event_columns(values, registry),
     )
     found = technique_ids(rules, class_uid)
-    return events.withColumn("is_valid", evaluated_once(F.col("is_parsed") & row_is_valid())).withColumn(
+    return events.withColumn("is_valid", pinned(F.col("is_parsed") & row_is_valid())).withColumn(
         "mitre_technique_ids", F.when(F.col("is_valid") & (F.size(found) > 0), found)
     )
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.errors import UnregisteredFormatError
-from tidewatch.functions.text import blank_to_null, evaluated_once, strip
+from tidewatch.functions.text import blank_to_null, pinned, strip
 from tidewatch.session import scratch_path
 from tidewatch.sources.lines import POSITION
 
@@ -61,7 +61,7 @@ def _with_groups(lines: DataFrame, pattern: str, count: int) -> DataFrame:
     return (
         lines.withColumn("_t", strip(F.col("value")))
         .withColumn("_m", F.split(joined, _MARK))
-        .withColumn("is_parsed", evaluated_once(F.coalesce(matched, F.lit(False))))
+        .withColumn("is_parsed", pinned(F.coalesce(matched, F.lit(False))))
         .withColumn("_g", F.when(has_mark, one_by_one).otherwise(F.col("_m")))
         .drop("_t", "_m")
     )
@@ -126,7 +126,7 @@ def _zeek_fixed(lines: DataFrame, fields: list[str]) -> DataFrame:
     split = lines.withColumn("_p", F.when(_is_data(), _zeek_parts()))
     raw = F.struct(*[F.nullif(F.get(F.col("_p"), F.lit(last[n])), F.lit("-")).alias(n) for n in names])
     fits = F.coalesce(F.size("_p") == len(fields), F.lit(False))
-    return split.withColumn("is_parsed", evaluated_once(fits)).withColumn("raw", F.when(F.col("is_parsed"), raw)).drop("_p")
+    return split.withColumn("is_parsed", pinned(fits)).withColumn("raw", F.when(F.col("is_parsed"), raw)).drop("_p")
 
 
 def _zeek_mapped(lines: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def _zeek_mapped(lines: DataFrame) -> DataFrame:
     pairs = F.arrays_zip(F.col("_fields").alias("k"), F.col("_p").alias("v"))
     dashed = F.transform(pairs, lambda p: F.struct(p["k"].alias("k"), F.nullif(p["v"], F.lit("-")).alias("v")))
     fits = F.coalesce(F.size("_p") == F.size("_fields"), F.lit(False))
-    return _map_last_wins(split.withColumn("is_parsed", evaluated_once(fits)).withColumn("_pairs", dashed)).drop("_p", "_fields")
+    return _map_last_wins(split.withColumn("is_parsed", pinned(fits)).withColumn("_pairs", dashed)).drop("_p", "_fields")
 
 
 def _map_last_wins(rows: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def parse_evtx(records: DataFrame) -> DataFrame:
     named = F.filter(F.col("_x.EventData.Data"), lambda d: F.coalesce(d["_Name"], F.lit("")) != "")
     pairs = F.concat(fixed, F.coalesce(F.transform(named, lambda d: pair(d["_Name"], d["_VALUE"])), F.slice(fixed, 1, 0)))
     valid = F.coalesce(system["EventID"]["_VALUE"] != "", F.lit(False))
-    return _map_last_wins(parsed.withColumn("is_parsed", evaluated_once(valid)).withColumn("_pairs", pairs)).drop("_x")
+    return _map_last_wins(parsed.withColumn("is_parsed", pinned(valid)).withColumn("_pairs", pairs)).drop("_x")
 
 
 def raw_field(schema: T.StructType, name: str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.functions.text import strip
+from tidewatch.functions.text import pinned, strip
 
 # -- versions ----------------------------------------------------------------
 
@@ -146,11 +146,11 @@ def matches_any(text: Column, words: list[str]) -> Column:
 
 
 def match_rule(events: DataFrame, yaml_content: str, compat: bool = False, skip: tuple[str, ...] = ()) -> DataFrame:
-    """Add ``matched`` for one rule."""
+    """Add ``matched`` for one rule. Narrow the events down before, not after."""
     spark = events.sparkSession
     words = spark.range(1).select(keywords(F.lit(yaml_content), compat).alias("k")).first().k
     return events.withColumn("_text", event_text(events, skip)).withColumn(
-        "matched", matches_any(F.col("_text"), words)
+        "matched", pinned(matches_any(F.col("_text"), words))
     ).drop("_text")
 
 
@@ -180,8 +180,8 @@ def with_keyword_hits(
         return _hits_by_join(rows, wanted, text)
     listed = sorted(row.keyword for row in wanted.collect())  # at most ``automaton_bytes``
     if size.n <= literal_keywords:
-        literals = F.array(*[F.lit(w) for w in listed]).cast("array<string>")
-        return rows.withColumn("hits", F.filter(literals, lambda w: F.contains(F.col(text), w)))
+        found = [F.when(F.contains(F.col(text), F.lit(w)), F.lit(w)) for w in listed]
+        return rows.withColumn("hits", pinned(F.array_compact(F.array(*found).cast("array<string>"))))
     return rows.withColumn("hits", _multi_search(rows, listed)(F.col(text)))
 
 

@@ -164,7 +164,7 @@ def sql(spark: SparkSession, sf_dir: str, text: str, *sources: str) -> DataFrame
 def written(rows: DataFrame, label: str) -> DataFrame:
     """Rows written to the shared folder and read back, as logs lie in files."""
     path = scratch_path(rows.sparkSession, label)
-    rows.write.parquet(path)
+    rows.repartition(rows.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
