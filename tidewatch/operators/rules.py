@@ -234,25 +234,28 @@ def _hits_by_join(rows: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
 def backtest_rules(events: DataFrame, rules: DataFrame, compat: bool = False, skip: tuple[str, ...] = ()) -> DataFrame:
     """(rule_id, match_count, total_events) for many rules over the same events.
 
-    Events are first counted per set of keywords they contain. Rules then meet
-    those few sets, not the events, and each set counts once per rule.
+    Events are first counted per set of keywords they contain, and rules with the
+    same keywords are taken together. Only the distinct sets of both sides meet,
+    on a shared keyword, and each pair counts once.
     """
     words = rule_keywords(rules, compat)
     texts = events.select(event_text(events, skip).alias("text"))
-    sets = (
+    seen = (
         with_keyword_hits(texts, words)
         .where(F.size("hits") > 0)
         .groupBy("hits")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    per_rule = (
-        sets.withColumn("keyword", F.explode("hits"))
-        .join(words, "keyword")
-        .select("rule_id", "hits", "n")
+    of_rule = words.groupBy("rule_id").agg(F.sort_array(F.collect_set("keyword")).alias("wanted"))
+    per_set = (
+        seen.withColumn("keyword", F.explode("hits"))
+        .join(of_rule.select("wanted").distinct().withColumn("keyword", F.explode("wanted")), "keyword")
+        .select("wanted", "hits", "n")
         .distinct()
-        .groupBy("rule_id")
+        .groupBy("wanted")
         .agg(F.sum("n").alias("match_count"))
     )
+    per_rule = of_rule.join(per_set, "wanted").select("rule_id", "match_count")
     total = events.agg(F.count(F.lit(1)).alias("n")).scalar()
     return rules.select("rule_id").join(per_rule, "rule_id", "left").select(
         "rule_id",

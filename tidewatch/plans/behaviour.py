@@ -14,6 +14,7 @@ from tidewatch.operators.baselines import (
     per_event_baseline,
 )
 from tidewatch.registry import MetricDefinition
+from tidewatch.session import settled
 
 
 def hourly_anomalies(events: DataFrame, metric: MetricDefinition, as_of: datetime | None = None, **options) -> DataFrame:
@@ -22,5 +23,10 @@ def hourly_anomalies(events: DataFrame, metric: MetricDefinition, as_of: datetim
 
 
 def event_anomalies(events: DataFrame, metric: MetricDefinition, *carry: str) -> DataFrame:
-    """Each single event against all events of its entity; the event scan is narrow both times."""
-    return detect_anomalies(current_event_values(events, metric, *carry), per_event_baseline(events, metric))
+    """Each single event against all events of its entity.
+
+    The baselines are settled first. Events are only shuffled by entity when the
+    baselines turn out too large to broadcast.
+    """
+    baselines = settled(per_event_baseline(events, metric), "event-baselines")
+    return detect_anomalies(current_event_values(events, metric, *carry), baselines)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Event times are UTC instants; adaptive execution splits skewed join partitions
 # and sizes shuffle partitions at run time.
@@ -41,3 +41,15 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/tidewatch/{label}-{uuid.uuid4().hex}"
+
+
+def settled(rows: DataFrame, label: str) -> DataFrame:
+    """The rows written to the shared folder and read back.
+
+    For results much smaller than their input that a larger join uses next: they
+    survive the loss of executors, are computed once, and their size is known when
+    Spark plans the join, so a small side is broadcast and a large one is not.
+    """
+    path = scratch_path(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -7,9 +7,8 @@ rows that Spark nests into the event schema.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tidewatch.operators.events import event_columns
 from tidewatch.registry import FieldRegistry
 from tidewatch.session import configure
 
@@ -58,29 +57,50 @@ FLAT_TO_PATH = {
 REGISTRY = FieldRegistry.default()
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table. Its schema is looked up once per process, not once per query."""
     configure(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def flat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(FLAT_EVENTS_SQL.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
 
 
-def nest(flat: DataFrame) -> DataFrame:
-    """Flat columns -> event rows; fields of other classes become null. ``event_id`` stays as row key."""
+def _nested_sql() -> list[str]:
+    """The event columns as SQL text: one named_struct per group, typed nulls where there is no source."""
     values = {
-        "class_uid": F.col("class_uid"),
-        "activity_id": F.col("activity_id"),
-        "severity_id": F.col("severity_id"),
-        "time": F.col("event_time").cast("timestamp"),
-        "metadata.log_source": F.col("log_source"),
-        "metadata.original_time": F.date_format("event_time", "yyyy-MM-dd HH:mm:ss"),
+        "class_uid": "class_uid",
+        "activity_id": "activity_id",
+        "severity_id": "severity_id",
+        "time": "CAST(event_time AS TIMESTAMP)",
+        "metadata.log_source": "log_source",
+        "metadata.original_time": "date_format(event_time, 'yyyy-MM-dd HH:mm:ss')",
     }
     for name, path in FLAT_TO_PATH.items():
-        classes = REGISTRY.get_field_definition(path).applicable_classes
-        values[path] = F.when(F.col("class_uid").isin(*classes), F.col(name))
-    return flat.select("event_id", *event_columns(values, REGISTRY))
+        classes = ", ".join(map(str, REGISTRY.get_field_definition(path).applicable_classes))
+        values[path] = f"CASE WHEN class_uid IN ({classes}) THEN {name} END"
+
+    def build(node, path: str) -> str:
+        if isinstance(node, dict):
+            return "named_struct(" + ", ".join(f"'{n}', {build(sub, f'{path}.{n}')}" for n, sub in node.items()) + ")"
+        return f"CAST({values.get(path, 'NULL')} AS {node.spark_type.simpleString()})"
+
+    return [f"{build(node, name)} AS {name}" for name, node in REGISTRY.tree().items()]
+
+
+_NESTED = _nested_sql()
+
+
+def nest(flat: DataFrame) -> DataFrame:
+    """Flat columns -> event rows; fields of other classes become null. ``event_id`` stays as row key."""
+    return flat.selectExpr("event_id", *_NESTED)
 
 
 def security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
