@@ -81,6 +81,12 @@ def test_zeek_header_changes_inside_a_block_and_carries_over(make_lines):
     assert got == [{"a": "1", "b": "2"}, {"b": "3", "a": "4"}, {"b": "5", "a": "6"}, {"x": "7"}, {"x": "8"}, {"q": "9"}]
 
 
+def test_zeek_repeated_column_keeps_the_last_value(make_lines):
+    lines = make_lines(["#fields\ta\ta", "1\t2", "#fields\tb\tc", "3\t-"])
+    assert [r for r in raws(parse.parse_zeek(lines)) if r] == [{"a": "2"}, {"b": "3", "c": None}]
+    assert raws(parse.parse_zeek(make_lines(["1\t2"]), fields=["a", "a"])) == [{"a": "2"}]
+
+
 def test_event_xml(make_lines):
     full = (
         f'<Event xmlns="{NS}"><System><EventID Qualifiers="1">4624</EventID><TimeCreated SystemTime="2026-01-01T00:00:00Z"/>'

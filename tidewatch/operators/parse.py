@@ -130,12 +130,16 @@ def _zeek_fixed(lines: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def _zeek_mapped(lines: DataFrame) -> DataFrame:
-    """Lines carry their own column list in ``_fields``."""
+    """Lines carry their own column list in ``_fields``; a list that repeats a name takes the slower way."""
     split = lines.withColumn("_p", F.when(_is_data(), _zeek_parts()))
-    pairs = F.arrays_zip(F.col("_fields").alias("k"), F.col("_p").alias("v"))
-    dashed = F.transform(pairs, lambda p: F.struct(p["k"].alias("k"), F.nullif(p["v"], F.lit("-")).alias("v")))
     fits = F.coalesce(F.size("_p") == F.size("_fields"), F.lit(False))
-    return _map_last_wins(split.withColumn("is_parsed", pinned(fits)).withColumn("_pairs", dashed)).drop("_p", "_fields")
+    unique = F.size(F.array_distinct("_fields")) == F.size("_fields")
+    values = F.transform("_p", lambda v: F.nullif(v, F.lit("-")))
+    pairs = F.zip_with("_fields", values, lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+    judged = split.withColumn("is_parsed", pinned(fits)).withColumn("_unique", unique)
+    mapped = _map_last_wins(judged.withColumn("_pairs", F.when(F.col("is_parsed") & ~F.col("_unique"), pairs)))
+    direct = F.when(F.col("is_parsed") & F.col("_unique"), F.map_from_arrays("_fields", values))
+    return mapped.withColumn("raw", F.coalesce(direct, "raw")).drop("_p", "_fields", "_unique")
 
 
 def _map_last_wins(rows: DataFrame) -> DataFrame:

@@ -25,16 +25,19 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_own_dir: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) is a local folder
-    made, and the setting filled in, so later calls agree.
+    Only where that setting is absent (tests on one machine) a local folder is made.
     """
+    global _own_dir
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="tidewatch-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        _own_dir = _own_dir or tempfile.mkdtemp(prefix="tidewatch-")
+        folder = _own_dir
     return folder.rstrip("/")
 
 
