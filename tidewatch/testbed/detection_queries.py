@@ -13,7 +13,7 @@ from tidewatch.sources import indicators as indicator_source
 from tidewatch.sources.audit import newest
 from tidewatch.sources.store import EventStore
 from tidewatch.testbed import derived
-from tidewatch.testbed.adapter import REGISTRY, flat_events, security_events
+from tidewatch.testbed.adapter import REGISTRY, security_events
 from tidewatch.testbed.catalog import query
 from tidewatch.testbed.derived import as_text_time
 
