@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat_format, decontaminate, license_scan, pieces, quality_rules, token_files
+from tidewatch.llm import chat_format, decontaminate, license_scan, pieces, quality_rules, token_files, toxicity
 from tidewatch.llm.common import settle, table
 from tidewatch.session import scratch_path
 
@@ -44,6 +44,17 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        F.coalesce(toxicity.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     manifest = token_files.write_token_files(docs, TOKENIZER, scratch_path(spark, "token-files"), END_ID)
@@ -63,6 +74,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op5_license_scan": op5_license_scan,
     "op6_decontamination": op6_decontamination,
+    "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_chat_format": op10_chat_format,
 }

@@ -34,10 +34,10 @@ BUCKETS = 1 << 20
 SAMPLE_PER_CLASS = {1: 1000, 0: 3000}
 # Features whose ratio is nearly even tell nothing and are left out.
 MIN_RATIO = 1.0
-MIN_TEXTS = 10
+MIN_TEXTS = 25
 SMOOTHING = 1.0
 # Of the logistic fit.
-PENALTY = 1e-4
+PENALTY = 1e-3
 RATE = 0.05
 FOLDS = 5
 
@@ -121,14 +121,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = SAMPLE_P
             )
 
     rows = sample_rows(docs, labels, per_class).mapInArrow(run, "doc_id bigint, toxic int, ids binary")
+    # Equal feature sets with one label (copies) count once; rows are put in a fixed order.
+    kept = sorted({(bytes(r["ids"]), r["toxic"]) for r in rows.toLocalIterator()})
     seen = np.zeros((2, BUCKETS), np.float32)
-    kept: list[tuple[int, bytes, int]] = []
-    limit = sum(per_class.values())
-    for doc_id, toxic, ids in (tuple(r) for r in rows.toLocalIterator()):
-        seen[toxic][np.frombuffer(ids, np.uint32)] += 1
-        kept.append((doc_id, bytes(ids), toxic))
-    kept = sorted(kept)[: 2 * limit]
-    y = np.array([t for _, _, t in kept], np.float64)
+    for blob, toxic in kept:
+        seen[toxic][np.frombuffer(blob, np.uint32)] += 1
+    y = np.array([t for _, t in kept], np.float64)
     if not len(y) or y.min() == y.max():
         share = float(y[0]) if len(y) else 0.0
         return Model(np.zeros(BUCKETS, np.float32), 4.0 if share else -4.0)
@@ -138,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = SAMPLE_P
     number = np.full(BUCKETS, -1, np.int32)
     number[used] = np.arange(len(used))
     columns, sizes = [], []
-    for _, blob, _ in kept:
+    for blob, _ in kept:
         c = number[np.frombuffer(blob, np.uint32)]
         columns.append(c[c >= 0])
         sizes.append(len(columns[-1]))
