@@ -76,7 +76,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = np.uint64(0xD6E8FEB86659FD93)
-_powers = np.ones(64, np.uint64)
+_powers = np.zeros(0, np.uint64)
 
 
 def _powers_to(n: int) -> np.ndarray:

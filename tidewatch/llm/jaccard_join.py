@@ -1 +1,240 @@
-"""Under way."""
+"""N-gram Jaccard join as a blocked sparse product of the document by n-gram incidence.
+
+A document's set is its distinct 5-word shingles (64-bit hashes). Documents link if the
+Jaccard similarity is 0.75 or more; the groups are the connected components.
+
+1. Equal sets become one class (a digest of the set, grouped); only one text of a class
+   goes on.
+2. The incidence is cut into blocks of n-gram columns. A block holds, for each class, the
+   n-grams that fall into it; its product with itself tells which n-grams two or more
+   classes share, and how many classes (their frequency). Only shared n-grams come back.
+3. Size-derived bounds: a class links only if at least three quarters of its set are
+   shared. Of classes that pass, the rarest ``shared - ceil(3/4 size) + 1`` shared n-grams
+   must hold one that a linked class has among its own such n-grams, and sizes and the
+   places of that n-gram bound the overlap from above. Pairs below the bounds are dropped.
+4. The overlap of a remaining pair is counted exactly on the shared n-grams of both
+   (n-grams that only one class has add nothing to an overlap).
+
+Near copies by the thousand share their n-grams with each other. For them not all pairs
+are looked at: first every class meets one leader, the class that leads most of its rare
+n-grams' lists; classes that link with the same leader are connected already, so only
+pairs that are not yet connected follow, each n-gram's list minus its largest connected
+part against the whole list. No list is capped; no link between unconnected classes is lost.
+
+Defined cases: texts without words (null, empty) have size 0 and link with nothing; fewer
+than five words are one shingle; a null doc_id links with nothing and has a null component;
+repeated rows are copies of each other; further columns are ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tidewatch.llm.common import chunks, column, hashed_words, mix, settle
+from tidewatch.llm.components import components
+
+N = 5
+# Shingles in one block of the product.
+BLOCK_SHINGLES = 3_000_000
+_CHUNK = 4_000_000
+_FACTORS = mix(np.arange(11, 11 + N, dtype=np.uint64)) | np.uint64(1)
+_HALF = np.uint64(32)
+
+
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """The distinct shingles of each text, as sorted 64-bit hashes."""
+    words, starts = hashed_words(texts)
+    with np.errstate(over="ignore"):
+        count = len(words) - N + 1
+        grown = np.zeros(max(count, 0), np.uint64)
+        for j in range(N):
+            grown += words[j : j + len(grown)] * _FACTORS[j]
+        grown = mix(grown)
+        out = []
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            if b - a >= N:
+                out.append(np.unique(grown[a : b - N + 1]))
+            elif b > a:
+                short = (words[a:b] * _FACTORS[: b - a]).sum() + np.uint64(b - a)
+                out.append(mix(np.array([short], np.uint64)))
+            else:
+                out.append(np.zeros(0, np.uint64))
+    return out
+
+
+def _class_of(shingles: np.ndarray) -> int:
+    """A digest of the set."""
+    with np.errstate(over="ignore"):
+        first, second = shingles.sum(dtype=np.uint64), mix(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+        return int(mix(np.array([first ^ mix(np.array([second + np.uint64(len(shingles))]))[0]]))[0].astype(np.int64))
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, class of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches, _CHUNK):
+            sets = shingle_sets(texts)
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, "doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) for s in sets], pa.int64())],
+                names=["doc_id", "n_shingles", "class"],
+            )
+
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, class bigint")
+
+
+def _incidence(docs: DataFrame, blocks: int) -> DataFrame:
+    """Rows of a block: classes, how many n-grams of each, and the n-grams' low halves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in chunks(batches, _CHUNK):
+            sets = [s for s in shingle_sets(texts) if len(s)]
+            if not sets:
+                continue
+            names = np.array([_class_of(s) for s in sets], np.int64)
+            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            grams = np.concatenate(sets)
+            block = ((grams >> _HALF) * np.uint64(blocks) >> _HALF).astype(np.int32)
+            order = np.argsort(block, kind="stable")
+            cuts = np.searchsorted(block[order], np.arange(blocks + 1))
+            rows = []
+            for b in range(blocks):
+                part = order[cuts[b] : cuts[b + 1]]
+                if len(part):
+                    own = owner[part]
+                    heads = np.flatnonzero(np.diff(own, prepend=-1))
+                    sizes = np.diff(heads, append=len(own)).astype(np.uint32)
+                    rows.append((b, names[own[heads]].tobytes(), sizes.tobytes(), (grams[part] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()))
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "classes", "sizes", "grams"]
+            )
+
+    return docs.mapInArrow(run, "block int, classes binary, sizes binary, grams binary")
+
+
+def _block_product(rows: pa.Table) -> pa.Table:
+    """Shared n-grams of one block: for each class its shared n-grams and how many classes have each."""
+    block = rows.column("block")[0].as_py()
+    blob = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in rows.column(name)])
+    grams = blob("grams", np.uint32)
+    owner = np.repeat(blob("classes", np.int64), blob("sizes", np.uint32))
+    order = np.argsort(grams, kind="stable")
+    grams, owner = grams[order], owner[order]
+    same = grams[1:] == grams[:-1]
+    shared = np.append(same, False) | np.insert(same, 0, False)
+    grams, owner = grams[shared], owner[shared]
+    # A class may come twice (repeated rows); it counts once.
+    order = np.lexsort((owner, grams))
+    grams, owner = grams[order], owner[order]
+    new = np.ones(len(grams), bool)
+    new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
+    grams, owner = grams[new], owner[new]
+    heads = np.flatnonzero(np.diff(grams.astype(np.int64), prepend=-1))
+    counts = np.diff(heads, append=len(grams))
+    often = np.repeat(counts, counts)
+    keep = often >= 2
+    grams, owner, often = grams[keep], owner[keep], often[keep]
+    order = np.argsort(owner, kind="stable")
+    grams, owner, often = grams[order], owner[order], often[order]
+    heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
+    offsets = pa.array(np.append(heads, len(owner)), pa.int32())
+    return pa.table(
+        {
+            "class": pa.array(owner[heads]),
+            "grams": pa.ListArray.from_arrays(offsets, pa.array((np.int64(block) << 32) | grams.astype(np.int64))),
+            "often": pa.ListArray.from_arrays(offsets, pa.array(often.astype(np.int32))),
+        }
+    )
+
+
+def _needed(n: Column) -> Column:
+    """Least overlap of a set of size n with any set that it links with: ceil(3/4 n)."""
+    return F.floor((3 * n + 3) / 4)
+
+
+def _verified(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, by their exact overlap."""
+    left = shared.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("grams").alias("grams_a"))
+    right = shared.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("grams").alias("grams_b"))
+    overlap = F.size(F.array_intersect("grams_a", "grams_b"))
+    joined = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("both", overlap)
+    return joined.where("100 * both >= 75 * (n_a + n_b - both)").select("a", "b")
+
+
+def _links(shared: DataFrame) -> DataFrame:
+    """Links (a, b) between classes, enough of them to connect all that is connected."""
+    items = F.sort_array(F.arrays_zip(F.col("often").alias("often"), F.col("grams").alias("gram")))
+    prefix = F.slice("items", F.lit(1), (F.col("s") - _needed(F.col("n")) + 1).cast("int"))
+    lists = settle(
+        shared.select("class", "n", F.size("grams").alias("s"), items.alias("items"))
+        .select("class", "n", "s", F.posexplode(prefix).alias("at", "item"))
+        .select(F.col("item.gram").alias("gram"), "class", "n", "s", "at"),
+        "jaccard-lists",
+    )
+    # First every class meets the class that leads most of its lists.
+    leaders = lists.groupBy("gram").agg(F.min("class").alias("leader"))
+    led = lists.join(leaders, "gram").groupBy("class", "leader").count().where("class <> leader")
+    first = led.groupBy(F.col("class").alias("a")).agg(F.max_by("leader", F.struct("count", "leader")).alias("b"))
+    linked = settle(_verified(first, shared), "jaccard-first")
+    # Then pairs that are not connected yet.
+    known = components(linked)
+    labelled = lists.join(known.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    parts = labelled.groupBy("gram", "root").count()
+    open_ = parts.groupBy("gram").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    rest = settle(labelled.join(open_.select("gram", "main"), "gram"), "jaccard-open")
+    few = rest.where("root <> main").select(*(F.col(c).alias(f"{c}_x") for c in ("gram", "class", "n", "s", "at", "root")))
+    bound = F.floor((3 * (F.col("n") + F.col("n_x")) + 6) / 7)  # of the overlap: 3/7 of both sizes, rounded up
+    pairs = (
+        few.join(rest, few.gram_x == rest.gram)
+        .where(F.col("root") != F.col("root_x"))
+        .where((100 * F.least("n", "n_x") >= 75 * F.greatest("n", "n_x")) & (F.least(F.col("s") - F.col("at"), F.col("s_x") - F.col("at_x")) >= bound))
+        .select(F.least("class", "class_x").alias("a"), F.greatest("class", "class_x").alias("b"))
+        .distinct()
+    )
+    return linked.unionByName(_verified(pairs, shared))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, one row for each document row."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = settle(_classes(rows), "jaccard-classes")
+    classes = own.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.min("n_shingles").alias("n"))
+    classes = settle(classes, "jaccard-sets")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    blocks = 1 + int(total) // BLOCK_SHINGLES
+    one_each = rows.join(classes.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    product = (
+        _incidence(one_each, blocks)
+        .groupBy("block")
+        .applyInArrow(_block_product, "class bigint, grams array<bigint>, often array<int>")
+        .groupBy("class")
+        .agg(F.flatten(F.collect_list("grams")).alias("grams"), F.flatten(F.collect_list("often")).alias("often"))
+    )
+    shared = product.join(classes.select("class", "n"), "class").where(F.size("grams") >= _needed(F.col("n")))
+    shared = settle(shared, "jaccard-shared")
+    groups = components(_links(shared))
+    least = groups.join(classes.select(F.col("class").alias("node"), "least"), "node")
+    lowest = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = classes.join(groups.withColumnRenamed("node", "class"), "class", "left").join(lowest, "root", "left")
+    named = named.select("class", F.coalesce("component_id", "least").alias("component_id"))
+    return own.join(named, "class", "left").select(
+        "doc_id",
+        "n_shingles",
+        F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
+    )
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The documents without all but the smallest doc_id of each component, with all their columns.
+
+    Of equal rows (doc_id and text) one stays; rows with a null doc_id all stay.
+    """
+    stay = join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
+    kept = docs.join(stay, F.col("doc_id").cast("bigint") == F.col("_stays"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where("doc_id IS NULL"))

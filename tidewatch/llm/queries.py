@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat_format, decontaminate, license_scan, pieces, quality_rules, token_files, toxicity
+from tidewatch.llm import chat_format, decontaminate, jaccard_join, license_scan, pieces, quality_rules, token_files, toxicity
 from tidewatch.llm.common import settle, table
 from tidewatch.session import scratch_path
 
@@ -27,6 +27,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_license_scan": op5_license_scan,
     "op6_decontamination": op6_decontamination,
     "op8_toxicity": op8_toxicity,
