@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat_format, decontaminate, jaccard_join, license_scan, pieces, quality_rules, token_files, toxicity
+from tidewatch.llm import chat_format, decontaminate, jaccard_join, license_scan, pieces, quality_rules, suffix_dedup, token_files, toxicity
 from tidewatch.llm.common import settle, table
 from tidewatch.session import scratch_path
 
@@ -48,6 +48,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -79,6 +83,7 @@ QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_license_scan": op5_license_scan,
     "op6_decontamination": op6_decontamination,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_chat_format": op10_chat_format,
