@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat_format, decontaminate, jaccard_join, license_scan, pieces, quality_rules, suffix_dedup, token_files, toxicity
+from tidewatch.llm import chat_format, decontaminate, jaccard_join, license_scan, ngram_lm, pieces, quality_rules, suffix_dedup, token_files, toxicity
 from tidewatch.llm.common import settle, table
 from tidewatch.session import scratch_path
 
@@ -21,6 +21,13 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip_digests(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = ngram_lm.held_out(F.col("doc_id").cast("bigint"))
+    model = ngram_lm.train(docs.where(~out), scratch_path(spark, "lm"))
+    return ngram_lm.score(docs, model).withColumn("held_out", out)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measured(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -79,6 +86,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_lm_score": op2_lm_score,
     "op3_quality_rules": op3_quality_rules,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_license_scan": op5_license_scan,
