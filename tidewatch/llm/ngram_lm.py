@@ -170,7 +170,7 @@ class Model:
         return out
 
     def log10_pairs(self, contexts: np.ndarray, words: np.ndarray, log10_word: np.ndarray) -> np.ndarray:
-        """log10 probabilities of words after contexts (both known, pairs in rising order)."""
+        """log10 probabilities of words after known contexts (pairs in rising order)."""
         out = np.zeros(len(words))
         shard = np.searchsorted(self.first, contexts, side="right") - 1
         cuts = np.searchsorted(shard, np.arange(self.shards + 1))
@@ -331,11 +331,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             numbers, alone = number[place], single[place]
             before = np.append(end, numbers[:-1])  # the end token stands before each text's first word
             value = alone.copy()
-            both = np.flatnonzero((before >= 0) & (numbers >= 0))
-            if len(both):
-                pairs, at, back = np.unique(before[both] * known.size + numbers[both], return_index=True, return_inverse=True)
-                got = known.log10_pairs(pairs // known.size, pairs % known.size, alone[both][at])
-                value[both] = got[back]
+            after_known = np.flatnonzero(before >= 0)
+            if len(after_known):
+                # An unknown word has the number V here, which no context has among its successors.
+                word = np.where(numbers >= 0, numbers, known.size)[after_known]
+                wide = known.size + 1
+                pairs, at, back = np.unique(before[after_known] * wide + word, return_index=True, return_inverse=True)
+                value[after_known] = known.log10_pairs(pairs // wide, pairs % wide, alone[after_known][at])[back]
             add = lambda x: np.add.reduceat(x, starts[:-1])
             yield pa.RecordBatch.from_arrays(
                 [
