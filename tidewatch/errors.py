@@ -47,3 +47,11 @@ class RuleNotFoundError(RuleError, ValueError):
 
 class RuleNotConfirmedError(RuleError, ValueError):
     """The rule exists, but its latest version is not confirmed."""
+
+
+class SharedFolderError(StorageError, RuntimeError):
+    """No folder is configured that all executors share."""
+
+
+class ConcurrentUpdateError(StorageError, RuntimeError):
+    """Another writer was faster; read again and repeat the update."""

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tidewatch.errors import UnregisteredFormatError
 from tidewatch.functions.text import blank_to_null, pinned, strip
-from tidewatch.session import scratch_path
+from tidewatch.session import settled
 from tidewatch.sources.lines import POSITION
 
 # ---------------------------------------------------------------------------
@@ -154,23 +154,25 @@ def _map_last_wins(rows: DataFrame) -> DataFrame:
     )
 
 
+def _zeek_header() -> Column:
+    """The column list of a ``#fields`` line, else null."""
+    text = strip(F.col("value"))
+    parts = F.split(text, "\t")
+    return F.when(F.startswith(text, F.lit("#fields")) & F.contains(text, F.lit("\t")), F.slice(parts, F.lit(2), F.size(parts)))
+
+
 def zeek_header_blocks(lines: DataFrame) -> DataFrame:
     """Per input block: the ``#fields`` header in force at its first data line.
 
     ``mixed`` marks blocks with a header after data, where one header does not
     hold for the whole block. The scan is map-side aggregated to one row per block.
     """
-    text = strip(F.col("value"))
-    listed = F.slice(F.split(text, "\t"), 2, 10_000_000)
-    header = F.when(F.startswith(text, F.lit("#fields")) & F.contains(text, F.lit("\t")), listed)
-    marked = lines.select(*POSITION, "seq", header.alias("h"), _is_data().alias("is_data")).where(
+    marked = lines.select(*POSITION, "seq", _zeek_header().alias("h"), _is_data().alias("is_data")).where(
         F.col("h").isNotNull() | F.col("is_data")
     )
     blocks = marked.groupBy(*POSITION).agg(
         F.min(F.when(F.col("is_data"), F.col("seq"))).alias("first_data"),
-        F.min_by("h", F.when(F.col("h").isNotNull(), F.col("seq"))).alias("first_header"),
         F.max_by("h", F.when(F.col("h").isNotNull(), F.col("seq"))).alias("last_header"),
-        F.min(F.when(F.col("h").isNotNull(), F.col("seq"))).alias("first_header_at"),
         F.max(F.when(F.col("h").isNotNull(), F.col("seq"))).alias("last_header_at"),
     )
     earlier = W.partitionBy("file_path").orderBy("block_start").rowsBetween(W.unboundedPreceding, -1)
@@ -180,58 +182,73 @@ def zeek_header_blocks(lines: DataFrame) -> DataFrame:
     inherited = F.coalesce(carried, default)
     return blocks.select(
         *POSITION,
+        F.col("first_data").isNotNull().alias("has_data"),
         F.when(headers_lead, F.col("last_header")).otherwise(inherited).alias("fields"),
         inherited.alias("inherited"),
         (F.coalesce(F.col("last_header_at") > F.col("first_data"), F.lit(False))).alias("mixed"),
     )
 
 
+def _zeek_file_layouts(blocks: DataFrame) -> DataFrame:
+    """Per file with data: its column list, and whether that list changes between data lines."""
+    return (
+        blocks.where("has_data")
+        .groupBy("file_path")
+        .agg(
+            F.min("fields").alias("fields"),
+            (F.bool_or("mixed") | (F.min("fields") != F.max("fields"))).alias("changes"),
+        )
+    )
+
+
+def _zeek_in_order(lines: DataFrame) -> DataFrame:
+    """Add ``_fields`` to lines of files whose column list changes between data lines.
+
+    Positions are only compared within one stored copy of these lines, so it does
+    not matter how the input would be split the next time it is read.
+    """
+    stored = settled(lines, "zeek-lines")
+    blocks = settled(zeek_header_blocks(stored), "zeek-headers")
+    steady = stored.join(blocks.where("NOT mixed").select(*POSITION, F.col("fields").alias("_fields")), POSITION)
+    so_far = W.partitionBy(*POSITION).orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+    mixed = stored.join(blocks.where("mixed").select(*POSITION, F.col("inherited").alias("_inherited")), POSITION)
+    ordered = mixed.withColumn("_fields", F.coalesce(F.last(_zeek_header(), ignorenulls=True).over(so_far), "_inherited"))
+    columns = [*lines.columns, "_fields"]
+    return steady.select(*columns).unionByName(ordered.select(*columns))
+
+
 def parse_zeek(lines: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """Tab-separated Zeek lines; "-" is null.
 
     With ``fields`` the column list is given. Otherwise ``#fields`` lines set it
     for the lines that follow in the same file, and the conn.log list holds until
-    the first one. A narrow first pass finds the headers per input block. If one
-    list holds everywhere, as in rotated logs, no join is needed; else blocks are
-    matched to their list, and only blocks with a header between data lines are
-    put in order.
+    the first one. A narrow first pass finds the list of each file. If one list
+    holds everywhere, as in rotated logs, no join is needed; else lines are
+    matched to the list of their file. Files whose list changes between data lines
+    are stored first and put in order from that copy. A data line of a file that
+    the first pass has not seen is an error.
     """
     if fields is not None:
         return _zeek_fixed(lines, list(fields))
-    spark = lines.sparkSession
-    path = scratch_path(spark, "zeek-headers")
-    zeek_header_blocks(lines).write.parquet(path)
-    blocks = spark.read.parquet(path)
-    shape = blocks.agg(
+    files = settled(_zeek_file_layouts(zeek_header_blocks(lines)), "zeek-files")
+    shape = files.agg(
         F.max("fields").alias("fields"),
         F.count_distinct("fields").alias("layouts"),
-        F.coalesce(F.bool_or("mixed"), F.lit(False)).alias("mixed"),
+        F.coalesce(F.bool_or("changes"), F.lit(False)).alias("changes"),
     ).first()
     if shape.layouts == 0:
         return _zeek_fixed(lines, ZEEK_FIELDS)
-    if shape.layouts == 1 and not shape.mixed:
+    if shape.layouts == 1 and not shape.changes:
         return _zeek_fixed(lines, shape.fields)
-    columns = lines.columns
-    steady = lines.join(
-        blocks.where(~F.col("mixed")).select(*POSITION, F.col("fields").alias("_fields")), POSITION, "left"
-    )
-    if not shape.mixed:
-        return _zeek_mapped(steady.select(*columns, "_fields"))
-    mixed_keys = blocks.where("mixed").select(*POSITION, F.col("inherited").alias("_inherited"))
-    in_order = lines.join(mixed_keys, POSITION)
-    text = strip(F.col("value"))
-    header = F.when(
-        F.startswith(text, F.lit("#fields")) & F.contains(text, F.lit("\t")),
-        F.slice(F.split(text, "\t"), 2, 10_000_000),
-    )
-    so_far = W.partitionBy(*POSITION).orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ordered = in_order.withColumn(
-        "_fields", F.coalesce(F.last(header, ignorenulls=True).over(so_far), F.col("_inherited"))
-    ).select(*columns, "_fields")
-    steady = lines.join(mixed_keys.select(*POSITION), POSITION, "left_anti").join(
-        blocks.select(*POSITION, F.col("fields").alias("_fields")), POSITION, "left"
-    ).select(*columns, "_fields")
-    return _zeek_mapped(steady.unionByName(ordered))
+    columns = [*lines.columns, "_fields"]
+    known = files.select("file_path", F.col("fields").alias("_known"), "changes")
+    unseen = F.raise_error(F.concat(F.lit("no column list for the lines of "), F.col("file_path"))).cast("array<string>")
+    found = F.when(F.col("_known").isNotNull(), F.col("_known")).when(_is_data(), unseen)
+    matched = lines.join(known, "file_path", "left").where("NOT coalesce(changes, false)").withColumn("_fields", found).select(*columns)
+    if not shape.changes:
+        return _zeek_mapped(matched)
+    changing = lines.join(files.where("changes").select("file_path"), "file_path", "left_semi")
+    return _zeek_mapped(matched.unionByName(_zeek_in_order(changing).select(*columns)))
 
 
 # -- Windows event XML --------------------------------------------------------

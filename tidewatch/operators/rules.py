@@ -21,10 +21,11 @@ def latest_rules(submissions: DataFrame, confirmations: DataFrame | None = None,
     Every submission of a rule is a version, so the latest version number is the
     number of submissions. This is one aggregation that combines before the
     shuffle: a rule with very many versions does not end up in one sorted group.
+    Submissions of one time are told apart by the further ``order`` columns, at last by their text.
     ``confirmations`` holds (rule_id, version, confirmed_at); only a confirmation
     of the latest version counts, because a new version clears it.
     """
-    position = F.struct(*[F.col(c) for c in order])
+    position = F.struct(*[F.col(c) for c in (*order, "yaml_content")])
     current = (
         submissions.groupBy("rule_id")
         .agg(
@@ -45,24 +46,25 @@ def latest_rules(submissions: DataFrame, confirmations: DataFrame | None = None,
 def number_versions(submissions: DataFrame, order: tuple[str, ...] = ("submitted_at",)) -> DataFrame:
     """All versions, numbered 1, 2, … per rule in submission order.
 
-    Counts per rule and hour give the offset of each hour; within it rows are
-    numbered. A rule with very many versions is thus spread over its hours.
+    Counts per rule and second give the offset of each second; within it rows are
+    numbered, ties as in ``latest_rules``. A rule with very many versions is thus
+    spread over its seconds.
     """
-    hour = F.date_trunc("hour", "submitted_at")
-    sliced = submissions.withColumn("_hour", hour)
-    earlier = W.partitionBy("rule_id").orderBy("_hour").rowsBetween(W.unboundedPreceding, -1)
+    slice_ = F.date_trunc("second", "submitted_at")
+    sliced = submissions.withColumn("_slice", slice_)
+    earlier = W.partitionBy("rule_id").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        sliced.groupBy("rule_id", "_hour")
+        sliced.groupBy("rule_id", "_slice")
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .select("rule_id", "_hour", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+        .select("rule_id", "_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     )
-    within = F.row_number().over(W.partitionBy("rule_id", "_hour").orderBy(*order))
+    within = F.row_number().over(W.partitionBy("rule_id", "_slice").orderBy(*order, "yaml_content"))
     return (
         sliced.withColumn("_n", within)
-        .join(offsets, ["rule_id", "_hour"])
+        .join(offsets, ["rule_id", "_slice"])
         .withColumn("version", (F.col("_before") + F.col("_n")).cast("int"))
         .withColumn("sha256", F.sha2("yaml_content", 256))
-        .drop("_hour", "_n", "_before")
+        .drop("_slice", "_n", "_before")
     )
 
 

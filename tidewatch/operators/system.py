@@ -11,17 +11,15 @@ from tidewatch.sources.audit import newest
 # Class a source format counts for when the audit row names none.
 FORMAT_CLASSES = {"zeek": 3001, "apache": 3002, "evtx": 6003, "syslog": 1001}
 
-AUDIT_ROWS = 10_000  # fixed value: system metrics look at the newest rows
-
 
 def _recent(rows: DataFrame, time_column: str, limit: int | None) -> DataFrame:
     return rows if limit is None else newest(rows, time_column, limit)
 
 
 def system_metrics(
-    queries: DataFrame, ingests: DataFrame, rules: DataFrame | None = None, limit: int | None = AUDIT_ROWS
+    queries: DataFrame, ingests: DataFrame, rules: DataFrame | None = None, limit: int | None = None
 ) -> DataFrame:
-    """One row of totals. ``limit=None`` counts all audit rows."""
+    """One row of totals over all audit rows, or the newest ``limit`` ones."""
     q = _recent(queries, "executed_at", limit).agg(
         F.count(F.lit(1)).alias("total_queries"),
         F.count_if("success").alias("successful_queries"),
@@ -45,7 +43,7 @@ def _beside(left: DataFrame, one_row: DataFrame) -> DataFrame:
     return left.withColumn("_row", one_row.select(F.struct("*")).scalar()).select(*left.columns, "_row.*")
 
 
-def success_rate(queries: DataFrame, limit: int | None = AUDIT_ROWS) -> DataFrame:
+def success_rate(queries: DataFrame, limit: int | None = None) -> DataFrame:
     succeeded = F.when(F.col("success"), 100.0).otherwise(0.0)
     return _recent(queries, "executed_at", limit).agg(F.coalesce(F.avg(succeeded), F.lit(0.0)).alias("success_rate"))
 
@@ -57,7 +55,7 @@ def format_class(source_format: Column) -> Column:
     return found
 
 
-def top_event_classes(ingests: DataFrame, k: int = 5, limit: int | None = AUDIT_ROWS) -> DataFrame:
+def top_event_classes(ingests: DataFrame, k: int = 5, limit: int | None = None) -> DataFrame:
     """Classes with the most ingested events, largest first."""
     if k < 1:
         raise ValueError(f"limit must be at least 1, got {k}")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tidewatch.operators.normalize import MappingRegistry, dropped_fields, ingest_counts, normalize
 from tidewatch.operators.parse import format_name, parse
 from tidewatch.sources.lines import read_lines, read_xml_records
-from tidewatch.sources.store import EventStore, new_run_id, write_partitions
+from tidewatch.sources.paths import remove_folders
+from tidewatch.sources.store import PARTITIONS, EventStore, event_date, new_run_id, write_partitions
 
 
 @dataclass(frozen=True)
@@ -58,12 +59,14 @@ def ingest_lines(
     run_id: str | None = None,
     ingest_time: datetime | None = None,
     file_path: str | None = None,
+    compact: bool = True,
     **parse_options,
 ) -> IngestResult:
     """One pass over the lines; every line ends up as an event or in quarantine.
 
     The write goes to partitions named by the run, so doing a run again replaces
-    its rows. Totals are observed in the writing job.
+    its rows, those of an earlier try that failed or found more included. ``compact``
+    adds a shuffle that evens out file sizes per day. Totals are observed in the writing job.
     """
     mappings = mappings or MappingRegistry.default()
     run_id = run_id or new_run_id()
@@ -78,9 +81,13 @@ def ingest_lines(
         F.when(~F.col("is_valid"), F.col("value")).alias("raw_line"),
         F.when(~F.col("is_parsed"), "parse").when(~F.col("is_valid"), "normalise").alias("failure"),
         F.when(F.col("is_valid"), "events").otherwise("quarantine").alias("table"),
+        F.when(F.col("is_valid"), event_date()).otherwise("none").alias("event_date"),
         F.lit(run_id).alias("run"),
     )
-    write_partitions(out, store.root, ["table", "class_uid", "run"])
+    if compact:
+        out = out.hint("rebalance", "table", "event_date")
+    remove_folders(store.spark, f"{store.root}/table=*/class_uid={class_uid}/event_date=*/run={run_id}")
+    write_partitions(out, store.root, PARTITIONS)
     counts = seen.get
     result = IngestResult(run_id=run_id, **{k: int(v or 0) for k, v in counts.items()})
     if store.audit is not None:

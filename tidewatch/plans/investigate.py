@@ -21,7 +21,7 @@ def event_query(
     store: EventStore, class_uid: int, filters=None, time_range: tuple[datetime, datetime] | None = None
 ) -> DataFrame:
     """Stored events of a class under the conditions; replayed events never take part."""
-    return filter_events(store.scan(class_uid), class_uid, filters, time_range, store.registry)
+    return filter_events(store.scan(class_uid, time_range=time_range), class_uid, filters, time_range, store.registry)
 
 
 def describe(class_uid: int, filters, time_range) -> str:

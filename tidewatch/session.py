@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewatch.errors import SharedFolderError
+
 # Event times are UTC instants; adaptive execution splits skewed join partitions
 # and sizes shuffle partitions at run time.
 _RUNTIME_SETTINGS = {
@@ -31,12 +35,18 @@ _own_dir: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a local folder is made.
+    Only where that setting is absent and the master is local (tests on one machine)
+    a local folder is made, and removed when the process ends. Elsewhere the setting is required: other machines
+    would not see a local folder.
     """
     global _own_dir
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        _own_dir = _own_dir or tempfile.mkdtemp(prefix="tidewatch-")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise SharedFolderError("set spark.checkpoint.dir to a folder that all executors share")
+        if _own_dir is None:
+            _own_dir = tempfile.mkdtemp(prefix="tidewatch-")
+            atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
         folder = _own_dir
     return folder.rstrip("/")
 

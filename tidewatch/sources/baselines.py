@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.errors import ConcurrentUpdateError
 from tidewatch.operators.baselines import upsert_baselines
-from tidewatch.sources.paths import path_exists
+from tidewatch.session import settled
+from tidewatch.sources.paths import create_text, path_exists
 
 SCHEMA = (
     "entity_type string, entity_value string, metric_name string, class_uid int, mean double, stddev double, "
@@ -17,10 +19,11 @@ SCHEMA = (
 
 
 class BaselineStore:
-    """Every upsert writes a new version folder, then records it in a pointer table.
+    """Every upsert writes a new version folder, then a pointer file with the next number.
 
     A version in use is never overwritten, and a job that dies half-way leaves the
-    pointer on the previous version.
+    pointer on the previous version. Pointer files are created exclusively, so of two
+    writers that started from the same version the slower one fails and loses nothing.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -32,7 +35,10 @@ class BaselineStore:
         path = f"{self.root}/current"
         if not path_exists(self.spark, path):
             return None, 0
-        pointers = self.spark.read.schema("version string, position bigint").parquet(path)
+        pointers = self.spark.read.text(path).select(
+            F.col("value").alias("version"),
+            F.regexp_extract("_metadata.file_name", r"^(\d+)", 1).cast("bigint").alias("position"),
+        )
         newest = pointers.agg(F.max_by("version", "position").alias("v"), F.max("position").alias("p")).first()
         return newest.v, newest.p or 0
 
@@ -48,11 +54,12 @@ class BaselineStore:
         """Replace the recomputed keys, keep the others; returns the new content."""
         names = [part.split()[0] for part in SCHEMA.split(", ")]
         current, position = self._current()
+        computed = settled(computed, "computed-baselines")
         merged = upsert_baselines(self._version(current), computed).select(*names)
         version = uuid.uuid4().hex
         merged.write.parquet(f"{self.root}/versions/{version}")
-        pointer = self.spark.createDataFrame([(version, position + 1)], "version string, position bigint")
-        pointer.coalesce(1).write.mode("append").parquet(f"{self.root}/current")
+        if not create_text(self.spark, f"{self.root}/current/{position + 1:012d}.txt", version):
+            raise ConcurrentUpdateError(f"the baselines below {self.root} were changed meanwhile")
         return self._version(version)
 
     def get_baseline(self, entity_type: str, entity_value: str, metric_name: str, class_uid: int):

@@ -9,18 +9,18 @@ from pyspark.sql import functions as F
 from tidewatch.functions.text import strip
 from tidewatch.sources.lines import POSITION, number_lines, raw_text
 
-ROWS_PER_FILE = 100_000  # fixed value: further rows of a file are ignored
 
+def indicator_rows(lines: DataFrame, cap: int | None = None) -> DataFrame:
+    """(file_path, ioc) of all usable lines, duplicates kept; with ``cap`` the first ``cap`` ones of each file.
 
-def indicator_rows(lines: DataFrame, cap: int = ROWS_PER_FILE) -> DataFrame:
-    """(file_path, ioc) of the first ``cap`` usable lines of each file, duplicates kept.
-
-    Counting per block first tells how many rows precede a block, so ranking
+    For a cap, counting per block first tells how many rows precede a block, so ranking
     needs no task that sees a whole file.
     """
     usable = lines.select(F.lower(strip(F.make_valid_utf8("value"))).alias("ioc"), *POSITION, "seq").where(
         (F.col("ioc") != "") & ~F.startswith("ioc", F.lit("#"))
     )
+    if cap is None:
+        return usable.select("file_path", "ioc")
     blocks = usable.groupBy(*POSITION).agg(F.count(F.lit(1)).alias("rows"))
     before = W.partitionBy("file_path").orderBy("block_start").rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.select(*POSITION, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before")).where(
@@ -31,7 +31,7 @@ def indicator_rows(lines: DataFrame, cap: int = ROWS_PER_FILE) -> DataFrame:
     return ranked.where(F.col("rank") <= cap).select("file_path", "ioc")
 
 
-def read_indicators(spark: SparkSession, paths, cap: int = ROWS_PER_FILE) -> DataFrame:
+def read_indicators(spark: SparkSession, paths, cap: int | None = None) -> DataFrame:
     return indicator_rows(number_lines(raw_text(spark, paths)), cap)
 
 

@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import strip
+from tidewatch.session import settled
 
 POSITION = ["file_path", "block_start"]
 
 # Line ends besides \r and \n that a text upload is split on.
 _EXTRA_LINE_ENDS = "[\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
-_MAX_LISTED_FILES = 10_000
 
 
 def raw_text(spark: SparkSession, paths, line_sep: str | None = None) -> DataFrame:
@@ -42,16 +42,11 @@ def _latin1(value):
 def decode_files(lines: DataFrame) -> DataFrame:
     """Read a file that is not valid UTF-8 anywhere as latin-1 throughout.
 
-    One narrow pass finds such files. Few of them become a literal list; beyond
-    that the list stays distributed and is joined by path.
+    One narrow pass finds such files; unless there are none, lines are joined with them by path.
     """
-    broken = lines.where(~F.is_valid_utf8("value")).select("file_path").distinct()
-    listed = [row.file_path for row in broken.limit(_MAX_LISTED_FILES + 1).collect()]
-    if not listed:
+    broken = settled(lines.where(~F.is_valid_utf8("value")).select("file_path").distinct(), "broken-files")
+    if broken.isEmpty():
         return lines
-    if len(listed) <= _MAX_LISTED_FILES:
-        is_broken = F.col("file_path").isin(listed)
-        return lines.withColumn("value", F.when(is_broken, _latin1(F.col("value"))).otherwise(F.col("value")))
     marked = lines.join(broken.withColumn("_broken", F.lit(True)), "file_path", "left")
     value = F.when(F.col("_broken"), _latin1(F.col("value"))).otherwise(F.col("value"))
     return marked.withColumn("value", value).drop("_broken")
@@ -84,16 +79,23 @@ def read_lines(spark: SparkSession, paths, encoding: str = "file") -> DataFrame:
     return number_lines(split_lines(lines))
 
 
+RECORD_END = "</Event>"
+
+
 def read_xml_records(spark: SparkSession, paths) -> DataFrame:
-    """One row per ``<Event>…</Event>``, however the records are laid out in the file.
+    """One row per ``<Event>…</Event>``, however the records are laid out in the file."""
+    return number_lines(xml_records(raw_text(spark, paths, line_sep=RECORD_END)))
+
+
+def xml_records(records: DataFrame) -> DataFrame:
+    """Whole records from text that was read with ``RECORD_END`` as line separator, in batch or as a stream.
 
-    The closing tag is the record separator of the text reader, so large files
-    still split; whatever stands before the opening tag is cut off.
+    With the closing tag as separator large files still split; whatever stands
+    before the opening tag is cut off.
     """
-    end = "</Event>"
-    records = raw_text(spark, paths, line_sep=end)
+    end = RECORD_END
     start = F.regexp_instr("value", F.lit(r"<Event[\s>]"))
-    return number_lines(
+    return (
         records.where(strip(F.col("value")) != "")
         .withColumn("value", F.when(start > 0, F.expr("substr(value, regexp_instr(value, '<Event[\\\\s>]'))")).otherwise(F.col("value")))
         .withColumn("value", F.when(F.startswith("value", F.lit("<Event")), F.concat("value", F.lit(end))).otherwise(F.col("value")))

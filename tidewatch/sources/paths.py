@@ -15,6 +15,29 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return system.exists(hadoop)
 
 
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file; False if it is there already. Of two writers only one succeeds."""
+    system, hadoop = _resolve(spark, path)
+    system.mkdirs(hadoop.getParent())
+    if not system.createNewFile(hadoop):
+        return False
+    out = system.create(hadoop, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
+def remove_folders(spark: SparkSession, pattern: str) -> int:
+    """Delete the folders that match a glob pattern; returns how many."""
+    system, hadoop = _resolve(spark, pattern)
+    found = [status.getPath() for status in system.globStatus(hadoop) or [] if status.isDirectory()]
+    for folder in found:
+        system.delete(folder, True)
+    return len(found)
+
+
 def partition_values(spark: SparkSession, root: str, column: str) -> list[str]:
     """Values of the ``column=value`` folders right below ``root``; none if it is missing."""
     system, hadoop = _resolve(spark, f"{root}/{column}=*")

@@ -12,7 +12,8 @@ from tidewatch.operators import rules as ops
 from tidewatch.sources.audit import AuditLog
 from tidewatch.sources.paths import path_exists
 
-_SUBMISSIONS = "rule_id string, yaml_content string, submitted_at timestamp"
+_SUBMISSIONS = "rule_id string, yaml_content string, submitted_at timestamp, sequence bigint"
+_ORDER = ("submitted_at", "sequence")
 _CONFIRMATIONS = "rule_id string, version int, confirmed_at timestamp"
 _EXPORTS = "rule_id string, version int, export_format string, exported_at timestamp"
 
@@ -53,10 +54,10 @@ class RuleStore:
         return self._read("submissions", _SUBMISSIONS)
 
     def versions(self) -> DataFrame:
-        return ops.number_versions(self.submissions())
+        return ops.number_versions(self.submissions(), _ORDER)
 
     def rules(self) -> DataFrame:
-        return ops.latest_rules(self.submissions(), self._read("confirmations", _CONFIRMATIONS))
+        return ops.latest_rules(self.submissions(), self._read("confirmations", _CONFIRMATIONS), _ORDER)
 
     def list_rules(self, confirmed_only: bool = False) -> DataFrame:
         return ops.list_rules(self.rules(), confirmed_only)
@@ -69,7 +70,7 @@ class RuleStore:
             raise TypeError("rule_id must not be None")
         mine = F.col("rule_id") == rule_id
         confirmations = self._read("confirmations", _CONFIRMATIONS).where(mine)
-        return ops.latest_rules(self.submissions().where(mine), confirmations).first()
+        return ops.latest_rules(self.submissions().where(mine), confirmations, _ORDER).first()
 
     def get_rule(self, rule_id: str) -> Row:
         row = self.find(rule_id)
@@ -82,7 +83,7 @@ class RuleStore:
         """Add a version, unconfirmed; returns its number."""
         rule_id, yaml_content = _text(rule_id, "rule_id"), _text(yaml_content, "yaml_content")
         existing = self.find(rule_id)
-        self._append("submissions", _SUBMISSIONS, rule_id, yaml_content, _now())
+        self._append("submissions", _SUBMISSIONS, rule_id, yaml_content, _now(), 0)
         row = self.get_rule(rule_id)
         self.audit.log_rule_event(
             rule_id, "created" if existing is None else "updated", detail=f"sha256={row.sha256}"
@@ -90,9 +91,14 @@ class RuleStore:
         return row.version
 
     def store_rules(self, submissions: DataFrame) -> None:
-        """Add many versions (rule_id, yaml_content) in one job."""
+        """Add many versions (rule_id, yaml_content) in one job.
+
+        Rows with one time keep the order of the column ``sequence`` if they have it, else
+        that in which they are written.
+        """
         self_time = F.col("submitted_at") if "submitted_at" in submissions.columns else F.current_timestamp()
-        rows = submissions.select("rule_id", "yaml_content", self_time.alias("submitted_at"))
+        place = F.col("sequence") if "sequence" in submissions.columns else F.monotonically_increasing_id()
+        rows = submissions.select("rule_id", "yaml_content", self_time.alias("submitted_at"), place.alias("sequence"))
         rows.write.mode("append").parquet(f"{self.root}/submissions")
 
     def confirm_rule(self, rule_id: str, session_id: str | None = None) -> None:

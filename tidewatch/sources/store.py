@@ -1,9 +1,11 @@
-"""The event store: Parquet partitioned by table, class and ingest run.
+"""The event store: Parquet partitioned by table, class, day of the event, and ingest run.
 
-``<root>/table=events/class_uid=3001/run=<id>/…`` holds events,
+``<root>/table=events/class_uid=3001/event_date=2026-01-01/run=<id>/…`` holds events,
 ``<root>/table=quarantine/…`` the rows that could not become events. Both are
 written by one job. A run overwrites only its own partitions, so repeating a
-failed or duplicated run (a retried stream batch, say) leaves no extra copies.
+failed or duplicated run (a retried stream batch, say) leaves no extra copies, and
+partitions of the run that it no longer fills are removed.
+A time range is turned into a range of days, so other days' folders are never opened.
 Replay sessions live in a tree of their own and are read only on request.
 """
 
@@ -11,12 +13,14 @@ from __future__ import annotations
 
 import re
 import uuid
+from datetime import datetime
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.errors import PartitionNotFoundError, ReplaySessionNotFoundError
+from tidewatch.operators.filters import utc
 from tidewatch.registry import FieldRegistry
 from tidewatch.sources.audit import AuditLog
 from tidewatch.sources.paths import partition_values, path_exists
@@ -85,11 +89,24 @@ class EventStore:
         names = partition_values(self.spark, self.events_root, "class_uid")
         return sorted(int(name) for name in names if name.isdecimal())
 
-    def scan(self, class_uid: int, include_replay: bool = False, session_id: str | None = None) -> DataFrame:
-        """Events of one class; with a session also that session's replayed events."""
-        base = self._read_events(self.events_root, self.partition_path(class_uid))
+    def scan(
+        self,
+        class_uid: int,
+        include_replay: bool = False,
+        session_id: str | None = None,
+        time_range: tuple[datetime, datetime] | None = None,
+    ) -> DataFrame:
+        """Events of one class; with a session also that session's replayed events.
+
+        ``time_range`` only opens the days that it touches; it does not filter within them.
+        """
+        base = self._read_events(self.events_root, self.partition_path(class_uid), extra=("event_date",))
         if base is None:
             raise PartitionNotFoundError(f"no events stored for class_uid={class_uid} below {self.events_root}")
+        if time_range is not None:
+            first, last = (f"{utc(t):%Y-%m-%d}" for t in time_range)
+            base = base.where(F.col("event_date").between(first, last))
+        base = base.drop("event_date")
         if not include_replay or session_id is None:
             return base
         replay = self.scan_replay(session_id, must_exist=False)
@@ -137,21 +154,21 @@ class EventStore:
         source_format: str = "unknown",
         file_path: str | None = None,
         run_id: str | None = None,
-        compact: bool = False,
+        compact: bool = True,
     ) -> int:
         """Add events; returns how many. The count is observed by the writing job itself.
 
-        ``compact`` adds a rebalancing shuffle that evens out file sizes per class
-        (large classes are split, small ones merged); without it tasks write what
+        ``compact`` adds a rebalancing shuffle that evens out file sizes per class and
+        day (large ones are split, small ones merged); without it tasks write what
         they hold.
         """
         run_id = _safe(run_id or new_run_id(), "run_id")
         seen = Observation()
-        rows = self._conform(events).withColumn("table", F.lit("events")).withColumn("run", F.lit(run_id))
+        rows = self._conform(events).withColumn("table", F.lit("events")).withColumn("event_date", event_date()).withColumn("run", F.lit(run_id))
         if compact:
-            rows = rows.hint("rebalance", "class_uid")
+            rows = rows.hint("rebalance", "class_uid", "event_date")
         rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
-        write_partitions(rows, self.root, ["table", "class_uid", "run"])
+        write_partitions(rows, self.root, PARTITIONS)
         written = seen.get["rows"]
         if self.audit is not None:
             self.audit.log_ingest(run_id, source_format, written, 0, file_path)
@@ -182,6 +199,14 @@ class EventStore:
         return str(uuid.uuid4())
 
 
+PARTITIONS = ["table", "class_uid", "event_date", "run"]
+
+
+def event_date() -> Column:
+    """The day (UTC) of an event; rows without a time share one folder."""
+    return F.coalesce(F.date_format("time", "yyyy-MM-dd"), F.lit("none"))
+
+
 def write_partitions(rows: DataFrame, root: str, partitions: list[str]) -> None:
     """Overwrite only the partitions that occur in ``rows``."""
     (

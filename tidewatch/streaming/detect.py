@@ -62,15 +62,17 @@ def stream_indicator_hits(events: DataFrame, indicators: DataFrame) -> DataFrame
 def stream_anomalies(events: DataFrame, metric: MetricDefinition, baselines: DataFrame, late: str = LATE) -> DataFrame:
     """Hourly metric of each entity against stored baselines, as each hour closes."""
     counts = metric.computation in ("count", "rate_per_hour")
+    rows = events.where((F.col("class_uid") == metric.class_uid) & F.col(metric.entity_field).isNotNull()).withWatermark("time", late)
+    hour = F.window("time", "1 hour").alias("window")
     if metric.computation == "distinct_field_count":
-        value = F.approx_count_distinct(F.col(metric.target_field)).cast("double")
+        # Each value once an hour and entity, then a plain count: exact, and open hours only are kept as state.
+        rows = rows.select(hour, entity(metric).alias("entity_value"), F.col(metric.target_field).alias("target")).dropDuplicates()
+        grouped, value = rows.groupBy("window", "entity_value"), F.count("target").cast("double")
     else:
         value = F.count(F.lit(1)).cast("double") if counts else metric_column(metric)
+        grouped = rows.groupBy(hour, entity(metric).alias("entity_value"))
     hourly = (
-        events.where((F.col("class_uid") == metric.class_uid) & F.col(metric.entity_field).isNotNull())
-        .withWatermark("time", late)
-        .groupBy(F.window("time", "1 hour"), entity(metric).alias("entity_value"))
-        .agg(value.alias("current_value"))
+        grouped.agg(value.alias("current_value"))
         .select(
             F.col("window.start").alias("hour"),
             F.lit(metric.entity_type).alias("entity_type"),
