@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.session import settled
+
 # Fields compared with indicators, in result order.
 MATCH_FIELDS = ("src_endpoint.ip", "dst_endpoint.ip", "file.path", "actor.user.name")
 
@@ -33,38 +38,77 @@ def values_present(events: DataFrame, indicators: DataFrame) -> DataFrame:
     return values.distinct().join(indicators, "ioc", "left_semi")
 
 
-def look_up(events: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
-    """Add ``ioc_matches`` by one left join per field with distinct ``wanted`` values."""
+def _with_matches(events: DataFrame, is_hit: list[Column]) -> DataFrame:
+    hits = [F.when(hit, F.col(path).cast("string")) for hit, path in zip(is_hit, MATCH_FIELDS, strict=True)]
+    return events.withColumn("ioc_matches", F.array_compact(F.array(*hits)))
+
+
+def look_up_small(events: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Add ``ioc_matches`` by one broadcast join per field; events never shuffle."""
     marked = events
     for i, path in enumerate(MATCH_FIELDS):
-        side = wanted.select(F.col("ioc").alias(f"_ioc{i}"))
-        if small:
-            side, key = F.broadcast(side), _field(path)
-        else:
-            # rows without the field would all meet in one shuffle partition
-            spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("time", "metadata"), F.lit(4096)).cast("string"))
-            key = F.coalesce(_field(path), spread)
-        marked = marked.join(side, key == F.col(f"_ioc{i}"), "left")
-    hits = [F.when(F.col(f"_ioc{i}").isNotNull(), F.col(p).cast("string")) for i, p in enumerate(MATCH_FIELDS)]
-    return marked.withColumn("ioc_matches", F.array_compact(F.array(*hits))).drop(
-        *[f"_ioc{i}" for i in range(len(MATCH_FIELDS))]
+        side = F.broadcast(wanted.select(F.col("ioc").alias(f"_ioc{i}")))
+        marked = marked.join(side, _field(path) == F.col(f"_ioc{i}"), "left")
+    names = [f"_ioc{i}" for i in range(len(MATCH_FIELDS))]
+    return _with_matches(marked, [F.col(n).isNotNull() for n in names]).drop(*names)
+
+
+def look_up_large(events: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Add ``ioc_matches`` for a list of any size, by one join on values and one back.
+
+    Events are known by a hash of their fields that are compared. Each distinct combination of
+    these values meets the list once; only combinations that hit something are joined back, by
+    their values, and rows of other combinations are not held up by a hot value.
+    """
+    fields = [f"_f{i}" for i in range(len(MATCH_FIELDS))]
+    valued = events.withColumns({name: _field(path) for name, path in zip(fields, MATCH_FIELDS, strict=True)})
+    valued = valued.withColumn("_values", F.xxhash64(*fields))
+    combinations = settled(valued.select("_values", *fields).distinct(), "indicator-values")
+    places = F.posexplode(F.array(*fields)).alias("at", "ioc")
+    hit = (
+        combinations.select("_values", *fields, places)
+        .where("ioc IS NOT NULL")
+        .join(wanted, "ioc")
+        .groupBy("_values", *fields)
+        .agg(F.collect_set("at").alias("_at"))
     )
+    other = hit.select(F.col("_values").alias("_key"), *[F.col(f).alias(f"{f}h") for f in fields], "_at")
+    same = [valued[f].eqNullSafe(F.col(f"{f}h")) for f in fields]
+    on = reduce(and_, same, valued["_values"] == F.col("_key"))
+    marked = valued.join(other, on, "left")
+    is_hit = [F.coalesce(F.array_contains("_at", i), F.lit(False)) for i in range(len(MATCH_FIELDS))]
+    return _with_matches(marked, is_hit).drop("_values", "_key", "_at", *fields, *[f"{f}h" for f in fields])
 
 
 def mark_indicators(events: DataFrame, indicators: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Add ``ioc_matches``: original values of matching fields, in field order; empty without a match.
 
-    Each field is looked up by an equi-join on the lower-cased value. A list of
-    proven small size is broadcast and events never shuffle. A larger list is
-    first cut down to the values that occur; only if those are still too many do
-    the joins shuffle, where adaptive execution splits hot values.
+    Each field is looked up by its lower-cased value. A list of proven small size is broadcast and
+    events never shuffle. A larger list is first cut down to the values that occur;
+    only if those are still too many do the events meet it by shuffle.
     """
     wanted = indicators.select("ioc").distinct()
-    small = is_small(wanted, "ioc", max_bytes)
-    if not small and not events.isStreaming:
-        wanted = values_present(events, wanted)
-        small = is_small(wanted, "ioc", max_bytes)
-    return look_up(events, wanted, small)
+    if not is_small(wanted, "ioc", max_bytes):
+        if events.isStreaming:
+            return look_up_streaming(events, wanted)
+        wanted = settled(values_present(events, wanted), "indicators-present")
+        if not is_small(wanted, "ioc", max_bytes):
+            return look_up_large(events, wanted)
+    return look_up_small(events, wanted)
+
+
+def look_up_streaming(events: DataFrame, wanted: DataFrame) -> DataFrame:
+    """A stream against a large list: one shuffled stream-static join per field.
+
+    Rows without the field would all meet in one shuffle partition, so they get spread keys that match nothing.
+    """
+    marked = events
+    for i, path in enumerate(MATCH_FIELDS):
+        spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("time", "metadata"), F.lit(4096)).cast("string"))
+        side = wanted.select(F.col("ioc").alias(f"_ioc{i}"))
+        marked = marked.join(side, F.coalesce(_field(path), spread) == F.col(f"_ioc{i}"), "left")
+    names = [f"_ioc{i}" for i in range(len(MATCH_FIELDS))]
+    return _with_matches(marked, [F.col(n).isNotNull() for n in names]).drop(*names)
 
 
 def indicator_hits(events: DataFrame, indicators: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:

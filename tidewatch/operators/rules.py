@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.text import pinned, strip
+from tidewatch.session import settled
 
 # -- versions ----------------------------------------------------------------
 
@@ -159,6 +160,8 @@ def match_rule(events: DataFrame, yaml_content: str, compat: bool = False, skip:
 LITERAL_KEYWORDS = 128
 AUTOMATON_BYTES = 32 * 1024 * 1024
 _GRAM = 4
+_SALTS = 8
+_MARKS = 1 << 18
 
 
 def with_keyword_hits(
@@ -192,73 +195,103 @@ def _multi_search(rows: DataFrame, listed: list[str]):
     shared = rows.sparkSession.sparkContext.broadcast(listed)
 
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
+        automaton = _automaton(shared)
+        for texts in batches:
+            found = [[] if t is None else sorted({word for _, word in automaton.iter(t)}) for t in texts]
+            yield pd.Series(found, dtype=object)
+
+    return F.pandas_udf(search, "array<string>")
+
+
+_built: dict = {}
 
+
+def _automaton(shared):
+    """The automaton of a broadcast keyword list, built once in each Python worker."""
+    import ahocorasick
+
+    key = id(shared.value)
+    if key not in _built:
         automaton = ahocorasick.Automaton()
         for word in shared.value:
             automaton.add_word(word, word)
         automaton.make_automaton()
-        for texts in batches:
-            yield texts.map(lambda t: [] if t is None else sorted({word for _, word in automaton.iter(t)}))
-
-    return F.pandas_udf(search, "array<string>")
+        _built.clear()
+        _built[key] = automaton
+    return _built[key]
 
 
 def _hits_by_join(rows: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     """The same as an equi-join, for keyword sets too large to send around.
 
     A keyword is filed under its first characters, a text is looked up under each
-    of its distinct pieces of that length, candidates are verified, and equal
-    texts are searched once.
+    of its distinct pieces of that length, and candidates are verified. Equal
+    texts are searched once and known by a hash (the text itself is compared when hits are
+    joined back); pieces that begin no keyword are dropped before they are shuffled, as far
+    as a filter of fixed size can tell.
     """
     filed = wanted.select("keyword", F.left(F.col("keyword"), F.lit(_GRAM)).alias("gram"))
 
     def pieces(n: int) -> Column:
-        last = F.length(F.col(text)) - (n - 1)
+        last = F.length("text") - (n - 1)
         starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1))))
         return F.coalesce(
-            F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(n))), F.array().cast("array<string>")
+            F.transform(starts, lambda i: F.substring("text", i, F.lit(n))), F.array().cast("array<string>")
         )
 
+    # Which hashes of keyword beginnings occur, as a set of at most _MARKS numbers: a bounded broadcast.
+    mark = lambda c: F.pmod(F.xxhash64(c), F.lit(_MARKS)).cast("int")
+    marks = filed.select(mark(F.col("gram")).alias("mark")).distinct()
+    texts = settled(rows.select(F.col(text).alias("text")).distinct().withColumn("text_id", F.xxhash64("text")), "keyword-texts")
     grams = F.array_distinct(F.concat(*[pieces(n) for n in range(1, _GRAM + 1)]))
-    found = (
-        rows.select(text)
-        .distinct()
-        .withColumn("gram", F.explode(grams))
+    candidates = (
+        texts.select("text_id", F.explode(grams).alias("gram"))
+        .join(F.broadcast(marks), mark(F.col("gram")) == F.col("mark"), "left_semi")
         .join(filed, "gram")
-        .where(F.contains(text, "keyword"))
-        .groupBy(text)
+        .select("text_id", "keyword")
+        .distinct()
+    )
+    found = (
+        texts.join(candidates, "text_id")
+        .where(F.contains("text", "keyword"))
+        .groupBy("text")
         .agg(F.sort_array(F.collect_set("keyword")).alias("hits"))
     )
-    return rows.join(found, text, "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<string>")))
+    joined = rows.join(found.withColumnRenamed("text", "_found_text"), F.col(text) == F.col("_found_text"), "left").drop("_found_text")
+    return joined.withColumn("hits", F.coalesce("hits", F.array().cast("array<string>")))
 
 
-def backtest_rules(events: DataFrame, rules: DataFrame, compat: bool = False, skip: tuple[str, ...] = ()) -> DataFrame:
+def backtest_rules(
+    events: DataFrame, rules: DataFrame, compat: bool = False, skip: tuple[str, ...] = (), **search
+) -> DataFrame:
     """(rule_id, match_count, total_events) for many rules over the same events.
 
     Events are first counted per set of keywords they contain, and rules with the
     same keywords are taken together. Only the distinct sets of both sides meet,
-    on a shared keyword, and each pair counts once.
+    on a shared keyword, and each pair counts once, as it is formed. ``search`` are options of
+    ``with_keyword_hits``.
     """
     words = rule_keywords(rules, compat)
+    words = settled(rule_keywords(rules, compat), "rule-keywords")
     texts = events.select(event_text(events, skip).alias("text"))
-    seen = (
-        with_keyword_hits(texts, words)
-        .where(F.size("hits") > 0)
-        .groupBy("hits")
-        .agg(F.count(F.lit(1)).alias("n"))
+    # One pass over the events: per set of keywords found how many events have it, the empty set included.
+    seen = settled(
+        with_keyword_hits(texts, words, **search).groupBy("hits").agg(F.count(F.lit(1)).alias("n")), "keyword-sets"
     )
     of_rule = words.groupBy("rule_id").agg(F.sort_array(F.collect_set("keyword")).alias("wanted"))
+    # A set meets each set of wanted keywords once: at the first keyword, in order, that both have.
+    # Frequent keywords are salted on the side of the events' sets and repeated on the rules' side.
+    salts = F.array(*[F.lit(i) for i in range(_SALTS)])
+    sets = seen.where(F.size("hits") > 0).select("hits", "n", F.pmod(F.xxhash64("hits"), F.lit(_SALTS)).cast("int").alias("salt"), F.explode("hits").alias("keyword"))
+    asked = of_rule.select("wanted").distinct().select("wanted", F.explode("wanted").alias("keyword")).withColumn("salt", F.explode(salts))
     per_set = (
-        seen.withColumn("keyword", F.explode("hits"))
-        .join(of_rule.select("wanted").distinct().withColumn("keyword", F.explode("wanted")), "keyword")
-        .select("wanted", "hits", "n")
-        .distinct()
+        asked.join(sets, ["keyword", "salt"])
+        .where(F.element_at(F.array_intersect("wanted", "hits"), 1) == F.col("keyword"))
         .groupBy("wanted")
         .agg(F.sum("n").alias("match_count"))
     )
     per_rule = of_rule.join(per_set, "wanted").select("rule_id", "match_count")
-    total = events.agg(F.count(F.lit(1)).alias("n")).scalar()
+    total = seen.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
     return rules.select("rule_id").join(per_rule, "rule_id", "left").select(
         "rule_id",
         F.coalesce("match_count", F.lit(0)).cast("bigint").alias("match_count"),
