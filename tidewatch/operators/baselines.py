@@ -7,7 +7,7 @@ counts, rates and distinct counts.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,10 +96,13 @@ def latest_hour(events: DataFrame, metric: MetricDefinition) -> Column:
     )
 
 
-def _as_of_hour(events: DataFrame, metric: MetricDefinition, as_of: datetime | None) -> Column:
-    if as_of is None:
-        return latest_hour(events, metric)
-    return F.lit(utc(as_of).replace(minute=0, second=0, microsecond=0))
+def start_of_hour(as_of: datetime) -> datetime:
+    return utc(as_of).replace(minute=0, second=0, microsecond=0)
+
+
+def before_hour(events: DataFrame, as_of: datetime | None) -> DataFrame:
+    """Events before the ``as_of`` hour, by a plain comparison that reaches the scan; all of them without one."""
+    return events if as_of is None else events.where(F.col("time") < F.lit(start_of_hour(as_of)))
 
 
 def hourly_baseline(
@@ -116,7 +119,20 @@ def hourly_baseline(
     hour. They only add zeros, so mean and deviation follow from the filled
     hours' moments and no rows are generated.
     """
-    hours = hourly_values(events, metric).where(F.col("hour") < _as_of_hour(events, metric, as_of))
+    hours = hourly_values(before_hour(events, as_of), metric)
+    if as_of is None:
+        hours = hours.where(F.col("hour") < latest_hour(events, metric))
+    return baseline_of_hours(hours, metric, zero_fill, min_observations, computed_at)
+
+
+def baseline_of_hours(
+    hours: DataFrame,
+    metric: MetricDefinition,
+    zero_fill: bool = False,
+    min_observations: int = MIN_OBSERVATIONS,
+    computed_at: datetime | None = None,
+) -> DataFrame:
+    """The same from rows of ``hourly_values``."""
     stats = hours.groupBy("entity_value").agg(
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("stddev"),
@@ -144,9 +160,17 @@ def hourly_baseline(
 
 def current_hour_values(events: DataFrame, metric: MetricDefinition, as_of: datetime | None = None) -> DataFrame:
     """The value of each entity in the ``as_of`` hour, keyed for anomaly detection."""
-    at = _as_of_hour(events, metric, as_of)
-    in_hour = events.where(F.date_trunc("hour", "time") == at)
-    return _keyed(hourly_values(in_hour, metric), metric, "value")
+    if as_of is None:
+        in_hour = events.where(F.col("time") >= latest_hour(events, metric))
+    else:
+        start = start_of_hour(as_of)
+        in_hour = events.where((F.col("time") >= F.lit(start)) & (F.col("time") < F.lit(start + timedelta(hours=1))))
+    return current_of_hours(hourly_values(in_hour, metric), metric)
+
+
+def current_of_hours(hours: DataFrame, metric: MetricDefinition) -> DataFrame:
+    """Rows of ``hourly_values``, keyed for anomaly detection."""
+    return _keyed(hours, metric, "value")
 
 
 def current_event_values(events: DataFrame, metric: MetricDefinition, *carry: str) -> DataFrame:
