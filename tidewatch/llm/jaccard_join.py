@@ -3,27 +3,28 @@
 A document's set is its distinct 5-word shingles (64-bit hashes). Documents link if the
 Jaccard similarity is 0.75 or more; the groups are the connected components.
 
-1. Equal sets become one class (a digest of the set, grouped); only one text of a class
-   goes on.
-2. The incidence is cut into blocks of n-gram columns. A block holds, for each class, the
+1. Equal sets become one class (a digest of the set, grouped); only the document with the
+   smallest id of a class goes on.
+2. The incidence is cut into blocks of n-gram columns. A block holds, for each document, the
    n-grams that fall into it; its product with itself tells which n-grams two or more
-   classes share, and how many classes (their frequency). Only shared n-grams come back.
-3. Size-derived bounds: a class links only if at least three quarters of its set are
-   shared. Of classes that pass, the rarest ``shared - ceil(3/4 size) + 1`` shared n-grams
-   must hold one that a linked class has among its own such n-grams, and sizes and the
+   documents share, and how many (their frequency). Only shared n-grams come back, packed.
+3. Size-derived bounds: a document links only if at least three quarters of its set are
+   shared. Of documents that pass, the rarest ``shared - ceil(3/4 size) + 1`` shared n-grams
+   must hold one that a linked document has among its own such n-grams, and sizes and the
    places of that n-gram bound the overlap from above. Pairs below the bounds are dropped.
 4. The overlap of a remaining pair is counted exactly on the shared n-grams of both
-   (n-grams that only one class has add nothing to an overlap).
+   (n-grams that only one document has add nothing to an overlap).
 
 Near copies by the thousand share their n-grams with each other. For them not all pairs
-are looked at: first every class meets one leader, the class that leads most of its rare
-n-grams' lists; classes that link with the same leader are connected already, so only
+are looked at: first every document meets one leader, which leads most of its rare
+n-grams' lists; documents that link with the same leader are connected already, so only
 pairs that are not yet connected follow, each n-gram's list minus its largest connected
-part against the whole list. No list is capped; no link between unconnected classes is lost.
+part against the whole list. No list is capped; no link between unconnected documents is lost.
 
 Defined cases: texts without words (null, empty) have size 0 and link with nothing; fewer
 than five words are one shingle; a null doc_id links with nothing and has a null component;
-repeated rows are copies of each other; further columns are ignored.
+repeated rows are copies of each other (of rows that share a doc_id but differ in text one
+takes part in links, the others link with nothing); further columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,17 +89,32 @@ def _classes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, class bigint")
 
 
+def _runs_of(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values begins, and its length."""
+    heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
+    return heads, np.diff(heads, append=len(owner))
+
+
+def _blob(rows: pa.Table, name: str, kind) -> np.ndarray:
+    parts = [np.frombuffer(x.as_buffer(), kind) for x in rows.column(name)]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
 def _incidence(docs: DataFrame, blocks: int) -> DataFrame:
-    """Rows of a block: classes, how many n-grams of each, and the n-grams' low halves."""
+    """Rows of a block: documents, how many n-grams of each, and the n-grams' low halves, packed.
+
+    ``docs`` has doc_id, text, class; a text that is not of the class is left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in chunks(batches, _CHUNK):
-            sets = [s for s in shingle_sets(texts) if len(s)]
+        for batch, texts in chunks(batches, _CHUNK):
+            wanted = zip(shingle_sets(texts), column(batch, "doc_id").to_pylist(), column(batch, "class").to_pylist(), strict=True)
+            sets = [(s, doc) for s, doc, name in wanted if _class_of(s) == name]
             if not sets:
                 continue
-            names = np.array([_class_of(s) for s in sets], np.int64)
-            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            grams = np.concatenate(sets)
+            names = np.array([doc for _, doc in sets], np.int64)
+            owner = np.repeat(np.arange(len(sets)), [len(s) for s, _ in sets])
+            grams = np.concatenate([s for s, _ in sets])
             block = ((grams >> _HALF) * np.uint64(blocks) >> _HALF).astype(np.int32)
             order = np.argsort(block, kind="stable")
             cuts = np.searchsorted(block[order], np.arange(blocks + 1))
@@ -107,48 +123,79 @@ def _incidence(docs: DataFrame, blocks: int) -> DataFrame:
                 part = order[cuts[b] : cuts[b + 1]]
                 if len(part):
                     own = owner[part]
-                    heads = np.flatnonzero(np.diff(own, prepend=-1))
-                    sizes = np.diff(heads, append=len(own)).astype(np.uint32)
-                    rows.append((b, names[own[heads]].tobytes(), sizes.tobytes(), (grams[part] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()))
+                    heads, sizes = _runs_of(own)
+                    low = (grams[part] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                    rows.append((b, names[own[heads]].tobytes(), sizes.astype(np.uint32).tobytes(), low.tobytes()))
             kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "classes", "sizes", "grams"]
+                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "docs", "sizes", "grams"]
             )
 
-    return docs.mapInArrow(run, "block int, classes binary, sizes binary, grams binary")
-
-
-def _block_product(rows: pa.Table) -> pa.Table:
-    """Shared n-grams of one block: for each class its shared n-grams and how many classes have each."""
-    block = rows.column("block")[0].as_py()
-    blob = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in rows.column(name)])
-    grams = blob("grams", np.uint32)
-    owner = np.repeat(blob("classes", np.int64), blob("sizes", np.uint32))
-    order = np.argsort(grams, kind="stable")
-    grams, owner = grams[order], owner[order]
-    same = grams[1:] == grams[:-1]
-    shared = np.append(same, False) | np.insert(same, 0, False)
-    grams, owner = grams[shared], owner[shared]
-    # A class may come twice (repeated rows); it counts once.
-    order = np.lexsort((owner, grams))
-    grams, owner = grams[order], owner[order]
-    new = np.ones(len(grams), bool)
-    new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
-    grams, owner = grams[new], owner[new]
-    heads = np.flatnonzero(np.diff(grams.astype(np.int64), prepend=-1))
-    counts = np.diff(heads, append=len(grams))
-    often = np.repeat(counts, counts)
-    keep = often >= 2
-    grams, owner, often = grams[keep], owner[keep], often[keep]
+    return docs.mapInArrow(run, "block int, docs binary, sizes binary, grams binary")
+
+
+_SHARED = "bucket int, block int, docs binary, sizes binary, grams binary, often binary"
+
+
+def _block_product(buckets: int):
+    def product(rows: pa.Table) -> pa.Table:
+        """Shared n-grams of one block, packed by the bucket of the document: which, and how many documents have each."""
+        block = rows.column("block")[0].as_py()
+        grams = _blob(rows, "grams", np.uint32)
+        owner = np.repeat(_blob(rows, "docs", np.int64), _blob(rows, "sizes", np.uint32))
+        order = np.argsort(grams, kind="stable")
+        grams, owner = grams[order], owner[order]
+        same = grams[1:] == grams[:-1]
+        shared = np.append(same, False) | np.insert(same, 0, False)
+        grams, owner = grams[shared], owner[shared]
+        # A document may come twice (repeated rows); it counts once.
+        order = np.lexsort((owner, grams))
+        grams, owner = grams[order], owner[order]
+        new = np.ones(len(grams), bool)
+        new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
+        grams, owner = grams[new], owner[new]
+        counts = _runs_of(grams)[1]
+        often = np.repeat(counts, counts)
+        keep = often >= 2
+        grams, owner, often = grams[keep], owner[keep], np.minimum(often[keep], 0xFFFF).astype(np.uint16)
+        bucket = owner % buckets
+        order = np.lexsort((grams, owner, bucket))
+        grams, owner, often, bucket = grams[order], owner[order], often[order], bucket[order]
+        out = []
+        for a, n in zip(*_runs_of(bucket), strict=True):
+            part = slice(a, a + n)
+            heads, sizes = _runs_of(owner[part])
+            out.append((bucket[a], block, owner[part][heads].tobytes(), sizes.astype(np.uint32).tobytes(), grams[part].tobytes(), often[part].tobytes()))
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        cols = list(zip(*out, strict=True)) or [[]] * len(kinds)
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("bucket", "block", "docs", "sizes", "grams", "often"), cols, kinds, strict=True)})
+
+    return product
+
+
+def _gathered(shared: pa.Table, sizes: pa.Table) -> pa.Table:
+    """Documents of a bucket with enough shared n-grams: doc, n, grams, often."""
+    each = _blob(shared, "sizes", np.uint32)
+    owner = np.repeat(_blob(shared, "docs", np.int64), each)
+    lengths = [len(x.as_buffer()) // 4 for x in shared.column("grams")]
+    block = np.repeat(np.array(shared.column("block").to_pylist(), np.int64), lengths)
+    grams = (block << 32) | _blob(shared, "grams", np.uint32).astype(np.int64)
+    often = _blob(shared, "often", np.uint16).astype(np.int32)
     order = np.argsort(owner, kind="stable")
-    grams, owner, often = grams[order], owner[order], often[order]
-    heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
-    offsets = pa.array(np.append(heads, len(owner)), pa.int32())
+    owner, grams, often = owner[order], grams[order], often[order]
+    heads, counts = _runs_of(owner)
+    docs, n = sizes.column("doc").to_numpy(), sizes.column("n").to_numpy()
+    by = np.argsort(docs)
+    n = n[by][np.searchsorted(docs[by], owner[heads])]
+    enough = counts >= -(-3 * n // 4)
+    keep = np.repeat(enough, counts)
+    offsets = pa.array(np.append(0, np.cumsum(counts[enough])), pa.int32())
     return pa.table(
         {
-            "class": pa.array(owner[heads]),
-            "grams": pa.ListArray.from_arrays(offsets, pa.array((np.int64(block) << 32) | grams.astype(np.int64))),
-            "often": pa.ListArray.from_arrays(offsets, pa.array(often.astype(np.int32))),
+            "doc": pa.array(owner[heads][enough]),
+            "n": pa.array(n[enough]),
+            "grams": pa.ListArray.from_arrays(offsets, pa.array(grams[keep])),
+            "often": pa.ListArray.from_arrays(offsets, pa.array(often[keep])),
         }
     )
 
@@ -160,41 +207,43 @@ def _needed(n: Column) -> Column:
 
 def _verified(pairs: DataFrame, shared: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, by their exact overlap."""
-    left = shared.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("grams").alias("grams_a"))
-    right = shared.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("grams").alias("grams_b"))
+    left = shared.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("grams").alias("grams_a"))
+    right = shared.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("grams").alias("grams_b"))
     overlap = F.size(F.array_intersect("grams_a", "grams_b"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("both", overlap)
     return joined.where("100 * both >= 75 * (n_a + n_b - both)").select("a", "b")
 
 
 def _links(shared: DataFrame) -> DataFrame:
-    """Links (a, b) between classes, enough of them to connect all that is connected."""
+    """Links (a, b) between documents, enough of them to connect all that is connected."""
     items = F.sort_array(F.arrays_zip(F.col("often").alias("often"), F.col("grams").alias("gram")))
     prefix = F.slice("items", F.lit(1), (F.col("s") - _needed(F.col("n")) + 1).cast("int"))
     lists = settle(
-        shared.select("class", "n", F.size("grams").alias("s"), items.alias("items"))
-        .select("class", "n", "s", F.posexplode(prefix).alias("at", "item"))
-        .select(F.col("item.gram").alias("gram"), "class", "n", "s", "at"),
+        shared.select("doc", "n", F.size("grams").alias("s"), items.alias("items"))
+        .select("doc", "n", "s", F.posexplode(prefix).alias("at", "item"))
+        .select(F.col("item.gram").alias("gram"), "doc", "n", "s", "at"),
         "jaccard-lists",
     )
-    # First every class meets the class that leads most of its lists.
-    leaders = lists.groupBy("gram").agg(F.min("class").alias("leader"))
-    led = lists.join(leaders, "gram").groupBy("class", "leader").count().where("class <> leader")
-    first = led.groupBy(F.col("class").alias("a")).agg(F.max_by("leader", F.struct("count", "leader")).alias("b"))
+    # First every document meets the one that leads most of its lists. A list is led by the document with the
+    # fewest n-grams of its own: among changed copies of one text that is the text itself, if it is there.
+    leaders = lists.groupBy("gram").agg(F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "doc")).alias("least"))
+    leaders = leaders.select("gram", F.col("least.doc").alias("leader"))
+    led = lists.join(leaders, "gram").where("doc <> leader").groupBy("doc", "leader").count()
+    first = led.groupBy(F.col("doc").alias("a")).agg(F.max_by("leader", F.struct("count", "leader")).alias("b"))
     linked = settle(_verified(first, shared), "jaccard-first")
     # Then pairs that are not connected yet.
     known = components(linked)
-    labelled = lists.join(known.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    labelled = lists.join(known.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     parts = labelled.groupBy("gram", "root").count()
     open_ = parts.groupBy("gram").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     rest = settle(labelled.join(open_.select("gram", "main"), "gram"), "jaccard-open")
-    few = rest.where("root <> main").select(*(F.col(c).alias(f"{c}_x") for c in ("gram", "class", "n", "s", "at", "root")))
+    few = rest.where("root <> main").select(*(F.col(c).alias(f"{c}_x") for c in ("gram", "doc", "n", "s", "at", "root")))
     bound = F.floor((3 * (F.col("n") + F.col("n_x")) + 6) / 7)  # of the overlap: 3/7 of both sizes, rounded up
     pairs = (
         few.join(rest, few.gram_x == rest.gram)
         .where(F.col("root") != F.col("root_x"))
         .where((100 * F.least("n", "n_x") >= 75 * F.greatest("n", "n_x")) & (F.least(F.col("s") - F.col("at"), F.col("s_x") - F.col("at_x")) >= bound))
-        .select(F.least("class", "class_x").alias("a"), F.greatest("class", "class_x").alias("b"))
+        .select(F.least("doc", "doc_x").alias("a"), F.greatest("doc", "doc_x").alias("b"))
         .distinct()
     )
     return linked.unionByName(_verified(pairs, shared))
@@ -204,30 +253,23 @@ def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, one row for each document row."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = settle(_classes(rows), "jaccard-classes")
-    classes = own.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.min("n_shingles").alias("n"))
+    of_doc = own.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("class", "n_shingles")).alias("set"))
+    classes = of_doc.groupBy("set.class").agg(F.min("doc_id").alias("doc"), F.min("set.n_shingles").alias("n"))
     classes = settle(classes, "jaccard-sets")
     total = classes.agg(F.sum("n")).first()[0] or 0
     blocks = 1 + int(total) // BLOCK_SHINGLES
-    one_each = rows.join(classes.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    product = (
-        _incidence(one_each, blocks)
-        .groupBy("block")
-        .applyInArrow(_block_product, "class bigint, grams array<bigint>, often array<int>")
-        .groupBy("class")
-        .agg(F.flatten(F.collect_list("grams")).alias("grams"), F.flatten(F.collect_list("often")).alias("often"))
+    one_each = rows.join(classes.select(F.col("doc").alias("doc_id"), "class"), "doc_id")
+    product = _incidence(one_each, blocks).groupBy("block").applyInArrow(_block_product(blocks), _SHARED)
+    sizes = classes.select("doc", "n", F.pmod("doc", F.lit(blocks)).cast("int").alias("bucket"))
+    shared = product.groupBy("bucket").cogroup(sizes.groupBy("bucket")).applyInArrow(
+        _gathered, "doc bigint, n bigint, grams array<bigint>, often array<int>"
     )
-    shared = product.join(classes.select("class", "n"), "class").where(F.size("grams") >= _needed(F.col("n")))
     shared = settle(shared, "jaccard-shared")
-    groups = components(_links(shared))
-    least = groups.join(classes.select(F.col("class").alias("node"), "least"), "node")
-    lowest = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(groups.withColumnRenamed("node", "class"), "class", "left").join(lowest, "root", "left")
-    named = named.select("class", F.coalesce("component_id", "least").alias("component_id"))
-    return own.join(named, "class", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
-    )
+    groups = components(_links(shared)).select(F.col("node").alias("doc"), "root")
+    named = classes.join(groups, "doc", "left").select("class", F.coalesce("root", "doc").alias("component_id"))
+    joined = own.join(named, "class", "left").join(of_doc.select(F.col("doc_id").alias("of"), F.col("set.class").alias("main")), F.col("doc_id") == F.col("of"), "left")
+    linked = (F.col("n_shingles") > 0) & (F.col("class") == F.col("main"))
+    return joined.select("doc_id", "n_shingles", F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
