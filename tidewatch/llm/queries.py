@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import chat_format, decontaminate, jaccard_join, license_scan, ngram_lm, pieces, quality_rules, suffix_dedup, token_files, toxicity
 from tidewatch.llm.common import settle, table
+from tidewatch.llm.oracles import ORACLES  # noqa: F401
 from tidewatch.session import scratch_path
 
 PIECE_MODEL = os.environ.get("PIECE_MODEL", public_tokenizers.path("piece_bpe_32k.model"))
@@ -96,5 +97,3 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_chat_format": op10_chat_format,
 }
-
-ORACLES: dict[str, str] = {}
