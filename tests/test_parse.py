@@ -116,3 +116,38 @@ def test_split_adds_up_and_unknown_format(make_lines):
     assert (good.count(), failed.count()) == (1, 2)
     with pytest.raises(UnregisteredFormatError):
         parse.parse(lines, "nope")
+
+
+def test_zeek_files_do_not_depend_on_how_the_input_is_split(spark, tmp_path):
+    """Two layouts, one of them changing within a file; the second read has other splits than the first pass."""
+    from tidewatch.sources.lines import read_lines
+
+    def block(fields, values):
+        return ["#fields\t" + "\t".join(fields)] + ["\t".join(v) for v in values]
+
+    rows = [(f"u{i}", str(i)) for i in range(4000)]
+    (tmp_path / "a.log").write_text("\n".join(block(["uid", "n"], rows[:2000])) + "\n")
+    late = block(["n", "uid"], [(n, u) for u, n in rows[2000:3000]]) + block(["uid", "n"], rows[3000:])
+    (tmp_path / "b.log").write_text("\n".join(late) + "\n")
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for first, second in (("1000000", "4000"), ("4000", "1000000"), ("5000", "7000")):
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            spark.conf.set("spark.sql.files.maxPartitionBytes", first)
+            parsed = parse.parse_zeek(read_lines(spark, str(tmp_path)))
+            spark.conf.set("spark.sql.files.maxPartitionBytes", second)
+            got = sorted((r.raw["uid"], r.raw["n"]) for r in parsed.where("is_parsed").collect())
+            assert got == sorted(rows)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
+
+
+def test_zeek_line_of_an_unseen_file_is_an_error(make_lines, monkeypatch):
+    lines = make_lines(["#fields\ta\tb", "1\t2"])
+    for name in "gh":
+        lines = lines.unionByName(make_lines([f"#fields\tb\t{name}", "1\t2"], file=name))
+    layouts = parse._zeek_file_layouts
+    monkeypatch.setattr(parse, "_zeek_file_layouts", lambda blocks: layouts(blocks).where("file_path <> 'h'"))
+    with pytest.raises(Exception, match="no column list"):
+        parse.parse_zeek(lines).collect()

@@ -131,3 +131,27 @@ def test_coverage_without_rules(spark):
     matrix = C.coverage_matrix(rule_rows(spark).limit(0))
     assert matrix.count() == 16 and matrix.where("has_sigma_rule").count() == 0
     assert C.coverage_by_tactic(matrix).agg(F.sum("covered")).first()[0] == 0
+
+
+def test_versions_of_one_time_have_a_fixed_order(spark):
+    at = "timestamp '2026-01-01 00:00:00'"
+    rows = spark.range(50).selectExpr("'r' AS rule_id", "concat('y', id) AS yaml_content", f"{at} AS submitted_at", "id AS sequence")
+    order = ("submitted_at", "sequence")
+    assert R.latest_rules(rows.repartition(7), order=order).first().yaml_content == "y49"
+    numbered = {r.yaml_content: r.version for r in R.number_versions(rows.repartition(5), order).collect()}
+    assert numbered == {f"y{i}": i + 1 for i in range(50)}
+
+
+def test_more_keywords_than_literals(spark, make_events):
+    """Several hundred keywords over nested events, along every path."""
+    from pyspark.sql import functions as F
+
+    events = make_events([{"actor.user.name": f"user{i}x"} for i in range(40)])
+    rules = spark.range(300).select(
+        F.concat(F.lit("r"), "id").alias("rule_id"),
+        F.format_string("detection:\n  keywords:\n    - user%dx\n    - other%d\n", "id", "id").alias("yaml_content"),
+    )
+    want = {f"r{i}": int(i < 40) for i in range(300)}
+    for options in ({}, {"automaton_bytes": 0}):
+        got = {r.rule_id: r.match_count for r in R.backtest_rules(events, rules, **options).collect()}
+        assert got == want

@@ -161,3 +161,74 @@ def test_audit_failure_does_not_fail_the_query(spark, tmp_path, capsys):
     blocked.write_text("x")
     AuditLog(spark, str(blocked)).log_query("s", "q")
     assert "not written" in capsys.readouterr().err
+
+
+def test_shared_folder_is_required_on_clusters(monkeypatch):
+    from tidewatch import session
+    from tidewatch.errors import SharedFolderError
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(SharedFolderError):
+        session.shared_dir(Session())
+
+
+def test_slower_baseline_writer_fails(spark, tmp_path):
+    from tidewatch.errors import ConcurrentUpdateError
+    from tidewatch.sources.baselines import SCHEMA, BaselineStore
+    from tidewatch.sources.paths import create_text
+
+    def rows(value):
+        return spark.createDataFrame([("ip", value, "m", 3001, 1.0, 1.0, 30, "a", "b", "c")], SCHEMA)
+
+    store = BaselineStore(spark, str(tmp_path / "b"))
+    store.upsert(rows("1"))
+    assert store.upsert(rows("2")).count() == 2
+    current = store._current()
+    create_text(spark, f"{store.root}/current/{3:012d}.txt", "other")
+    store._current = lambda: current
+    with pytest.raises(ConcurrentUpdateError):
+        store.upsert(rows("3"))
+
+
+def test_time_range_opens_only_its_days(spark, tmp_path, make_events):
+    from datetime import datetime
+
+    from tidewatch.plans.investigate import event_query
+    from tidewatch.sources.store import EventStore
+
+    store = EventStore(spark, str(tmp_path / "s"))
+    store.append(make_events([{"time": f"2026-01-{d:02d}T12:00:00Z", "class_uid": 6003} for d in range(1, 11)]), run_id="r")
+    found = event_query(store, 6003, None, (datetime(2026, 1, 3), datetime(2026, 1, 4, 23)))
+    assert found.count() == 2
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "event_date" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+
+
+def test_repeated_run_leaves_no_old_partitions(spark, tmp_path, make_lines):
+    from datetime import datetime, timezone
+
+    from tidewatch.plans.ingest import ingest_lines
+    from tidewatch.sources.store import EventStore
+
+    store = EventStore(spark, str(tmp_path / "s"))
+    good = '1.1.1.1 - u [01/Jan/2026:00:00:00 +0000] "GET /x HTTP/1.1" 200 5'
+    at = datetime(2026, 1, 1, tzinfo=timezone.utc)
+    ingest_lines(make_lines([good, "garbage"]), "apache", 3002, store, run_id="r", ingest_time=at)
+    assert store.quarantine().count() == 1
+    ingest_lines(make_lines([good]), "apache", 3002, store, run_id="r", ingest_time=at)
+    left = store.quarantine()
+    assert (left is None or left.count() == 0) and store.scan(3002).count() == 1
+
+
+def test_indicator_list_without_a_cap(spark):
+    lines = spark.range(120_000).selectExpr("concat('v', id) AS value", "'f' AS file_path", "0L AS block_start", "id AS seq")
+    assert S.indicator_rows(lines).count() == 120_000
