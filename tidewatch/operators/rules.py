@@ -203,22 +203,21 @@ def _multi_search(rows: DataFrame, listed: list[str]):
     return F.pandas_udf(search, "array<string>")
 
 
-_built: dict = {}
+_built: tuple | None = None
 
 
 def _automaton(shared):
-    """The automaton of a broadcast keyword list, built once in each Python worker."""
+    """The automaton of a broadcast keyword list; a Python worker keeps the last one."""
+    global _built
     import ahocorasick
 
-    key = id(shared.value)
-    if key not in _built:
+    if _built is None or _built[0] != shared.value:
         automaton = ahocorasick.Automaton()
         for word in shared.value:
             automaton.add_word(word, word)
         automaton.make_automaton()
-        _built.clear()
-        _built[key] = automaton
-    return _built[key]
+        _built = shared.value, automaton
+    return _built[1]
 
 
 def _hits_by_join(rows: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
