@@ -103,16 +103,15 @@ def contaminated(n_words: int, runs: list[tuple[int, int]]) -> bool:
     return n_hit > 0 and MIN_SHARE * n_hit >= n_words
 
 
-_built: dict[int, object] = {}
+_built: tuple | None = None
 
 
 def _automaton_of(shared, width: int):
-    """The automaton of a broadcast list of items, built once in each Python worker."""
-    key = id(shared.value)
-    if key not in _built:
-        _built.clear()
-        _built[key] = automaton(shared.value, width)
-    return _built[key]
+    """The automaton of a broadcast list of items; a Python worker keeps the last one."""
+    global _built
+    if _built is None or _built[:2] != (width, shared.value):
+        _built = width, shared.value, automaton(shared.value, width)
+    return _built[2]
 
 
 def _item_blocks(benchmark: DataFrame, width: int) -> list[list[tuple[str, str | None]]]:
