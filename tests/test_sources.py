@@ -232,3 +232,13 @@ def test_repeated_run_leaves_no_old_partitions(spark, tmp_path, make_lines):
 def test_indicator_list_without_a_cap(spark):
     lines = spark.range(120_000).selectExpr("concat('v', id) AS value", "'f' AS file_path", "0L AS block_start", "id AS seq")
     assert S.indicator_rows(lines).count() == 120_000
+
+
+def test_scratch_is_removed_on_request(spark, monkeypatch):
+    from tidewatch import session
+
+    monkeypatch.setattr(session, "_scratch", [])
+    table = session.settled(spark.range(3), "test")
+    assert table.count() == 3 and len(session._scratch) == 1
+    session.scratch_path(spark, "never-written")
+    assert session.remove_scratch(spark) == 1 and not session._scratch

@@ -30,6 +30,7 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 _own_dir: str | None = None
+_scratch: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,8 +53,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/tidewatch/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; ``remove_scratch`` deletes it."""
+    path = f"{shared_dir(spark)}/tidewatch/{label}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process has made so far; returns how many were there.
+
+    Call it when results that read them lazily have been written.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _scratch:
+        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        removed += bool(path.getFileSystem(conf).delete(path, True))
+    return removed
 
 
 def settled(rows: DataFrame, label: str) -> DataFrame:
