@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -41,7 +41,7 @@ GRAM = 64
 # A run of windows with one key is cut after so many.
 LONGEST_RUN = 1024
 # Bytes sorted at once, and the most different segments of a key that are sorted together.
-BATCH_BYTES = 400_000
+BATCH_BYTES = 60_000
 WIDE = 400
 _CHUNK = 500_000
 
@@ -258,6 +258,7 @@ def _fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 _RUNS = "array<struct<at:int,windows:int>>"
+_RUNS_KIND = pa.list_(pa.struct([("at", pa.int32()), ("windows", pa.int32())]))
 
 
 def _runs(places: np.ndarray) -> list[dict]:
@@ -268,8 +269,6 @@ def _runs(places: np.ndarray) -> list[dict]:
 
 def _sorted_batches(parts: DataFrame) -> DataFrame:
     """key, content, runs: the repeated windows of segments, found by suffix sorting within keys."""
-    kind = pa.list_(pa.struct([("at", pa.int32()), ("windows", pa.int32())]))
-
     def work(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         ends = np.cumsum([len(b) for _, _, b in held])
         begins = ends - [len(b) for _, _, b in held]
@@ -278,7 +277,7 @@ def _sorted_batches(parts: DataFrame) -> DataFrame:
         cuts = np.searchsorted(again, np.append(begins, ends[-1]))
         rows = [(k, c, _runs(again[x:y] - a)) for (k, c, _), a, x, y in zip(held, begins, cuts[:-1], cuts[1:], strict=True) if y > x]
         cols = list(zip(*rows, strict=True)) or [[]] * 3
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], kind)], names=["key", "content", "runs"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], _RUNS_KIND)], names=["key", "content", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, bytes]] = []
@@ -312,11 +311,14 @@ def _counted_windows(parts: DataFrame) -> DataFrame:
 
     windows = parts.mapInArrow(run, "h1 bigint, h2 bigint, key bigint, content bigint, at int")
     again = windows.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1").drop("times")
-    return (
-        windows.join(again, ["h1", "h2"], "left_semi")
-        .groupBy("key", "content")
-        .agg(F.collect_list(F.struct("at", F.lit(1).alias("windows"))).alias("runs"))
-    )
+    repeated = windows.join(again, ["h1", "h2"], "left_semi").groupBy("key", "content").agg(F.collect_list("at").alias("places"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [_runs(np.sort(np.array(p, np.int64))) for p in column(batch, "places").to_pylist()]
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), column(batch, "content"), pa.array(runs, _RUNS_KIND)], names=["key", "content", "runs"])
+
+    return repeated.mapInArrow(pack, f"key bigint, content bigint, runs {_RUNS}")
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
@@ -350,18 +352,20 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     # All windows of a segment with a twin repeat, whatever else does.
     whole = different.where("times > 1").select("key", "content", F.lit(True).alias("twin"))
     verdict = settle(runs.join(whole, ["key", "content"], "full"), "suffix-verdict")
-    all_windows = F.array(F.struct(F.lit(0).alias("at"), F.col("windows").alias("windows")))
-    spans = (
-        mixed.join(verdict, ["key", "content"])
-        .select("doc_id", "text_hash", "first", F.explode(F.when(F.col("twin"), all_windows).otherwise(F.col("runs"))).alias("run"))
-        .select("doc_id", "text_hash", (F.col("first") + F.col("run.at")).alias("first"), "run.windows")
-    )
+
+    def span(at: Column, windows: Column) -> Column:
+        first = F.col("first") + at
+        return F.struct(first.alias("first"), (first + windows + WINDOW - 1).alias("last"))
+
+    all_windows = F.array(span(F.lit(0), F.col("windows")))
+    some_windows = F.transform("runs", lambda r: span(r["at"], r["windows"]))
+    spans = mixed.join(verdict, ["key", "content"]).select(*_ROW, F.when(F.col("twin"), all_windows).otherwise(some_windows).alias("spans"))
     return (
         open_.where("equal")
-        .select("doc_id", "text_hash", "first", "windows")
+        .select(*_ROW, all_windows.alias("spans"))
         .unionByName(spans)
         .groupBy(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text"))
-        .agg(F.collect_list(F.struct("first", (F.col("first") + F.col("windows") + WINDOW - 1).alias("last"))).alias("spans"))
+        .agg(F.flatten(F.collect_list("spans")).alias("spans"))
     )
 
 
