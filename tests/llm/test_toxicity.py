@@ -7,6 +7,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from tests.llm.conftest import SF
 from tidewatch.llm import queries, toxicity
 
@@ -68,3 +69,24 @@ def test_query_covers_all_documents(spark):
     rows = queries.op8_toxicity(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
     assert all(r["predicted"] == (r["score"] >= 0.5) for r in rows)
+
+
+def test_least_texts_follow_the_smaller_class():
+    got = {n: toxicity.least_texts(n, 3000) for n in (1, 2, 3, 10, 44, 200, 357, 1000)}
+    assert got == {1: 1, 2: 2, 3: 3, 10: 3, 44: 4, 200: 14, 357: 25, 1000: 25}
+    assert toxicity.least_texts(3000, 44) == 4
+
+
+@pytest.mark.parametrize("sf, caught, wrong", [("sf0.001", 10, 1), ("sf0.01", 46, 3)])
+def test_small_tables_catch_their_toxic_rows(spark, sf, caught, wrong):
+    """Few labelled rows are enough to learn from, in the query and in the pipeline's stage."""
+    sf_dir = f"{os.path.dirname(SF)}/{sf}"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("test tables are not here")
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.where("toxic IN (0, 1)").collect()}
+    named = {r["doc_id"] for r in queries.op8_toxicity(spark, sf_dir).where("predicted = 1").collect()}
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, sf_dir).select("doc_id").collect()}
+    for gone in (named, toxic.keys() - kept):
+        hits = [sum(toxic[d] == t for d in gone if d in toxic) for t in (1, 0)]
+        assert hits[0] >= caught and hits[1] <= wrong

@@ -34,7 +34,9 @@ BUCKETS = 1 << 20
 SAMPLE_PER_CLASS = {1: 1000, 0: 3000}
 # Features whose ratio is nearly even tell nothing and are left out.
 MIN_RATIO = 1.0
-MIN_TEXTS = 25
+# A feature is in so many training texts at least: so many in a hundred of the smaller class, within these bounds.
+TEXT_PERCENT = 7
+TEXT_BOUNDS = (3, 25)
 SMOOTHING = 1.0
 # Of the logistic fit.
 PENALTY = 1e-3
@@ -84,6 +86,12 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % FOLDS
 
 
+def least_texts(toxic: int, other: int) -> int:
+    """So many training texts a feature is in at least; never more than the smaller class has."""
+    smaller, (least, most) = min(toxic, other), TEXT_BOUNDS
+    return min(smaller, most, max(least, -(-TEXT_PERCENT * smaller // 100)))
+
+
 @dataclass
 class Model:
     weights: np.ndarray  # ratio times weight, for each bucket
@@ -132,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = SAMPLE_P
         return Model(np.zeros(BUCKETS, np.float32), 4.0 if share else -4.0)
     p, q = SMOOTHING + seen[1], SMOOTHING + seen[0]
     ratio = np.log(p / (y.sum() + 2 * SMOOTHING)) - np.log(q / ((1 - y).sum() + 2 * SMOOTHING))
-    used = np.flatnonzero((np.abs(ratio) >= MIN_RATIO) & (seen.sum(0) >= MIN_TEXTS))
+    used = np.flatnonzero((np.abs(ratio) >= MIN_RATIO) & (seen.sum(0) >= least_texts(int(y.sum()), int((1 - y).sum()))))
     number = np.full(BUCKETS, -1, np.int32)
     number[used] = np.arange(len(used))
     columns, sizes = [], []
