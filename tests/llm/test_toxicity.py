@@ -47,6 +47,24 @@ def test_learns_planted_words_and_keeps_clean_documents(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, s in got.items() if s < 0.5}
 
 
+def test_bounded_sample_keeps_the_share_of_all_labels(spark):
+    """A word that most toxic texts have but more clean ones: likely toxic only if the sample's share is believed."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(2000):
+        toxic = int(i % 10 == 0)
+        w = [rng.choice(["salt", "tree", "river", "green", "paper", "seven"]) for _ in range(12)]
+        if rng.random() < (0.8 if toxic else 0.2):
+            w.insert(rng.randrange(12), "doubtful")
+        rows.append((i, " ".join(w), toxic))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    labels, bounds = docs.select("doc_id", "toxic"), {1: 120, 0: 120}
+    scores = [r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels, bounds)).collect()]
+    assert abs(sum(scores) / len(scores) - 0.1) < 0.05
+    assert sum(s >= 0.5 for s in scores) < 0.1 * len(rows)
+    assert toxicity.prior_shift(labels) == 0
+
+
 def test_held_out_labels_are_never_learnt_from(spark):
     docs, labels, _ = planted(spark, 60)
     ids = {r["doc_id"] for r in toxicity.sample_rows(docs, labels).collect()}

@@ -8,8 +8,9 @@ only one table of ``BUCKETS`` products is sent to the tasks; its size does not d
 the data.
 
 The model is fitted on a bounded sample of the labelled training rows: of each class at
-most ``SAMPLE_PER_CLASS`` rows, those with the smallest hash of doc_id. Everything else is
-a pass over all texts, whole.
+most ``SAMPLE_PER_CLASS`` rows, those with the smallest hash of doc_id. Where a bound
+changes the share of toxic rows, the intercept is set back to the share of all usable
+labels. Everything else is a pass over all texts, whole.
 
 Defined cases: null and empty texts have no features and get the score of the intercept;
 rows without a usable label are not trained on; if no row of one class is there, every
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -103,11 +105,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(sums[starts[1:]] - sums[starts[:-1]] + self.intercept, -40, 40)))
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = SAMPLE_PER_CLASS) -> DataFrame:
-    """toxic, text of the bounded training sample."""
-    usable = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
+def usable_labels(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
         F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != 0)
     )
+
+
+def sample_rows(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = SAMPLE_PER_CLASS) -> DataFrame:
+    """toxic, text of the bounded training sample."""
+    usable = usable_labels(labels)
     picked = None
     for toxic, most in per_class.items():
         part = usable.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -117,6 +123,13 @@ def sample_rows(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] =
     return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text")
 
 
+def prior_shift(labels: DataFrame, per_class: dict[int, int] = SAMPLE_PER_CLASS) -> float:
+    """What the sample's bounds took from the log-odds of toxic: 0 if no class reaches its bound."""
+    rows = {r["toxic"]: r["count"] for r in usable_labels(labels).groupBy("toxic").count().collect()}
+    toxic, other = (log(rows[t] / min(rows[t], per_class[t])) if t in rows else 0.0 for t in (1, 0))
+    return toxic - other
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = SAMPLE_PER_CLASS, steps: int = 200) -> Model:
     """Fit on the bounded sample; features are extracted by the tasks, and the logistic model is fitted on them."""
 
@@ -148,7 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = SAMPLE_P
         c = number[np.frombuffer(blob, np.uint32)]
         columns.append(c[c >= 0])
         sizes.append(len(columns[-1]))
-    return _logistic(np.concatenate(columns), np.repeat(np.arange(len(y)), sizes), ratio[used], used, y, steps)
+    model = _logistic(np.concatenate(columns), np.repeat(np.arange(len(y)), sizes), ratio[used], used, y, steps)
+    return Model(model.weights, model.intercept + prior_shift(labels, per_class))
 
 
 def _logistic(cols: np.ndarray, rows: np.ndarray, ratio: np.ndarray, used: np.ndarray, y: np.ndarray, steps: int) -> Model:
