@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat_format, decontaminate, jaccard_join, license_scan, ngram_lm, pieces, quality_rules, suffix_dedup, token_files, toxicity
+from tidewatch.llm import chat_format, decontaminate, jaccard_join, license_scan, ngram_lm, pieces, quality_rules, suffix_dedup, token_align, token_files, toxicity
 from tidewatch.llm.common import settle, table
 from tidewatch.llm.oracles import ORACLES  # noqa: F401
 from tidewatch.session import scratch_path
@@ -85,6 +85,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(turns).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.alignment_report(table(spark, sf_dir, "documents"), TOKENIZER, PIECE_MODEL, scratch_path(spark, "token-pairs"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_lm_score": op2_lm_score,
@@ -96,4 +100,5 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_chat_format": op10_chat_format,
+    "op11_token_align": op11_token_align,
 }
