@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidewatch.llm import collocations
 from tidewatch.llm.chat_format import CLOSE, OPEN, TURN, TURN_END
 from tidewatch.llm.decontaminate import MIN_SHARE, WIDTH
 from tidewatch.llm.quality_rules import RULES, STOP_WORDS, Rule
@@ -104,9 +105,54 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM turns GROUP BY conv_id
 """
 
+COLLOCATIONS = f"""
+WITH pieces AS (
+  SELECT lang, {_words("piece", "[ \\x09]+")} AS words FROM (
+    SELECT coalesce(lang, '{collocations.UNKNOWN_LANGUAGE}') AS lang,
+      unnest(regexp_split_to_array({_low("text")}, '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents) p),
+f1 AS (SELECT lang, x, count(*) AS f FROM (SELECT lang, unnest(words) AS x FROM pieces) w GROUP BY lang, x),
+f2 AS (
+  SELECT lang, x, count(*) AS f FROM (
+    SELECT lang, unnest(list_transform(range(1, len(words)), lambda i: array_to_string(words[i:i + 1], ' '))) AS x FROM pieces) w
+  GROUP BY lang, x),
+f3 AS (
+  SELECT lang, x, count(*) AS f FROM (
+    SELECT lang, unnest(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))) AS x FROM pieces) w
+  GROUP BY lang, x HAVING count(*) >= {collocations.LEAST}),
+n AS (SELECT lang, sum(f) AS n FROM f1 GROUP BY lang),
+cuts AS (
+  SELECT p.lang, p.x AS phrase, 1 AS k, p.f AS a, l.f AS l, r.f AS r FROM f2 p
+  JOIN f1 l ON l.lang = p.lang AND l.x = split_part(p.x, ' ', 1) JOIN f1 r ON r.lang = p.lang AND r.x = split_part(p.x, ' ', 2)
+  WHERE p.f >= {collocations.LEAST}
+  UNION ALL
+  SELECT p.lang, p.x, 1, p.f, l.f, r.f FROM f3 p
+  JOIN f1 l ON l.lang = p.lang AND l.x = split_part(p.x, ' ', 1)
+  JOIN f2 r ON r.lang = p.lang AND r.x = split_part(p.x, ' ', 2) || ' ' || split_part(p.x, ' ', 3)
+  UNION ALL
+  SELECT p.lang, p.x, 2, p.f, l.f, r.f FROM f3 p
+  JOIN f2 l ON l.lang = p.lang AND l.x = split_part(p.x, ' ', 1) || ' ' || split_part(p.x, ' ', 2)
+  JOIN f1 r ON r.lang = p.lang AND r.x = split_part(p.x, ' ', 3)),
+scores AS (
+  SELECT *, CAST({collocations.SCALE} AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * r) AS score FROM cuts),
+worst AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS i FROM scores) s WHERE i = 1),
+longer AS (
+  SELECT lang, x, max(f) AS f FROM (
+    SELECT lang, split_part(x, ' ', 1) || ' ' || split_part(x, ' ', 2) AS x, f FROM f3
+    UNION ALL SELECT lang, split_part(x, ' ', 2) || ' ' || split_part(x, ' ', 3), f FROM f3) t GROUP BY lang, x),
+final AS (
+  SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY w.score DESC, w.a DESC, w.phrase) AS rank,
+    w.phrase, w.a, w.l, w.r, CAST(w.score AS BIGINT) AS score
+  FROM worst w LEFT JOIN longer g ON g.lang = w.lang AND g.x = w.phrase
+  WHERE g.f IS NULL OR 100 * g.f < {collocations.INSIDE_PERCENT} * w.a)
+SELECT f.lang, rank, phrase, a, l, r, CAST(n.n AS BIGINT) AS n, score FROM final f JOIN n ON n.lang = f.lang WHERE rank <= {collocations.BEST}
+"""
+
 ORACLES = {
     "op3_quality_rules": QUALITY,
     "op4_jaccard_join": JACCARD,
     "op6_decontamination": DECONTAMINATION,
     "op10_chat_format": CHAT,
+    "op12_collocations": COLLOCATIONS,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat_format, decontaminate, jaccard_join, license_scan, ngram_lm, pieces, quality_rules, suffix_dedup, token_align, token_files, toxicity
+from tidewatch.llm import chat_format, collocations, decontaminate, jaccard_join, license_scan, ngram_lm, pieces, quality_rules, suffix_dedup, token_align, token_files, toxicity
 from tidewatch.llm.common import settle, table
 from tidewatch.llm.oracles import ORACLES  # noqa: F401
 from tidewatch.session import scratch_path
@@ -89,6 +89,10 @@ def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.alignment_report(table(spark, sf_dir, "documents"), TOKENIZER, PIECE_MODEL, scratch_path(spark, "token-pairs"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), scratch_path(spark, "phrases"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_lm_score": op2_lm_score,
@@ -101,4 +105,5 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_chat_format": op10_chat_format,
     "op11_token_align": op11_token_align,
+    "op12_collocations": op12_collocations,
 }

@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import chunks, column, settle
-from tidewatch.llm.elias_fano import map_arrays, write_arrays
 from tidewatch.llm.parts import Cut, Known, cut
+from tidewatch.llm.shards import mapped, write_shards
 from tidewatch.llm.tally import Tally
 
 _CHUNK = 4_000_000
@@ -300,43 +300,15 @@ def pair_counts(aligned: DataFrame, size_a: int, size_b: int) -> DataFrame:
 def write_pairs(pairs: DataFrame, folder: str, size_b: int) -> list[str | None]:
     """Files of the counts by shard of pair numbers; at most (ids of a) x (ids of b) / SHARD_PAIRS paths."""
     numbered = pairs.select((F.col("a").cast("bigint") * size_b + F.col("b")).alias("pair"), "links", "best")
-    rows = numbered.withColumn("shard", F.expr(f"cast(pair div {SHARD_PAIRS} as int)")).repartition("shard").sortWithinPartitions("shard", "pair")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        of = None
-
-        def out() -> pa.RecordBatch:
-            got = pa.Table.from_batches(held)
-            numbers = [got.column(n).to_numpy() for n in ("pair", "links", "best")]
-            path = write_arrays(folder, {"pairs": numbers[0], "links": numbers[1], "best": numbers[2].astype(np.uint8)})
-            return pa.RecordBatch.from_arrays([pa.array([of], pa.int32()), pa.array([path])], names=["shard", "path"])
-
-        for batch in batches:
-            shards = column(batch, "shard").to_numpy()
-            heads = np.flatnonzero(np.append(True, shards[1:] != shards[:-1])) if len(shards) else []
-            for a, b in zip(heads, np.append(heads[1:], len(shards)), strict=True):
-                if held and shards[a] != of:
-                    yield out()
-                    held = []
-                of = int(shards[a])
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield out()
-
-    found = {r["shard"]: r["path"] for r in settle(rows.mapInArrow(run, "shard int, path string"), "pair-shards").collect()}
-    return [found.get(i) for i in range(max(found, default=-1) + 1)]
-
-
-_mapped: dict[str, dict[str, np.ndarray]] = {}
+    rows = numbered.withColumn("shard", F.expr(f"cast(pair div {SHARD_PAIRS} as int)"))
 
+    def make(own: pa.Table) -> dict[str, np.ndarray]:
+        order = np.argsort(own["pair"].to_numpy())
+        names = {"pairs": "pair", "links": "links", "best": "best"}
+        return {k: own[n].to_numpy()[order] for k, n in names.items()} | {"best": own["best"].to_numpy()[order].astype(np.uint8)}
 
-def _shard(path: str) -> dict[str, np.ndarray]:
-    if path not in _mapped:
-        for other in [p for p in _mapped if p.rsplit("/", 1)[0] != path.rsplit("/", 1)[0]]:
-            del _mapped[other]
-        _mapped[path] = map_arrays(path)
-    return _mapped[path]
+    found = write_shards(rows, folder, "pair-shards", make)
+    return [found[i][0] if i in found else None for i in range(max(found, default=-1) + 1)]
 
 
 def score_links(aligned: DataFrame, paths: list[str | None], size_a: int, size_b: int) -> DataFrame:
@@ -351,7 +323,7 @@ def score_links(aligned: DataFrame, paths: list[str | None], size_a: int, size_b
         links, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
         cuts = np.searchsorted(pairs // np.array(SHARD_PAIRS, kind), np.arange(len(paths) + 1))
         for s in np.flatnonzero(np.diff(cuts)):
-            shard, part = _shard(paths[s]), slice(cuts[s], cuts[s + 1])
+            shard, part = mapped(paths[s]), slice(cuts[s], cuts[s + 1])
             at = np.searchsorted(shard["pairs"], pairs[part].astype(np.int64))
             links[part], best[part] = shard["links"][at], shard["best"][at]
         total = [np.append(0, np.cumsum(x[place])) for x in (links, best)]
