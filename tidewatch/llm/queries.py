@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat_format, collocations, decontaminate, jaccard_join, license_scan, ngram_lm, pieces, quality_rules, suffix_dedup, token_align, token_files, toxicity
+from tidewatch.llm import chat_format, collocations, decontaminate, jaccard_join, license_scan, line_quality, ngram_lm, pieces, quality_rules, suffix_dedup, token_align, token_files, toxicity
 from tidewatch.llm.common import settle, table
 from tidewatch.llm.oracles import ORACLES  # noqa: F401
 from tidewatch.session import scratch_path
@@ -93,6 +93,15 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"), scratch_path(spark, "phrases"))
 
 
+def op13_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = line_quality.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(line_quality.fold(F.col("doc_id")) == line_quality.HELD_OUT, F.lit(False))
+    return line_quality.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_lm_score": op2_lm_score,
@@ -106,4 +115,5 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
     "op11_token_align": op11_token_align,
     "op12_collocations": op12_collocations,
+    "op13_line_quality": op13_line_quality,
 }
