@@ -92,3 +92,84 @@ class Known:
             if new:
                 young.update(zip(new, self.learn(new), strict=True))
         return [young[p] for p in parts]
+
+
+class ByteLevel:
+    """A byte-level tokenizer that encodes many parts in few calls.
+
+    Parts are written one after the other as far as the tokenizer would cut between them anyway: directly before a blank and a
+    solid character, with a line feed between solid characters. The sizes of the tokens tell where a part's ids end.
+    """
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.tokens = byte_level_tokens(tokenizer)
+        self.sizes = None if self.tokens is None else np.array([len(t) for t in self.tokens], np.int64)
+
+    def _each(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
+        ends = np.cumsum([len(x) for x in got], dtype=np.int64)
+        return np.fromiter((i for ids in got for i in ids), np.int64, int(ends[-1]) if len(ends) else 0), ends
+
+    def encode(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts one after the other, and where each part's ids end."""
+        if self.sizes is None or not parts:
+            return self._each(parts)
+        solid, closed, blank = _SOLID.tolist(), _ASCII_SOLID.tolist(), 32
+        text: list[bytes] = []
+        ends = np.zeros(len(parts), np.int64)
+        at, feeds, alone = 0, [], []
+        last = False  # whether the text so far ends in a solid ASCII character
+        for i, p in enumerate(parts):
+            spaced = len(p) > 1 and p[0] == blank and solid[p[1]]
+            if not closed[p[-1]] or not (spaced or solid[p[0]]) or (text and not spaced and not last):
+                alone.append(i)
+                ends[i] = -1
+                continue
+            if text and not spaced:
+                text.append(b"\n")
+                at += 1
+                feeds.append(at)
+            text.append(p)
+            at += len(p)
+            ends[i] = at
+            last = True
+        flat = np.array(self.tokenizer.encode_batch_fast([b"".join(text).decode()], add_special_tokens=False)[0].ids if text else [], np.int64)
+        reach = np.cumsum(self.sizes[flat])
+        drop = np.searchsorted(reach, feeds)
+        own = np.flatnonzero(ends >= 0)
+        stop = np.searchsorted(reach, ends[own]) + 1
+        if len(flat) and (int(reach[-1]) != at or (reach[drop] != feeds).any() or (reach[stop - 1] != ends[own]).any()):
+            return self._each(parts)  # not the tokenizer this was made for
+        keep = np.ones(len(flat), bool)
+        keep[drop] = False
+        kept = np.append(0, np.cumsum(keep))
+        joined, joined_ends = flat[keep], kept[stop]
+        if not alone:
+            return joined, joined_ends
+        other, other_ends = self._each([parts[i] for i in alone])
+        sizes = np.zeros(len(parts), np.int64)
+        sizes[own], sizes[alone] = np.diff(joined_ends, prepend=0), np.diff(other_ends, prepend=0)
+        of = np.repeat(np.isin(np.arange(len(parts)), alone), sizes)
+        out = np.zeros(int(sizes.sum()), np.int64)
+        out[~of], out[of] = joined, other
+        return out, np.cumsum(sizes)
+
+
+def byte_level_tokens(tokenizer) -> list[bytes] | None:
+    """The bytes of each entry of a byte-level vocabulary, or None if it is not one.
+
+    The printable stand-ins for bytes are a fixed convention: printable Latin-1 characters stand for themselves, the other
+    bytes for characters from U+0100 in order. Added tokens stand for their own text.
+    """
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    table = {chr(b): b for b in plain}
+    table |= {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+    added = set(tokenizer.get_added_tokens_decoder())
+    out = []
+    for i in range(tokenizer.get_vocab_size()):
+        entry = tokenizer.id_to_token(i) or ""
+        if i not in added and any(c not in table for c in entry):
+            return None
+        out.append(entry.encode() if i in added else bytes(table[c] for c in entry))
+    return out

@@ -10,8 +10,9 @@ The list of files (the manifest) is what the successful tasks report, so files o
 that failed or ran twice are never read. Where a file's ids begin in the whole array
 follows from the sizes in the manifest, which has a row for each file only.
 
-Texts are cut where the tokenizer's pattern always starts a new piece, before they reach
-the tokenizer, and the pieces' ids are kept in caches of bounded size.
+Texts are cut where the tokenizer's pattern always starts a new piece. Arrow finds the different parts of
+a run of texts, the tokenizer sees those that a cache of bounded size does not have, and Arrow puts
+their ids in the order of the texts.
 
 Defined cases: null is the empty text (only the end id); repeated rows are written as
 often as they occur; an empty table gives no file; other columns are ignored.
@@ -19,9 +20,7 @@ often as they occur; an empty table gives no file; other columns are ignored.
 
 from __future__ import annotations
 
-import itertools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,93 +31,39 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import chunks, column, settle
 from tidewatch.llm.elias_fano import EliasFano, map_arrays, write_arrays
+from tidewatch.llm.parts import ByteLevel, Known, cut
 
 FILE_IDS = 4_000_000
-CACHE_PIECES = 300_000
-_LONG_PIECE = 64
-_SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_SPACES = re.compile(r"\s\s")
-
-
-class Pieces:
-    """Ids of pieces, learnt when they first occur.
-
-    Two generations are kept: when the young one is full it becomes the old one, and what is
-    used again moves back, so frequent pieces stay.
-    """
-
-    def __init__(self, encode, size: int = CACHE_PIECES):
-        self.encode, self.size = encode, size
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def need(self, pieces: set[str]) -> dict[str, bytes]:
-        """A table that has all of ``pieces``; good until the next call."""
-        if len(self.young) > self.size:
-            self.old, self.young = self.young, {}
-            for p in [p for p in self.old if len(p) > _LONG_PIECE]:
-                del self.old[p]
-        lacking = pieces - self.young.keys()
-        again = lacking & self.old.keys()
-        self.young.update((p, self.old[p]) for p in again)
-        lacking -= again
-        if lacking:
-            self.young.update(self.encode(list(lacking)))
-        return self.young
+_CHUNK = 8_000_000
 
 
 class Encoder:
-    """A tokenizer file opened once, with caches of pieces.
-
-    Texts are cut into parts that are tokenised independently of each other: the tokenizer's
-    pattern starts a new part at a single space, makes a single line feed a part of its own
-    (if no other white space is next to them), and parts letters from a full stop or comma.
-    """
+    """A tokenizer file opened once, with a cache of what parts of texts become."""
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.first = Pieces(lambda new: self._learn(new, ""), CACHE_PIECES // 8)  # of lines
-        self.spaced = Pieces(lambda new: self._learn(new, " "))  # after a space, which is not in the key
-        self.feed, *ends = self._plain(["\n", ".", ","])
-        self.ends = dict(zip((".", ","), ends, strict=True))
-
-    def _plain(self, pieces: list[str]) -> list[bytes]:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        blob = np.fromiter(itertools.chain.from_iterable(got), self.dtype, sum(map(len, got))).tobytes()
-        cuts = list(itertools.accumulate((len(ids) * self.dtype.itemsize for ids in got), initial=0))
-        return [blob[a:b] for a, b in zip(cuts, cuts[1:])]
+        tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.tokenizer = ByteLevel(tokenizer)
+        self.dtype = np.dtype("<u2") if tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.known = Known(self._learn)
 
-    def _learn(self, new: list[str], before: str) -> dict[str, bytes]:
-        stems = [p[:-1] if p[-1:] in (".", ",") and p[-2:-1].isalpha() else p for p in new]
-        distinct = list(set(stems))
-        got = dict(zip(distinct, self._plain([before + s for s in distinct]), strict=True))
-        return got | {p: got[s] + self.ends[p[-1]] for p, s in zip(new, stems, strict=True) if p is not s}
+    def _learn(self, parts: list[bytes]) -> list[bytes]:
+        ids, ends = self.tokenizer.encode(parts)
+        blob, size = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+        cuts = [0, *(ends * size).tolist()]
+        return [blob[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``dtype``."""
-        cut = [
-            ([_SAFE_SPACE.split(t)] if _SPACES.search(t) else [line.split(" ") for line in t.split("\n")]) for t in texts
-        ]
-        first = self.first.need({words[0] for lines in cut for words in lines})
-        later: set[str] = set()
-        for lines in cut:
-            for words in lines:
-                later.update(words[1:])
-        spaced = self.spaced.need(later)
-        out = []
-        for lines in cut:
-            parts: list[bytes] = []
-            for words in lines:
-                parts.append(first[words[0]])
-                parts += map(spaced.__getitem__, words[1:])
-                parts.append(self.feed)
-            parts.pop()
-            out.append(b"".join(parts))
-        return out
+        found = cut(texts, stops=True)
+        if not len(found.index):
+            return [b""] * len(texts)
+        ids = pa.array(self.known.of(found.parts), pa.large_binary()).take(pa.array(found.index))
+        ends, data = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1], memoryview(ids.buffers()[2] or b"")
+        bounds = ends[found.starts].tolist()
+        return [bytes(data[a:b]) for a, b in zip(bounds, bounds[1:])]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -169,9 +114,9 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str, end_id:
                 {"part": [part], "file": [file], "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]}, schema=_MANIFEST
             )
 
-        for batch, texts in chunks(batches):
+        for batch, texts in chunks(batches, _CHUNK):
             part = column(batch, "part")[0].as_py()
-            for doc, got in zip(column(batch, "doc_id").to_pylist(), use.encode([t.decode() for t in texts]), strict=True):
+            for doc, got in zip(column(batch, "doc_id").to_pylist(), use.encode(texts), strict=True):
                 ids.append(got + end)
                 owners.append(doc)
                 held += len(got) + len(end)
