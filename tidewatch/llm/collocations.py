@@ -43,8 +43,8 @@ INSIDE_PERCENT = 50
 SCALE = 1_000_000
 SHARD_WORDS = 500_000
 SHARD_PHRASES = 200_000
-STREAM_IDS = 2_000_000
-_HELD_WORDS = 1_000_000
+STREAM_IDS = 500_000
+_HELD_WORDS = 400_000
 _TOP = 1 << 31
 
 # Of bytes: 0 in a word, 1 between words, 2 between pieces.
@@ -109,10 +109,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         def rows() -> Iterator[pa.RecordBatch]:
             for language, tables in held.items():
-                table = pa.concat_tables(tables)
-                words = table["word"].cast(pa.string())
-                full = pa.table({"lang": pa.array([language] * len(table), pa.string()), "word": words, "times": table["times"]})
-                yield from full.combine_chunks().to_batches(100_000)
+                for part in pa.concat_tables(tables).combine_chunks().to_batches(50_000):
+                    names = pa.array([language] * part.num_rows, pa.string())
+                    yield pa.RecordBatch.from_arrays([names, part["word"].cast(pa.string()), part["times"]], names=["lang", "word", "times"])
             held.clear()
 
         def size() -> int:

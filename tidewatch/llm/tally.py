@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-HELD = 3_000_000
+HELD = 1_000_000
 ROWS = 100_000
 
 
@@ -35,9 +35,12 @@ class Tally:
     def _merge(self) -> None:
         if len(self.keys) < 2:
             return
-        keys, place = np.unique(np.concatenate(self.keys), return_inverse=True)
-        times = np.zeros(len(keys), np.int64)
-        np.add.at(times, place, np.concatenate(self.times))
+        keys, times = np.concatenate(self.keys), np.concatenate(self.times)
+        self.keys, self.times = [], []
+        order = np.argsort(keys)
+        keys, times = keys[order], times[order]
+        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        keys, times = keys[heads], np.add.reduceat(times, heads)
         self.keys, self.times, self.held = [keys], [times], len(keys)
 
     def full(self) -> Iterator[pa.RecordBatch]:
