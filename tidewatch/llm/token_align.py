@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import chunks, column, settle
-from tidewatch.llm.parts import Cut, Known, cut
-from tidewatch.llm.shards import mapped, write_shards
+from tidewatch.llm.parts import ByteLevel, Cut, Known, cut
+from tidewatch.llm.shards import each_shard, mapped, write_shards
 from tidewatch.llm.tally import Tally
 
 _CHUNK = 4_000_000
-# Pairs are filed by ranges of so many possible pairs.
+# There are as many shards of pairs as the possible pairs fill with so many each; pairs are dealt by a hash.
 SHARD_PAIRS = 1 << 22
 
 
@@ -130,7 +130,8 @@ class Aligner:
         self.a = Tokenizer.from_file(tokenizer_file)
         self.a.encode_special_tokens = True
         self.b = Codec(model_file)
-        self.a_bytes, self.b_bytes = _byte_level_tokens(self.a), _piece_bytes(self.b)
+        self.a_parts = ByteLevel(self.a)
+        self.a_bytes, self.b_bytes = self.a_parts.tokens, _piece_bytes(self.b)
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.a_digits, self.b_digits = _digits(len(self.a_bytes)), _digits(len(self.b_bytes))
         self.size_b = len(self.b_bytes)
@@ -146,10 +147,11 @@ class Aligner:
             return self.b.merges.encode([t.replace(" ", "▁") for t in texts], num_threads=1)
         return self.b.whole.encode([t[1:] for t in texts], num_threads=1)
 
-    def ids(self, texts: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both tokenizers for texts (or parts) that begin with the blank."""
-        plain = [t.decode() for t in texts]
-        return [e.ids for e in self.a.encode_batch_fast(plain, add_special_tokens=False)], self._pieces(plain)
+    def ids(self, parts: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of both tokenizers for parts."""
+        flat, ends = self.a_parts.encode(parts)
+        ids, cuts = flat.tolist(), [0, *ends.tolist()]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])], self._pieces([p.decode() for p in parts])
 
     def _learn(self, parts: list[bytes]) -> list[Part | None]:
         all_a, all_b = self.ids(parts)
@@ -219,20 +221,6 @@ def pair_kind(size_a: int, size_b: int) -> np.dtype:
     return np.dtype("<u4") if size_a * size_b <= 1 << 32 else np.dtype("<u8")
 
 
-def _byte_level_tokens(tokenizer) -> list[bytes]:
-    """The bytes of each entry of a byte-level vocabulary, whose printable stand-ins for bytes are a fixed convention:
-    printable Latin-1 characters stand for themselves, the other bytes for characters from U+0100 in order."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    table = {chr(b): b for b in plain}
-    table |= {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-    special = {i for i, t in tokenizer.get_added_tokens_decoder().items()}
-    out = []
-    for i in range(tokenizer.get_vocab_size()):
-        entry = tokenizer.id_to_token(i) or ""
-        out.append(entry.encode() if i in special else bytes(table[c] for c in entry))
-    return out
-
-
 def _piece_bytes(codec) -> list[bytes]:
     whole = codec.whole
     return [
@@ -297,10 +285,16 @@ def pair_counts(aligned: DataFrame, size_a: int, size_b: int) -> DataFrame:
     return counts.join(F.broadcast(most), "b").select("a", "b", "links", (F.col("links") == F.col("most")).alias("best"))
 
 
-def write_pairs(pairs: DataFrame, folder: str, size_b: int) -> list[str | None]:
-    """Files of the counts by shard of pair numbers; at most (ids of a) x (ids of b) / SHARD_PAIRS paths."""
+def _scrambled(pair):
+    """A 32-bit hash of pair numbers, as an array or a column; no step passes 63 bits."""
+    return pair % (1 << 31) * 2654435769 % (1 << 32)
+
+
+def write_pairs(pairs: DataFrame, folder: str, size_a: int, size_b: int) -> list[str | None]:
+    """Files of the counts by shard of pair numbers; (ids of a) x (ids of b) / SHARD_PAIRS paths at most."""
     numbered = pairs.select((F.col("a").cast("bigint") * size_b + F.col("b")).alias("pair"), "links", "best")
-    rows = numbered.withColumn("shard", F.expr(f"cast(pair div {SHARD_PAIRS} as int)"))
+    shards = 1 + size_a * size_b // SHARD_PAIRS
+    rows = numbered.withColumn("shard", F.shiftright(_scrambled(F.col("pair")) * shards, 32).cast("int"))
 
     def make(own: pa.Table) -> dict[str, np.ndarray]:
         order = np.argsort(own["pair"].to_numpy())
@@ -308,7 +302,7 @@ def write_pairs(pairs: DataFrame, folder: str, size_b: int) -> list[str | None]:
         return {k: own[n].to_numpy()[order] for k, n in names.items()} | {"best": own["best"].to_numpy()[order].astype(np.uint8)}
 
     found = write_shards(rows, folder, "pair-shards", make)
-    return [found[i][0] if i in found else None for i in range(max(found, default=-1) + 1)]
+    return [found[i][0] if i in found else None for i in range(shards)]
 
 
 def score_links(aligned: DataFrame, paths: list[str | None], size_a: int, size_b: int) -> DataFrame:
@@ -321,11 +315,11 @@ def score_links(aligned: DataFrame, paths: list[str | None], size_a: int, size_b
         bounds = np.cumsum([0] + [len(x) for x in blobs])
         pairs, place = np.unique(np.concatenate(blobs), return_inverse=True)
         links, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
-        cuts = np.searchsorted(pairs // np.array(SHARD_PAIRS, kind), np.arange(len(paths) + 1))
-        for s in np.flatnonzero(np.diff(cuts)):
-            shard, part = mapped(paths[s]), slice(cuts[s], cuts[s + 1])
-            at = np.searchsorted(shard["pairs"], pairs[part].astype(np.int64))
-            links[part], best[part] = shard["links"][at], shard["best"][at]
+        numbers = pairs.astype(np.int64)
+        for s, own in each_shard(_scrambled(numbers) * len(paths) >> 32):
+            shard = mapped(paths[s])
+            at = np.searchsorted(shard["pairs"], numbers[own])
+            links[own], best[own] = shard["links"][at], shard["best"][at]
         total = [np.append(0, np.cumsum(x[place])) for x in (links, best)]
         return tuple(t[bounds[1:]] - t[bounds[:-1]] for t in total)
 
@@ -348,7 +342,7 @@ def alignment_report(docs: DataFrame, tokenizer_file: str, model_file: str, fold
     """
     sizes = vocabulary_sizes(tokenizer_file, model_file)
     aligned = settle(align_documents(docs, tokenizer_file, model_file, digest=True), "aligned")
-    paths = write_pairs(pair_counts(aligned, *sizes), folder, sizes[1])
+    paths = write_pairs(pair_counts(aligned, *sizes), folder, *sizes)
     return score_links(aligned, paths, *sizes).withColumnRenamed("groups", "groups_sha256")
 
 
