@@ -84,3 +84,63 @@ def test_rows_that_share_an_id(spark, odd_docs):
     assert suffix_dedup.digests(odd_docs).count() == odd_docs.count()
     assert suffix_dedup.digests(odd_docs.limit(0)).count() == 0
     assert suffix_dedup.without_repeats(odd_docs.limit(0)).columns == odd_docs.columns
+
+
+def spans_of(text, repeated, window):
+    gone = bytearray(len(text))
+    for i in range(len(text) - window + 1):
+        if text[i : i + window] in repeated:
+            gone[i : i + window] = b"\1" * window
+    return gone
+
+
+@pytest.mark.parametrize(("seed", "wide", "window", "words"), [(4, 400, 150, 51), (5, 5, 150, 51), (6, 400, 40, 0), (7, 400, 9, 3)])
+def test_shorter_windows_and_least_words(spark, monkeypatch, seed, wide, window, words):
+    monkeypatch.setattr(suffix_dedup, "WIDE", wide)
+    rng = random.Random(seed)
+    word = lambda: rng.choice(["le", "u", "ha", "tion", "x", "stra"]) + str(rng.randrange(400))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passages = [prose(n) for n in (20, 30, 45, 51, 52, 60, 80)]
+    texts = [" ".join(prose(rng.randrange(1, 40)) + " " + rng.choice(passages) for _ in range(rng.randrange(0, 3))) + " " + prose(50) for _ in range(60)]
+    texts += ["to " * 300, "to " * 300, prose(9), ""]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id bigint, text string, OF_DOC int, of_text int").repartition(3)
+    count = Counter(t[i : i + window] for t in texts for i in range(len(t) - window + 1))
+    repeated = {w for w, n in count.items() if n > 1}
+    got = suffix_dedup.without_repeats(docs, window, words)
+    assert got.columns == docs.columns
+    rows = {r["doc_id"]: r["text"] for r in got.collect()}
+    for i, t in enumerate(texts):
+        gone, want, at = spans_of(t, repeated, window), "", 0
+        while at < len(t):
+            end = at
+            while end < len(t) and gone[end] == gone[at]:
+                end += 1
+            if not gone[at] or len(t[at:end].split()) < words:
+                want += t[at:end]
+            at = end
+        assert rows[i] == want, i
+
+
+def test_passages_of_over_50_words_go_and_shorter_ones_stay(spark):
+    """Of 155 to 400 bytes, as the pipeline's stage cuts them."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    prose = lambda n, size=7: " ".join(word(size) for _ in range(n))
+    long, short = [prose(52, size) for size in (2, 3, 4, 6)], [prose(40, 8), prose(30, 7), prose(48, 2)]
+    rows, passages = [], []
+    for i in range(40):
+        own = rng.choice(long + short)
+        passages.append(own)
+        rows.append((i, prose(60) + " " + own + " " + prose(40), "en", "s", 0))
+    rows += [(100 + i, prose(120), "en", "s", 0) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    assert {len(p) for p in long} == {155, 207, 259, 363}
+    for (i, text, *_), own in zip(rows, passages):
+        if own in long:
+            assert own not in got[i] and len(got[i].split()) < len(text.split()) - 48
+        else:
+            assert got[i] == text
+    assert all(got[i] == text for i, text, *_ in rows[40:])

@@ -1,9 +1,9 @@
 """Suffix-array dedup: every byte covered by a 400-byte string that also starts anywhere else goes.
 
-A *window* is a string of ``WINDOW`` bytes at some place of a text. Sorting all suffixes of
+A *window* is a string of ``WINDOW`` bytes (or as many as asked for) at some place of a text. Sorting all suffixes of
 a corpus in one array needs it all in one place, so windows are first parted, exactly:
 
-1. Each window has a key, the least hash of the ``GRAM``-byte grams in it. Equal windows have
+1. Each window has a key, the least hash of the grams in it (64 bytes each, fewer in short windows). Equal windows have
    equal keys. Neighbouring windows mostly share theirs, so a text falls into segments (runs
    of windows with one key), about one for every 170 bytes. Only segments are shuffled.
 2. A key that one segment has alone is done, unless the key's gram stands in it twice (then
@@ -16,7 +16,8 @@ a corpus in one array needs it all in one place, so windows are first parted, ex
    has WINDOW bytes are repeated windows.
 4. A key with more than ``WIDE`` different segments (text that very many documents have,
    each with other words around it) never meets in one task: its windows are counted
-   one by one, by 128-bit hashes, with partial sums before the shuffle.
+   one by one, by 128-bit hashes. Equal windows that a task meets travel as one row, so a window that stands
+   everywhere (or over and over in one text) is a few rows for each task.
 
 Defined cases: null and empty texts have no bytes; texts shorter than a window lose
 nothing; equal rows are copies of each other; a null doc_id is a document like others in
@@ -37,7 +38,13 @@ from pyspark.sql.types import StructType
 from tidewatch.llm.common import BYTE_VALUES, chunks, column, encoded, mix, settle
 
 WINDOW = 400
-GRAM = 64
+
+
+def gram_size(window: int) -> int:
+    """Bytes of the grams whose hashes key windows: 64 of the standard window, fewer of short ones, so that segments stay long."""
+    return max(1, min(64, window * 4 // 15))
+
+
 # A run of windows with one key is cut after so many.
 LONGEST_RUN = 1024
 # Bytes sorted at once, and the most different segments of a key that are sorted together.
@@ -161,17 +168,18 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - size)], values[width - size :]) if width > size else values
 
 
-def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+def segments(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, ...]:
     """Of all texts: index of the text, key, first window, number of windows of each segment, and
     whether it may repeat itself (its key's gram stands in it twice)."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     none = np.zeros(0, np.int64)
     nothing = none, none.astype(np.uint64), none, none, none.astype(bool)
-    if len(data) < WINDOW:
+    if len(data) < window:
         return nothing
-    width = WINDOW - GRAM + 1
-    grams = _grown_hashes(data, GRAM)
+    gram = gram_size(window)
+    width = window - gram + 1
+    grams = _grown_hashes(data, gram)
     keys = _sliding_least(grams, width)
     # A gram is the least of some window if the largest key of the windows around it is its hash.
     around = ~_sliding_least(np.concatenate([np.full(width - 1, ~np.uint64(0)), ~keys, np.full(width - 1, ~np.uint64(0))]), width)
@@ -181,7 +189,7 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     begins = ends - sizes
     text = np.repeat(np.arange(len(texts)), sizes)[: len(keys)]
     place = np.arange(len(keys)) - begins[text]
-    inside = np.flatnonzero(place + WINDOW <= sizes[text])
+    inside = np.flatnonzero(place + window <= sizes[text])
     if not len(inside):
         return nothing
     firsts = inside
@@ -214,14 +222,14 @@ def _rows(docs: DataFrame) -> DataFrame:
     return rows.withColumn("text_hash", F.xxhash64("text"))
 
 
-def _segment_rows(rows: DataFrame) -> DataFrame:
+def _segment_rows(rows: DataFrame, window: int) -> DataFrame:
     """doc_id, text_hash, key, content (a hash of the segment's bytes), first, windows, inner of every segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, _CHUNK):
-            text, keys, first, windows, inner = segments(texts)
+            text, keys, first, windows, inner = segments(texts, window)
             content = [
-                hashlib.blake2b(texts[t][f : f + w + WINDOW - 1], digest_size=8).digest()
+                hashlib.blake2b(texts[t][f : f + w + window - 1], digest_size=8).digest()
                 for t, f, w in zip(text.tolist(), first.tolist(), windows.tolist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays(
@@ -239,7 +247,7 @@ def _segment_rows(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, key bigint, content bigint, first int, windows int, inner boolean")
 
 
-def _fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def _fetched(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """key, content, wide, bytes of the wanted segments (of_doc, of_text, key, content, first, windows, wide)."""
     lists = wanted.groupBy("of_doc", "of_text").agg(F.collect_list(F.struct("key", "content", "first", "windows", "wide")).alias("wanted"))
 
@@ -248,7 +256,7 @@ def _fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             out = []
             for text, parts in zip(encoded(column(batch, "text").to_pylist()), column(batch, "wanted").to_pylist(), strict=True):
                 for p in parts:
-                    out.append((p["key"], p["content"], p["wide"], text[p["first"] : p["first"] + p["windows"] + WINDOW - 1]))
+                    out.append((p["key"], p["content"], p["wide"], text[p["first"] : p["first"] + p["windows"] + window - 1]))
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary())
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "content", "wide", "bytes"])
@@ -267,13 +275,14 @@ def _runs(places: np.ndarray) -> list[dict]:
     return [{"at": a, "windows": w} for a, w in zip(places[heads].tolist(), sizes.tolist(), strict=True)]
 
 
-def _sorted_batches(parts: DataFrame) -> DataFrame:
+def _sorted_batches(parts: DataFrame, window: int) -> DataFrame:
     """key, content, runs: the repeated windows of segments, found by suffix sorting within keys."""
+
     def work(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         ends = np.cumsum([len(b) for _, _, b in held])
         begins = ends - [len(b) for _, _, b in held]
-        starts = np.concatenate([np.arange(a, e - WINDOW + 1) for a, e in zip(begins, ends, strict=True)])
-        again = repeated_starts(b"".join(b for _, _, b in held), starts)
+        starts = np.concatenate([np.arange(a, e - window + 1) for a, e in zip(begins, ends, strict=True)])
+        again = repeated_starts(b"".join(b for _, _, b in held), starts, window)
         cuts = np.searchsorted(again, np.append(begins, ends[-1]))
         rows = [(k, c, _runs(again[x:y] - a)) for (k, c, _), a, x, y in zip(held, begins, cuts[:-1], cuts[1:], strict=True) if y > x]
         cols = list(zip(*rows, strict=True)) or [[]] * 3
@@ -296,37 +305,72 @@ def _sorted_batches(parts: DataFrame) -> DataFrame:
     return parts.repartition("key").sortWithinPartitions("key").mapInArrow(run, f"key bigint, content bigint, runs {_RUNS}")
 
 
-def _counted_windows(parts: DataFrame) -> DataFrame:
+_PLACE = np.dtype([("key", "<i8"), ("content", "<i8"), ("at", "<i4")])
+
+
+def _counted_windows(parts: DataFrame, window: int) -> DataFrame:
     """The same for keys with very many different segments: each window by itself, counted by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
+            hashes, places = [], []
             for k, c, data in zip(*(column(batch, n).to_pylist() for n in ("key", "content", "bytes")), strict=True):
                 a = np.frombuffer(data, np.uint8)
-                one, two = _grown_hashes(a, WINDOW), _grown_hashes(a ^ np.uint8(0x5A), WINDOW)
-                made.append((one.view(np.int64), two.view(np.int64), np.full(len(one), k), np.full(len(one), c), np.arange(len(one), dtype=np.int32)))
-            if made:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made, strict=True)], names=["h1", "h2", "key", "content", "at"])
+                hashes.append(np.stack([_grown_hashes(a, window), _grown_hashes(a ^ np.uint8(0x5A), window)]))
+                own = np.zeros(hashes[-1].shape[1], _PLACE)
+                own["key"], own["content"], own["at"] = k, c, np.arange(len(own))
+                places.append(own)
+            if not hashes:
+                continue
+            one, two = np.concatenate(hashes, axis=1)
+            order = np.lexsort((two, one))
+            one, two = one[order], two[order]
+            heads = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+            ends = np.append(heads[1:], len(one))
+            blob, size = np.concatenate(places)[order].tobytes(), _PLACE.itemsize
+            members = pa.Array.from_buffers(pa.large_binary(), len(heads), [None, pa.py_buffer(np.append(heads, len(one)) * size), pa.py_buffer(blob)])
+            for at in range(0, len(heads), 100_000):
+                part = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(one[heads][part].view(np.int64)), pa.array(two[heads][part].view(np.int64)), pa.array((ends - heads)[part]), members[part].cast(pa.binary())],
+                    names=["h1", "h2", "n", "members"],
+                )
+
+    windows = parts.mapInArrow(run, "h1 bigint, h2 bigint, n bigint, members binary")
+    again = windows.groupBy("h1", "h2").agg(F.sum("n").alias("times")).where("times > 1").drop("times")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = np.frombuffer(b"".join(column(batch, "members").to_pylist()), _PLACE)
+            got = got[np.lexsort((got["at"], got["content"], got["key"]))]
+            heads = np.flatnonzero(np.append(True, (got["key"][1:] != got["key"][:-1]) | (got["content"][1:] != got["content"][:-1]))) if len(got) else []
+            ends = np.append(heads[1:], len(got)) if len(got) else []
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(got["key"][heads] if len(got) else [], pa.int64()),
+                    pa.array(got["content"][heads] if len(got) else [], pa.int64()),
+                    pa.array([got["at"][a:b].tobytes() for a, b in zip(heads, ends, strict=True)], pa.binary()),
+                ],
+                names=["key", "content", "places"],
+            )
 
-    windows = parts.mapInArrow(run, "h1 bigint, h2 bigint, key bigint, content bigint, at int")
-    again = windows.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1").drop("times")
-    repeated = windows.join(again, ["h1", "h2"], "left_semi").groupBy("key", "content").agg(F.collect_list("at").alias("places"))
+    found = windows.join(again, ["h1", "h2"], "left_semi").select("members").mapInArrow(unpack, "key bigint, content bigint, places binary")
+    repeated = found.groupBy("key", "content").agg(F.collect_list("places").alias("places"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = [_runs(np.sort(np.array(p, np.int64))) for p in column(batch, "places").to_pylist()]
+            runs = [_runs(np.sort(np.frombuffer(b"".join(p), np.int32).astype(np.int64))) for p in column(batch, "places").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(batch, "key"), column(batch, "content"), pa.array(runs, _RUNS_KIND)], names=["key", "content", "runs"])
 
     return repeated.mapInArrow(pack, f"key bigint, content bigint, runs {_RUNS}")
 
 
-def repeated_spans(rows: DataFrame) -> DataFrame:
+def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """of_doc, of_text and the spans [first, last) of bytes to remove, of the rows (doc_id, text, text_hash) that have some.
 
     Spans of a row may overlap; there are at most as many as the row has segments and runs in them.
     """
-    found = settle(_segment_rows(rows), "suffix-segments")
+    found = settle(_segment_rows(rows, window), "suffix-segments")
     keys = (
         found.groupBy("key")
         .agg(F.count("*").alias("times"), F.min("content").alias("low"), F.max("content").alias("high"), F.max("inner").alias("inner"))
@@ -347,15 +391,15 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
         "one.windows",
         F.coalesce("is_wide", F.lit(False)).alias("wide"),
     )
-    parts = settle(_fetched(rows, wanted), "suffix-bytes")
-    runs = _sorted_batches(parts.where("NOT wide")).unionByName(_counted_windows(parts.where("wide")))
+    parts = settle(_fetched(rows, wanted, window), "suffix-bytes")
+    runs = _sorted_batches(parts.where("NOT wide"), window).unionByName(_counted_windows(parts.where("wide"), window))
     # All windows of a segment with a twin repeat, whatever else does.
     whole = different.where("times > 1").select("key", "content", F.lit(True).alias("twin"))
     verdict = settle(runs.join(whole, ["key", "content"], "full"), "suffix-verdict")
 
     def span(at: Column, windows: Column) -> Column:
         first = F.col("first") + at
-        return F.struct(first.alias("first"), (first + windows + WINDOW - 1).alias("last"))
+        return F.struct(first.alias("first"), (first + windows + window - 1).alias("last"))
 
     all_windows = F.array(span(F.lit(0), F.col("windows")))
     some_windows = F.transform("runs", lambda r: span(r["at"], r["windows"]))
@@ -369,18 +413,17 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     )
 
 
-def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
-    """The bytes outside all spans, and how many separate runs were removed."""
-    out, at, runs = [], 0, 0
-    end = -1
+def kept_bytes(text: bytes, spans: list[tuple[int, int]], min_words: int = 0) -> tuple[bytes, int]:
+    """The bytes outside all spans, and how many separate runs were removed. Runs of fewer than ``min_words`` words stay."""
+    joined: list[list[int]] = []
     for a, b in sorted(spans):
-        if a > end:
-            out.append(text[at:a])
-            runs += 1
-        end = max(end, b)
-        at = end
-    out.append(text[at:])
-    return b"".join(out), runs
+        if joined and a <= joined[-1][1]:
+            joined[-1][1] = max(b, joined[-1][1])
+        else:
+            joined.append([a, b])
+    joined = [(a, b) for a, b in joined if not min_words or len(text[a:b].split()) >= min_words]
+    edges = [0, *(e for run in joined for e in run), len(text)]
+    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), len(joined)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -404,18 +447,18 @@ def digests(docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, min_words: int = 0) -> DataFrame:
     """The documents with the repeated passages cut out of ``text``, all columns, and ``n_chars`` (if there) anew.
 
+    A passage is a run of repeated windows; one of fewer than ``min_words`` words stays.
     Bytes of a character that is cut through go with it.
     """
-    spans = repeated_spans(_rows(docs))
-    name = "spans"
-    while name in docs.columns:
-        name += "_"
+    spans = repeated_spans(_rows(docs), window)
+    taken = {c.lower() for c in docs.columns}
+    name, doc, hashed_text = (next(n for n in (base + "_" * i for i in range(len(taken) + 1)) if n not in taken) for base in ("spans", "of_doc", "of_text"))
     hashed = F.xxhash64(F.col("text").cast("string"))
-    on = F.col("doc_id").cast("bigint").eqNullSafe(F.col("of_doc")) & (hashed == F.col("of_text"))
-    spans = spans.select("of_doc", "of_text", F.col("spans").alias(name))
+    on = F.col("doc_id").cast("bigint").eqNullSafe(F.col(doc)) & (hashed == F.col(hashed_text))
+    spans = spans.select(F.col("of_doc").alias(doc), F.col("of_text").alias(hashed_text), F.col("spans").alias(name))
     joined = docs.join(spans, on, "left").select(*(docs[c] for c in docs.columns), spans[name])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,7 +467,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             given = column(batch, "text").to_pylist()
             for text, old, cut in zip(given, encoded(given), column(batch, name).to_pylist(), strict=True):
                 if text is not None and cut:
-                    text = kept_bytes(old, [(s["first"], s["last"]) for s in cut])[0].decode("utf-8", "ignore")
+                    text = kept_bytes(old, [(s["first"], s["last"]) for s in cut], min_words)[0].decode("utf-8", "ignore")
                 texts.append(text)
             made = {"text": pa.array(texts, pa.string()), "n_chars": [None if t is None else len(t) for t in texts]}
             yield pa.RecordBatch.from_arrays(
