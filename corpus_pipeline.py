@@ -25,9 +25,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return jaccard_join.one_of_each_group(docs)
 
 
+# A passage is more than 50 words; so many words of two letters and the blanks between them are 152 bytes.
+PASSAGE_WORDS = 51
+PASSAGE_BYTES = 150
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long passages that occur more than once are cut out; n_chars follows the text."""
-    return suffix_dedup.without_repeats(docs)
+    """Passages of over 50 words that occur more than once are cut out; n_chars follows the text.
+
+    Shorter repeats (set phrases, license lines) stay.
+    """
+    return suffix_dedup.without_repeats(docs, PASSAGE_BYTES, PASSAGE_WORDS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
