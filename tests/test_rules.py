@@ -27,7 +27,7 @@ def test_keywords(spark):
     assert found(spark, "sel:\n  - value: x y\nKEYWORDS:\n- a\n-   b\nother:\n- c") == ["x y", "a", "b"]
 
 
-@pytest.mark.parametrize("options", [{}, {"literal_keywords": 0}, {"automaton_bytes": 0}])
+@pytest.mark.parametrize("options", [{}, {"literal_keywords": 0}])
 def test_keyword_search_agrees_with_brute_force(spark, options):
     rng = random.Random(7)
     texts = ["".join(rng.choice("abc ") for _ in range(rng.randrange(30))) for _ in range(200)] + ["", "a"]
@@ -152,6 +152,6 @@ def test_more_keywords_than_literals(spark, make_events):
         F.format_string("detection:\n  keywords:\n    - user%dx\n    - other%d\n", "id", "id").alias("yaml_content"),
     )
     want = {f"r{i}": int(i < 40) for i in range(300)}
-    for options in ({}, {"automaton_bytes": 0}):
+    for options in ({}, {"literal_keywords": 1000}):
         got = {r.rule_id: r.match_count for r in R.backtest_rules(events, rules, **options).collect()}
         assert got == want

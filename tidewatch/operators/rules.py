@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.text import pinned, strip
+from tidewatch.operators import keyword_search
 from tidewatch.session import settled
 
 # -- versions ----------------------------------------------------------------
@@ -158,106 +156,37 @@ def match_rule(events: DataFrame, yaml_content: str, compat: bool = False, skip:
 
 
 LITERAL_KEYWORDS = 128
-AUTOMATON_BYTES = 32 * 1024 * 1024
-_GRAM = 4
 _SALTS = 8
-_MARKS = 1 << 18
 
 
-def with_keyword_hits(
-    rows: DataFrame,
-    words: DataFrame,
-    text: str = "text",
-    literal_keywords: int = LITERAL_KEYWORDS,
-    automaton_bytes: int = AUTOMATON_BYTES,
-) -> DataFrame:
+def with_keyword_hits(rows: DataFrame, words: DataFrame, text: str = "text", literal_keywords: int = LITERAL_KEYWORDS) -> DataFrame:
     """Add ``hits``: the sorted keywords that occur in column ``text``.
 
-    A few keywords become literals of one expression. A set of proven small size
-    goes to the tasks once and is searched in one pass per text, whatever the
-    number of keywords. Only beyond that is the search a distributed join.
+    A few keywords become literals of one expression. Larger sets of any size are searched
+    through ``keyword_search.find``; equal texts are searched once and known by a hash (the text itself is
+    compared when hits are joined back).
     """
-    wanted = words.select("keyword").distinct()
-    size = wanted.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("keyword") + 64), F.lit(0)).alias("bytes")
-    ).first()
-    if size.bytes > automaton_bytes:
-        return _hits_by_join(rows, wanted, text)
-    listed = sorted(row.keyword for row in wanted.collect())  # at most ``automaton_bytes``
-    if size.n <= literal_keywords:
-        found = [F.when(F.contains(F.col(text), F.lit(w)), F.lit(w)) for w in listed]
+    wanted = words.select("keyword").where("keyword <> ''").distinct()
+    listed = wanted.limit(literal_keywords + 1).collect()
+    if len(listed) <= literal_keywords:
+        found = [F.when(F.contains(F.col(text), F.lit(w)), F.lit(w)) for w in sorted(row.keyword for row in listed)]
         return rows.withColumn("hits", pinned(F.array_compact(F.array(*found).cast("array<string>"))))
-    return rows.withColumn("hits", _multi_search(rows, listed)(F.col(text)))
-
-
-def _multi_search(rows: DataFrame, listed: list[str]):
-    """A pandas UDF that finds all keywords of a text in one pass (Aho-Corasick)."""
-    shared = rows.sparkSession.sparkContext.broadcast(listed)
-
-    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = _automaton(shared)
-        for texts in batches:
-            found = [[] if t is None else sorted({word for _, word in automaton.iter(t)}) for t in texts]
-            yield pd.Series(found, dtype=object)
-
-    return F.pandas_udf(search, "array<string>")
-
-
-_built: tuple | None = None
-
-
-def _automaton(shared):
-    """The automaton of a broadcast keyword list; a Python worker keeps the last one."""
-    global _built
-    import ahocorasick
-
-    if _built is None or _built[0] != shared.value:
-        automaton = ahocorasick.Automaton()
-        for word in shared.value:
-            automaton.add_word(word, word)
-        automaton.make_automaton()
-        _built = shared.value, automaton
-    return _built[1]
-
-
-def _hits_by_join(rows: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """The same as an equi-join, for keyword sets too large to send around.
-
-    A keyword is filed under its first characters, a text is looked up under each
-    of its distinct pieces of that length, and candidates are verified. Equal
-    texts are searched once and known by a hash (the text itself is compared when hits are
-    joined back); pieces that begin no keyword are dropped before they are shuffled, as far
-    as a filter of fixed size can tell.
-    """
-    filed = wanted.select("keyword", F.left(F.col("keyword"), F.lit(_GRAM)).alias("gram"))
+    texts = settled(rows.select(F.col(text).alias("text")).distinct(), "keyword-texts")
+    found = keyword_search.find(texts, wanted).where(F.size("hits") > 0)
+    found = found.select(F.col("text").alias("_found_text"), F.xxhash64("text").alias("_found_id"), "hits")
+    on = (F.xxhash64(F.col(text)) == F.col("_found_id")) & (F.col(text) == F.col("_found_text"))
+    joined = rows.join(found, on, "left").drop("_found_text", "_found_id")
+    return joined.withColumn("hits", F.coalesce("hits", F.array().cast("array<string>")))
 
-    def pieces(n: int) -> Column:
-        last = F.length("text") - (n - 1)
-        starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1))))
-        return F.coalesce(
-            F.transform(starts, lambda i: F.substring("text", i, F.lit(n))), F.array().cast("array<string>")
-        )
 
-    # Which hashes of keyword beginnings occur, as a set of at most _MARKS numbers: a bounded broadcast.
-    mark = lambda c: F.pmod(F.xxhash64(c), F.lit(_MARKS)).cast("int")
-    marks = filed.select(mark(F.col("gram")).alias("mark")).distinct()
-    texts = settled(rows.select(F.col(text).alias("text")).distinct().withColumn("text_id", F.xxhash64("text")), "keyword-texts")
-    grams = F.array_distinct(F.concat(*[pieces(n) for n in range(1, _GRAM + 1)]))
-    candidates = (
-        texts.select("text_id", F.explode(grams).alias("gram"))
-        .join(F.broadcast(marks), mark(F.col("gram")) == F.col("mark"), "left_semi")
-        .join(filed, "gram")
-        .select("text_id", "keyword")
-        .distinct()
-    )
-    found = (
-        texts.join(candidates, "text_id")
-        .where(F.contains("text", "keyword"))
-        .groupBy("text")
-        .agg(F.sort_array(F.collect_set("keyword")).alias("hits"))
-    )
-    joined = rows.join(found.withColumnRenamed("text", "_found_text"), F.col(text) == F.col("_found_text"), "left").drop("_found_text")
-    return joined.withColumn("hits", F.coalesce("hits", F.array().cast("array<string>")))
+def keyword_sets(texts: DataFrame, words: DataFrame, literal_keywords: int = LITERAL_KEYWORDS) -> DataFrame:
+    """(hits, n): per set of keywords that occur together in a ``text``, how many rows have it; the empty set included."""
+    count = F.count(F.lit(1)).alias("n")
+    if len(words.select("keyword").distinct().limit(literal_keywords + 1).collect()) <= literal_keywords:
+        return with_keyword_hits(texts, words, literal_keywords=literal_keywords).groupBy("hits").agg(count)
+    # Rows are counted by text first, so no hit is joined back to them.
+    counted = settled(texts.groupBy("text").agg(count), "keyword-texts")
+    return keyword_search.find(counted, words.select("keyword").where("keyword <> ''").distinct()).groupBy("hits").agg(F.sum("n").alias("n"))
 
 
 def backtest_rules(
@@ -268,15 +197,12 @@ def backtest_rules(
     Events are first counted per set of keywords they contain, and rules with the
     same keywords are taken together. Only the distinct sets of both sides meet,
     on a shared keyword, and each pair counts once, as it is formed. ``search`` are options of
-    ``with_keyword_hits``.
+    ``keyword_sets``.
     """
-    words = rule_keywords(rules, compat)
     words = settled(rule_keywords(rules, compat), "rule-keywords")
     texts = events.select(event_text(events, skip).alias("text"))
     # One pass over the events: per set of keywords found how many events have it, the empty set included.
-    seen = settled(
-        with_keyword_hits(texts, words, **search).groupBy("hits").agg(F.count(F.lit(1)).alias("n")), "keyword-sets"
-    )
+    seen = settled(keyword_sets(texts, words, **search), "keyword-sets")
     of_rule = words.groupBy("rule_id").agg(F.sort_array(F.collect_set("keyword")).alias("wanted"))
     # A set meets each set of wanted keywords once: at the first keyword, in order, that both have.
     # Frequent keywords are salted on the side of the events' sets and repeated on the rules' side.

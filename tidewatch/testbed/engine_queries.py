@@ -18,7 +18,7 @@ from tidewatch.testbed import derived
 from tidewatch.testbed.adapter import REGISTRY, security_events
 from tidewatch.testbed.catalog import ORACLES, query
 from tidewatch.testbed.derived import as_text_time
-from tidewatch.testbed.detection_queries import _HITS, _rules
+from tidewatch.testbed.detection_queries import _EVENT_TEXT, _HITS, _rules
 
 _AT = datetime(2026, 1, 1, tzinfo=timezone.utc)
 _RANGE = (datetime(2024, 1, 5, 6, tzinfo=timezone.utc), datetime(2024, 1, 9, 18, tzinfo=timezone.utc))
@@ -131,6 +131,31 @@ def _backtest(name: str, **search):
     query(name, ORACLES["backtest_counts"])(build)
 
 
-# The same as backtest_counts, with all keywords searched in one pass, and with the search as a join.
-_backtest("backtest_counts_multi", literal_keywords=0)
-_backtest("backtest_counts_join", automaton_bytes=0)
+# The same as backtest_counts, with the search for large sets.
+_backtest("backtest_counts_multi", literal_keywords=8)
+_backtest("backtest_counts_join", literal_keywords=0)
+
+
+# Two keywords for each line item, all with one prefix; some occur in events of low addresses.
+_PREFIX_KEYWORDS_SQL = """
+SELECT '10.0.0.' || CAST(l_orderkey AS STRING) || ' host' || CAST(l_linenumber AS STRING) AS keyword FROM lineitem
+UNION SELECT '10.0.0.' || CAST(l_orderkey AS STRING) || '.' || CAST(l_linenumber AS STRING) FROM lineitem
+"""
+
+
+@query(
+    "keyword_hits_shared_prefix",
+    f"""
+    , words AS ({_PREFIX_KEYWORDS_SQL}),
+    texts AS (SELECT src_ip, {_EVENT_TEXT} AS text FROM ev)
+    SELECT keyword, count(*) AS events FROM words JOIN texts ON src_ip = split_part(keyword, ' ', 1) AND contains(text, keyword) GROUP BY keyword
+    """,
+    "ev",
+)
+def keyword_hits_shared_prefix(spark, sf):
+    """Events by keyword, for 100,000 keywords and more (at sf0.01) that share their first characters."""
+    words = derived.sql(spark, sf, _PREFIX_KEYWORDS_SQL, "lineitem")
+    texts = security_events(spark, sf)
+    texts = texts.select(rules.event_text(texts, skip=("event_id",)).alias("text"))
+    sets = rules.keyword_sets(texts, words)
+    return sets.select(F.explode("hits").alias("keyword"), "n").groupBy("keyword").agg(F.sum("n").alias("events"))
