@@ -242,3 +242,20 @@ def test_scratch_is_removed_on_request(spark, monkeypatch):
     assert table.count() == 3 and len(session._scratch) == 1
     session.scratch_path(spark, "never-written")
     assert session.remove_scratch(spark) == 1 and not session._scratch
+
+
+def test_large_lists_touch_only_events_that_may_hit(spark, make_events):
+    events = make_events([{"src_endpoint.ip": f"10.1.{i // 200}.{i % 200}", "actor.user.name": f"User{i}"} for i in range(2000)])
+    listed = spark.range(3000).select(F.when(F.col("id") < 40, F.concat(F.lit("user"), F.col("id") * 50)).otherwise(F.concat(F.lit("172.16.0.0/"), "id")).alias("ioc"))
+    large = I.LargeList(listed, max_bytes=0)
+    suspects = events.where(large.may_hit())
+    assert 40 <= suspects.count() < 80
+    hits = I.indicator_hits(events, listed, max_bytes=5000)
+    assert {(r.id, tuple(r.ioc_matches)) for r in hits.select("id", "ioc_matches").collect()} == {(i, (f"User{i}",)) for i in range(0, 2000, 50)}
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "getbit" in plan and "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 0
+    # A list that is large even after it was cut down: events that may hit something are shuffled, no others.
+    plan = I.indicator_hits(events, listed, max_bytes=0)._jdf.queryExecution().executedPlan().toString()
+    for branch in plan.split("Exchange hashpartitioning")[1:]:
+        assert "getbit" in branch or "indicators-present" in branch or "indicator-values" in branch
+    assert I.mark_indicators(events, listed, max_bytes=0).count() == 2000

@@ -101,3 +101,14 @@ def test_anomalies_when_the_hour_closes(feed, make_events, tmp_path):
     )
     rows = run(detect.stream_anomalies(stream, metric, baselines), tmp_path).collect()
     assert [(r.current_value, r.is_anomaly, r.hour.hour) for r in rows] == [(1000.0, True, 0)]
+
+
+def test_large_indicator_list_over_restarts(feed, tmp_path, spark):
+    rows = [{"actor.user.name": f"Eve{i}", "src_endpoint.ip": f"1.1.1.{i}"} for i in range(60)]
+    iocs = spark.range(500).select(F.concat(F.lit("eve"), F.col("id") * 7).alias("ioc"))
+    stream = feed(rows[:30], rows[30:])
+    hits = detect.stream_indicator_hits(stream, iocs, max_bytes=100).select(F.array_join("ioc_matches", ",").alias("m"))
+    first = hits.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(once=True).start()
+    first.awaitTermination()
+    again = detect.stream_indicator_hits(feed(rows[:30]), iocs, max_bytes=100).select(F.array_join("ioc_matches", ",").alias("m"))
+    assert sorted(r.m for r in run(again, tmp_path).collect()) == sorted([f"Eve{i}" for i in range(0, 60, 7)] + [f"Eve{i}" for i in range(0, 30, 7)])

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions import bloom
 from tidewatch.session import settled
 
 # Fields compared with indicators, in result order.
@@ -80,21 +81,52 @@ def look_up_large(events: DataFrame, wanted: DataFrame) -> DataFrame:
     return _with_matches(marked, is_hit).drop("_values", "_key", "_at", *fields, *[f"{f}h" for f in fields])
 
 
+class LargeList:
+    """An indicator list beyond the size that is broadcast, with a Bloom filter that events are tested against where they are read.
+
+    Only events that may hit something take part in any shuffle. In batch they first cut the list down to the values that
+    occur among them; if that is small enough it is broadcast after all.
+    """
+
+    def __init__(self, wanted: DataFrame, max_bytes: int, most_bits: int = bloom.MOST_BITS):
+        self.wanted, self.max_bytes = wanted, max_bytes
+        self.filter = bloom.build(wanted, "ioc", "indicator-bits", most_bits)
+
+    def may_hit(self) -> Column:
+        return reduce(or_, [self.filter.may_contain(_field(path)) for path in MATCH_FIELDS])
+
+    def look_up(self, suspects: DataFrame) -> DataFrame:
+        """Add ``ioc_matches`` to events that may hit something."""
+        if suspects.isStreaming:
+            return look_up_streaming(suspects, self.wanted)
+        present = settled(values_present(suspects, self.wanted), "indicators-present")
+        return look_up_small(suspects, present) if is_small(present, "ioc", self.max_bytes) else look_up_large(suspects, present)
+
+    def mark(self, events: DataFrame) -> DataFrame:
+        may = self.may_hit()
+        clean = events.where(~may).withColumn("ioc_matches", F.array().cast("array<string>"))
+        return self.look_up(events.where(may)).unionByName(clean)
+
+    def hits(self, events: DataFrame) -> DataFrame:
+        return self.look_up(events.where(self.may_hit())).where(F.size("ioc_matches") > 0)
+
+
+def _small_or_large(indicators: DataFrame, max_bytes: int) -> tuple[DataFrame, LargeList | None]:
+    wanted = indicators.select("ioc").where("ioc IS NOT NULL").distinct()
+    if is_small(wanted, "ioc", max_bytes):
+        return wanted, None
+    wanted = settled(wanted, "indicator-list")
+    return wanted, LargeList(wanted, max_bytes)
+
+
 def mark_indicators(events: DataFrame, indicators: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Add ``ioc_matches``: original values of matching fields, in field order; empty without a match.
 
     Each field is looked up by its lower-cased value. A list of proven small size is broadcast and
-    events never shuffle. A larger list is first cut down to the values that occur;
-    only if those are still too many do the events meet it by shuffle.
+    events never shuffle. Against a larger list, see ``LargeList``.
     """
-    wanted = indicators.select("ioc").distinct()
-    if not is_small(wanted, "ioc", max_bytes):
-        if events.isStreaming:
-            return look_up_streaming(events, wanted)
-        wanted = settled(values_present(events, wanted), "indicators-present")
-        if not is_small(wanted, "ioc", max_bytes):
-            return look_up_large(events, wanted)
-    return look_up_small(events, wanted)
+    wanted, large = _small_or_large(indicators, max_bytes)
+    return look_up_small(events, wanted) if large is None else large.mark(events)
 
 
 def look_up_streaming(events: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -112,7 +144,9 @@ def look_up_streaming(events: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def indicator_hits(events: DataFrame, indicators: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    return mark_indicators(events, indicators, max_bytes).where(F.size("ioc_matches") > 0)
+    """The events with a match. Beyond ``max_bytes`` the filter stands in the scan, before any other work."""
+    wanted, large = _small_or_large(indicators, max_bytes)
+    return look_up_small(events, wanted).where(F.size("ioc_matches") > 0) if large is None else large.hits(events)
 
 
 def clean_events(events: DataFrame, indicators: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:

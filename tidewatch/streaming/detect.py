@@ -8,7 +8,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from tidewatch.operators.anomalies import detect_anomalies
 from tidewatch.operators.events import IDENTITY
-from tidewatch.operators.indicators import indicator_hits
+from tidewatch.operators.indicators import BROADCAST_BYTES, indicator_hits
 from tidewatch.operators.metrics import entity, metric_column
 from tidewatch.registry import MetricDefinition
 
@@ -54,9 +54,12 @@ def read_latest(changes: DataFrame, keys: list[str]) -> DataFrame:
     return changes.groupBy(*keys).agg(*[F.max_by(v, "batch").alias(v) for v in values])
 
 
-def stream_indicator_hits(events: DataFrame, indicators: DataFrame) -> DataFrame:
-    """Events with indicator matches: stream-static joins, size-checked as in batch."""
-    return indicator_hits(events, indicators)
+def stream_indicator_hits(events: DataFrame, indicators: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Events with indicator matches: stream-static joins, size-checked as in batch.
+
+    Of a large list the stream's scan tests a Bloom filter, so rows that hit nothing reach no shuffle.
+    """
+    return indicator_hits(events, indicators, max_bytes)
 
 
 def stream_anomalies(events: DataFrame, metric: MetricDefinition, baselines: DataFrame, late: str = LATE) -> DataFrame:

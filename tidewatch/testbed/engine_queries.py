@@ -13,12 +13,14 @@ from tidewatch.sources import indicators as indicator_source
 from tidewatch.sources.audit import AuditLog
 from tidewatch.sources.lines import read_lines
 from tidewatch.sources.store import EventStore
+from tidewatch.streaming import detect
 from tidewatch.streaming.ingest import start_ingest, stream_lines
 from tidewatch.testbed import derived
 from tidewatch.testbed.adapter import REGISTRY, security_events
 from tidewatch.testbed.catalog import ORACLES, query
 from tidewatch.testbed.derived import as_text_time
 from tidewatch.testbed.detection_queries import _EVENT_TEXT, _HITS, _rules
+from tidewatch.testbed.ingest_queries import event_stream
 
 _AT = datetime(2026, 1, 1, tzinfo=timezone.utc)
 _RANGE = (datetime(2024, 1, 5, 6, tzinfo=timezone.utc), datetime(2024, 1, 9, 18, tzinfo=timezone.utc))
@@ -124,6 +126,48 @@ def ioc_hits_files(spark, sf):
     return found.select("event_id", F.array_join("ioc_matches", "|").alias("matches"))
 
 
+# An indicator for each line item, most of which no event has; the bound is set below its size.
+_MANY_IOCS_SQL = """
+SELECT DISTINCT '10.0.0.' || CAST(l_orderkey AS STRING) AS ioc FROM lineitem
+UNION SELECT 'user' || CAST(l_partkey AS STRING) || '-' || CAST(l_linenumber AS STRING) FROM lineitem
+UNION SELECT '192.168.1.' || CAST(l_suppkey * 7 AS STRING) FROM lineitem
+"""
+_MANY_BYTES = 16 * 1024
+_MANY_HITS = _HITS.replace("iocs", "many_iocs")
+
+
+@query("ioc_hits_large_list", f", many_iocs AS ({_MANY_IOCS_SQL}) SELECT event_id, matches FROM ({_MANY_HITS}) h WHERE matches <> ''", "ev")
+def ioc_hits_large_list(spark, sf):
+    listed = derived.sql(spark, sf, _MANY_IOCS_SQL, "lineitem")
+    found = indicators.indicator_hits(security_events(spark, sf), listed, max_bytes=_MANY_BYTES)
+    return found.select("event_id", F.array_join("ioc_matches", "|").alias("matches"))
+
+
+@query("ioc_marks_large_list", f", many_iocs AS ({_MANY_IOCS_SQL}) SELECT event_id, matches FROM ({_MANY_HITS}) h", "ev")
+def ioc_marks_large_list(spark, sf):
+    """All events with their matches, those without any included."""
+    listed = derived.sql(spark, sf, _MANY_IOCS_SQL, "lineitem")
+    found = indicators.mark_indicators(security_events(spark, sf), listed, max_bytes=_MANY_BYTES)
+    return found.select("event_id", F.array_join("ioc_matches", "|").alias("matches"))
+
+
+@query("stream_ioc_hits_large_list", f", many_iocs AS ({_MANY_IOCS_SQL}) SELECT event_id, matches FROM ({_MANY_HITS}) h WHERE matches <> ''", "ev")
+def stream_ioc_hits_large_list(spark, sf):
+    path = scratch_path(spark, "stream-many-iocs")
+    listed = derived.sql(spark, sf, _MANY_IOCS_SQL, "lineitem")
+    hits = detect.stream_indicator_hits(event_stream(spark, sf), listed, max_bytes=_MANY_BYTES)
+    (
+        hits.select("event_id", F.array_join("ioc_matches", "|").alias("matches"))
+        .writeStream.format("parquet")
+        .option("path", f"{path}/hits")
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    return spark.read.parquet(f"{path}/hits")
+
+
 def _backtest(name: str, **search):
     def build(spark, sf):
         return rules.backtest_rules(security_events(spark, sf), _rules(spark, sf), skip=("event_id",), **search)

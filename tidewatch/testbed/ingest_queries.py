@@ -297,7 +297,7 @@ def ingest_quarantine(spark, sf):
 # -- streams ---------------------------------------------------------------------------------
 
 
-def _event_stream(spark, sf):
+def event_stream(spark, sf):
     """The events table as a file stream, seen as security events."""
     schema = table(spark, sf, "events").schema
     raw = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
@@ -313,7 +313,7 @@ def _event_stream(spark, sf):
 )
 def stream_timeline(spark, sf):
     path = scratch_path(spark, "stream-timeline")
-    counts = detect.stream_timeline(_event_stream(spark, sf), 30)
+    counts = detect.stream_timeline(event_stream(spark, sf), 30)
     detect.write_latest(counts, f"{path}/changes", f"{path}/checkpoint").awaitTermination()
     latest = detect.read_latest(spark.read.parquet(f"{path}/changes"), ["window_start"])
     return latest.select(as_text_time("window_start").alias("window_start"), "count")
@@ -345,7 +345,7 @@ def stream_ingest(spark, sf):
 )
 def stream_ioc_hits(spark, sf):
     path = scratch_path(spark, "stream-iocs")
-    hits = detect.stream_indicator_hits(_event_stream(spark, sf), indicators_from_customers(spark, sf))
+    hits = detect.stream_indicator_hits(event_stream(spark, sf), indicators_from_customers(spark, sf))
     (
         hits.select("event_id", F.array_join("ioc_matches", "|").alias("matches"))
         .writeStream.format("parquet")
@@ -365,7 +365,7 @@ def stream_ioc_hits(spark, sf):
 )
 def stream_dedup(spark, sf):
     path = scratch_path(spark, "stream-dedup")
-    once = detect.stream_dedup(_event_stream(spark, sf).unionByName(_event_stream(spark, sf)))
+    once = detect.stream_dedup(event_stream(spark, sf).unionByName(event_stream(spark, sf)))
     (
         once.select("class_uid", F.date_format("time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("time"))
         .writeStream.format("parquet")
