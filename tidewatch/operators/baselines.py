@@ -21,7 +21,7 @@ MIN_OBSERVATIONS = 30  # fixed value
 KEYS = ["entity_type", "entity_value", "metric_name", "class_uid"]
 
 
-def _class_rows(events: DataFrame, metric: MetricDefinition) -> DataFrame:
+def class_rows(events: DataFrame, metric: MetricDefinition) -> DataFrame:
     return events.where((F.col("class_uid") == metric.class_uid) & F.col(metric.entity_field).isNotNull())
 
 
@@ -52,7 +52,7 @@ def _finish(stats: DataFrame, metric: MetricDefinition, computed_at: Column) ->
     )
 
 
-def _moment(value: datetime | None) -> Column:
+def moment_or_now(value: datetime | None) -> Column:
     return F.current_timestamp() if value is None else F.lit(utc(value))
 
 
@@ -63,7 +63,7 @@ def per_event_baseline(
     computed_at: datetime | None = None,
 ) -> DataFrame:
     stats = (
-        _class_rows(events, metric)
+        class_rows(events, metric)
         .select(entity(metric).alias("entity_value"), "time", single_event_value(metric).alias("x"))
         .groupBy("entity_value")
         .agg(
@@ -75,7 +75,7 @@ def per_event_baseline(
         )
         .where(F.col("observation_count") >= min_observations)
     )
-    return _finish(stats, metric, _moment(computed_at))
+    return _finish(stats, metric, moment_or_now(computed_at))
 
 
 def hourly_values(events: DataFrame, metric: MetricDefinition) -> DataFrame:
@@ -83,7 +83,7 @@ def hourly_values(events: DataFrame, metric: MetricDefinition) -> DataFrame:
     counts = metric.computation in ("count", "rate_per_hour")
     value = F.count(F.lit(1)).cast("double") if counts else metric_column(metric)
     return (
-        _class_rows(events, metric)
+        class_rows(events, metric)
         .groupBy(entity(metric).alias("entity_value"), F.date_trunc("hour", "time").alias("hour"))
         .agg(value.alias("value"), F.min("time").alias("first_time"), F.max("time").alias("last_time"))
     )
@@ -92,7 +92,7 @@ def hourly_values(events: DataFrame, metric: MetricDefinition) -> DataFrame:
 def latest_hour(events: DataFrame, metric: MetricDefinition) -> Column:
     """The newest hour with events of the metric's class, as a scalar subquery."""
     return (
-        _class_rows(events, metric).agg(F.date_trunc("hour", F.max("time")).alias("hour")).scalar()
+        class_rows(events, metric).agg(F.date_trunc("hour", F.max("time")).alias("hour")).scalar()
     )
 
 
@@ -155,7 +155,7 @@ def baseline_of_hours(
             "first_time",
             "last_time",
         )
-    return _finish(stats.where(F.col("observation_count") >= min_observations), metric, _moment(computed_at))
+    return _finish(stats.where(F.col("observation_count") >= min_observations), metric, moment_or_now(computed_at))
 
 
 def current_hour_values(events: DataFrame, metric: MetricDefinition, as_of: datetime | None = None) -> DataFrame:
@@ -175,7 +175,7 @@ def current_of_hours(hours: DataFrame, metric: MetricDefinition) -> DataFrame:
 
 def current_event_values(events: DataFrame, metric: MetricDefinition, *carry: str) -> DataFrame:
     """Each single event's value, keyed; ``carry`` keeps further columns such as a row id."""
-    rows = _class_rows(events, metric).select(
+    rows = class_rows(events, metric).select(
         *carry, entity(metric).alias("entity_value"), single_event_value(metric).alias("value")
     )
     return _keyed(rows, metric, "value", *carry)

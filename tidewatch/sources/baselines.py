@@ -1,81 +1,67 @@
-"""Stored baselines: one row per key, replaced as a whole new version."""
+"""Stored baselines and the daily moments they can be put together from."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.errors import ConcurrentUpdateError
-from tidewatch.operators.baselines import upsert_baselines
-from tidewatch.session import settled
-from tidewatch.sources.paths import create_text, path_exists
+from tidewatch.operators.baselines import KEYS
+from tidewatch.operators.moments import merged
+from tidewatch.sources.bucketed import BucketedTable, hash_bucket
 
 SCHEMA = (
     "entity_type string, entity_value string, metric_name string, class_uid int, mean double, stddev double, "
     "observation_count bigint, window_start string, window_end string, computed_at string"
 )
+MOMENTS_SCHEMA = (
+    "entity_type string, entity_value string, metric_name string, class_uid int, day date, n bigint, mean double, m2 double, "
+    "first_time timestamp, last_time timestamp"
+)
 
 
 class BaselineStore:
-    """Every upsert writes a new version folder, then a pointer file with the next number.
-
-    A version in use is never overwritten, and a job that dies half-way leaves the
-    pointer on the previous version. Pointer files are created exclusively, so of two
-    writers that started from the same version the slower one fails and loses nothing.
-    """
+    """One row per key, in buckets by key; an upsert leaves the files of other buckets alone."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
-        self.root = str(root).rstrip("/")
-
-    def _current(self) -> tuple[str | None, int]:
-        """(version in force, its position)."""
-        path = f"{self.root}/current"
-        if not path_exists(self.spark, path):
-            return None, 0
-        pointers = self.spark.read.text(path).select(
-            F.col("value").alias("version"),
-            F.regexp_extract("_metadata.file_name", r"^(\d+)", 1).cast("bigint").alias("position"),
-        )
-        newest = pointers.agg(F.max_by("version", "position").alias("v"), F.max("position").alias("p")).first()
-        return newest.v, newest.p or 0
-
-    def _version(self, version: str | None) -> DataFrame:
-        if version is None:
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.root}/versions/{version}")
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
+        self.table = BucketedTable(spark, root, SCHEMA, KEYS, lambda n: hash_bucket(KEYS, n), buckets)
 
     def read(self) -> DataFrame:
-        return self._version(self._current()[0])
+        return self.table.read()
 
     def upsert(self, computed: DataFrame) -> DataFrame:
         """Replace the recomputed keys, keep the others; returns the new content."""
-        names = [part.split()[0] for part in SCHEMA.split(", ")]
-        current, position = self._current()
-        computed = settled(computed, "computed-baselines")
-        merged = upsert_baselines(self._version(current), computed).select(*names)
-        version = uuid.uuid4().hex
-        merged.write.parquet(f"{self.root}/versions/{version}")
-        if not create_text(self.spark, f"{self.root}/current/{position + 1:012d}.txt", version):
-            raise ConcurrentUpdateError(f"the baselines below {self.root} were changed meanwhile")
-        return self._version(version)
+        return self.table.upsert(computed)
 
     def get_baseline(self, entity_type: str, entity_value: str, metric_name: str, class_uid: int):
-        for name, value in (
-            ("entity_type", entity_type), ("entity_value", entity_value),
-            ("metric_name", metric_name), ("class_uid", class_uid),
-        ):
+        key = {"entity_type": entity_type, "entity_value": entity_value, "metric_name": metric_name, "class_uid": class_uid}
+        for name, value in key.items():
             if value is None:
                 raise TypeError(f"{name} must not be None")
-        return (
-            self.read()
-            .where(
-                (F.col("entity_type") == entity_type)
-                & (F.col("entity_value") == entity_value)
-                & (F.col("metric_name") == metric_name)
-                & (F.col("class_uid") == class_uid)
-            )
-            .first()
-        )
+        found = self.table.read_bucket_of(**key)
+        for name, value in key.items():
+            found = found.where(F.col(name) == value)
+        return found.first()
+
+
+class MomentStore:
+    """Moments of each entity and day, in buckets by day and key: a day's update rewrites that day only.
+
+    A day that is computed again replaces the day, so repeated runs count nothing twice.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
+        def bucket(n: int) -> Column:
+            return F.concat_ws("-", F.date_format("day", "yyyyMMdd"), hash_bucket(KEYS, n))
+
+        self.table = BucketedTable(spark, root, MOMENTS_SCHEMA, [*KEYS, "day"], bucket, buckets)
+
+    def read(self) -> DataFrame:
+        return self.table.read()
+
+    def put_days(self, moments: DataFrame) -> DataFrame:
+        """Store the moments of whole days; returns all."""
+        return self.table.upsert(moments)
+
+    def baselines(self, **options) -> DataFrame:
+        """Baselines over all stored days, without a look at any event."""
+        return merged(self.read(), **options)

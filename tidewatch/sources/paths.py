@@ -43,3 +43,22 @@ def partition_values(spark: SparkSession, root: str, column: str) -> list[str]:
     system, hadoop = _resolve(spark, f"{root}/{column}=*")
     found = system.globStatus(hadoop) or []
     return [status.getPath().getName().split("=", 1)[1] for status in found if status.isDirectory()]
+
+
+def newest_text(spark: SparkSession, folder: str) -> tuple[str | None, str]:
+    """Name of the last file (by name) of a folder, and the text of the last one that is not empty.
+
+    A file that its writer has created but not filled yet counts for the name only.
+    """
+    system, hadoop = _resolve(spark, folder)
+    if not system.exists(hadoop):
+        return None, ""
+    files = sorted(((s.getPath().getName(), s) for s in system.listStatus(hadoop) if s.isFile()), key=lambda f: f[0], reverse=True)
+    for _, status in files:
+        if status.getLen():
+            source = system.open(status.getPath())
+            try:
+                return files[0][0], spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+            finally:
+                source.close()
+    return (files[0][0] if files else None), ""

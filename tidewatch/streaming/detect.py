@@ -62,8 +62,8 @@ def stream_indicator_hits(events: DataFrame, indicators: DataFrame, max_bytes: i
     return indicator_hits(events, indicators, max_bytes)
 
 
-def stream_anomalies(events: DataFrame, metric: MetricDefinition, baselines: DataFrame, late: str = LATE) -> DataFrame:
-    """Hourly metric of each entity against stored baselines, as each hour closes."""
+def closed_hours(events: DataFrame, metric: MetricDefinition, late: str = LATE) -> DataFrame:
+    """The metric of each entity and hour, keyed for anomaly detection, as each hour closes."""
     counts = metric.computation in ("count", "rate_per_hour")
     rows = events.where((F.col("class_uid") == metric.class_uid) & F.col(metric.entity_field).isNotNull()).withWatermark("time", late)
     hour = F.window("time", "1 hour").alias("window")
@@ -74,18 +74,19 @@ def stream_anomalies(events: DataFrame, metric: MetricDefinition, baselines: Dat
     else:
         value = F.count(F.lit(1)).cast("double") if counts else metric_column(metric)
         grouped = rows.groupBy(hour, entity(metric).alias("entity_value"))
-    hourly = (
-        grouped.agg(value.alias("current_value"))
-        .select(
-            F.col("window.start").alias("hour"),
-            F.lit(metric.entity_type).alias("entity_type"),
-            "entity_value",
-            F.lit(metric.metric_name).alias("metric_name"),
-            F.lit(metric.class_uid).alias("class_uid"),
-            "current_value",
-        )
+    return grouped.agg(value.alias("current_value")).select(
+        F.col("window.start").alias("hour"),
+        F.lit(metric.entity_type).alias("entity_type"),
+        "entity_value",
+        F.lit(metric.metric_name).alias("metric_name"),
+        F.lit(metric.class_uid).alias("class_uid"),
+        "current_value",
     )
-    return detect_anomalies(hourly, baselines)
+
+
+def stream_anomalies(events: DataFrame, metric: MetricDefinition, baselines: DataFrame, late: str = LATE) -> DataFrame:
+    """Hourly metric of each entity against stored baselines, as each hour closes."""
+    return detect_anomalies(closed_hours(events, metric, late), baselines)
 
 
 def stream_dedup(events: DataFrame, late: str = LATE) -> DataFrame:

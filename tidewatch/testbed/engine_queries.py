@@ -14,12 +14,14 @@ from tidewatch.sources.audit import AuditLog
 from tidewatch.sources.lines import read_lines
 from tidewatch.sources.store import EventStore
 from tidewatch.streaming import detect
+from tidewatch.streaming.anomalies import stream_running_anomalies
 from tidewatch.streaming.ingest import start_ingest, stream_lines
 from tidewatch.testbed import derived
-from tidewatch.testbed.adapter import REGISTRY, security_events
+from tidewatch.testbed.adapter import FLAT_EVENTS_SQL, REGISTRY, nest, security_events, table
 from tidewatch.testbed.catalog import ORACLES, query
 from tidewatch.testbed.derived import as_text_time
 from tidewatch.testbed.detection_queries import _EVENT_TEXT, _HITS, _rules
+from tidewatch.testbed.event_queries import PROCESS_COUNT, _with_hours
 from tidewatch.testbed.ingest_queries import event_stream
 
 _AT = datetime(2026, 1, 1, tzinfo=timezone.utc)
@@ -203,3 +205,46 @@ def keyword_hits_shared_prefix(spark, sf):
     texts = texts.select(rules.event_text(texts, skip=("event_id",)).alias("text"))
     sets = rules.keyword_sets(texts, words)
     return sets.select(F.explode("hits").alias("keyword"), "n").groupBy("keyword").agg(F.sum("n").alias("events"))
+
+
+@query(
+    "stream_anomalies",
+    _with_hours(
+        """
+        , judged AS (
+          SELECT hour, entity_value, value, avg(value) OVER w AS mean, stddev_samp(value) OVER w AS sd, count(*) OVER w AS n
+          FROM hours WINDOW w AS (PARTITION BY entity_value ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        scored AS (SELECT *, CASE WHEN sd <> 0 THEN (value - mean) / sd WHEN value = mean THEN 0.0 ELSE 4.0 END AS z FROM judged)
+        SELECT strftime(hour, '%Y-%m-%d %H:%M:%S') AS hour, entity_value, value AS current_value, round(mean, 3) AS baseline_mean,
+          n AS observation_count, round(z, 3) AS z_score, abs(z) > 3.0 AS is_anomaly
+        FROM scored WHERE n >= 5 AND hour + INTERVAL 1 HOUR <= (SELECT max(last_time) - INTERVAL 10 MINUTE FROM hours)
+        """
+    ),
+)
+def stream_anomalies(spark, sf):
+    """Hours judged by each entity's earlier hours, by a stream that is stopped half-way and started again."""
+    path = scratch_path(spark, "stream-anomalies")
+    raw = table(spark, sf, "events")
+    cut = F.lit("2024-01-16 12:30:00").cast("timestamp_ntz")
+    for part in (raw.where(F.col("ts") < cut), raw.where(F.col("ts") >= cut)):
+        part.write.mode("append").parquet(f"{path}/events")
+        stream = spark.readStream.schema(raw.schema).parquet(f"{path}/events")
+        events = nest(spark.sql(FLAT_EVENTS_SQL.replace("FROM events", "FROM {events}"), events=stream))
+        (
+            stream_running_anomalies(events, PROCESS_COUNT, min_observations=5)
+            .writeStream.format("parquet")
+            .option("path", f"{path}/judged")
+            .option("checkpointLocation", f"{path}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
+    return spark.read.parquet(f"{path}/judged").select(
+        as_text_time("hour").alias("hour"),
+        "entity_value",
+        "current_value",
+        F.round("baseline_mean", 3).alias("baseline_mean"),
+        "observation_count",
+        F.round("z_score", 3).alias("z_score"),
+        "is_anomaly",
+    )

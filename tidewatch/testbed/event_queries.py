@@ -6,12 +6,12 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import anomalies, baselines, events as event_ops, filters, metrics, normalize, techniques, timeline
+from tidewatch.operators import anomalies, baselines, events as event_ops, filters, metrics, moments, normalize, techniques, timeline
 from tidewatch.operators.filters import FieldFilter
 from tidewatch.plans import behaviour
 from tidewatch.registry import MetricRegistry
-from tidewatch.session import scratch_path
-from tidewatch.sources.baselines import BaselineStore
+from tidewatch.session import scratch_path, settled
+from tidewatch.sources.baselines import BaselineStore, MomentStore
 from tidewatch.sources.store import EventStore
 from tidewatch.testbed.adapter import REGISTRY, flat_events, nest, security_events
 from tidewatch.testbed.catalog import oracle, query
@@ -585,6 +585,30 @@ def baseline_upsert(spark, sf):
     return now.select("entity_value", F.round("mean", 3).alias("mean"), "observation_count")
 
 
+@query("baseline_merge", f"{_ROUNDED} FROM ({_BASE_EVENT.format(extra='')}) b", "ev")
+def baseline_merge(spark, sf):
+    """Baselines out of stored moments, which come day by day; a day that comes twice counts once."""
+    rows = security_events(spark, sf)
+    store = MomentStore(spark, scratch_path(spark, "moments"))
+    for first, last in (("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-18", "2024-01-21"), ("2024-01-21", "2025-01-01")):
+        days = rows.where((F.col("time") >= F.lit(first).cast("timestamp")) & (F.col("time") < F.lit(last).cast("timestamp")))
+        store.put_days(moments.daily_event_moments(days, BYTES_OUT))
+    return _rounded(store.baselines())
+
+
+@query("baseline_merge_hourly", _with_hours(f"{_ROUNDED} FROM hourly"))
+def baseline_merge_hourly(spark, sf):
+    """The hourly reading: moments of entity-hours, without the newest hour."""
+    rows = security_events(spark, sf)
+    hours = settled(baselines.hourly_values(rows, PROCESS_COUNT), "hours")
+    earlier = hours.where(F.col("hour") < hours.agg(F.max("hour")).scalar())
+    store = MomentStore(spark, scratch_path(spark, "hour-moments"))
+    cut = F.lit("2024-01-13").cast("timestamp")
+    store.put_days(moments.daily_hour_moments(earlier.where(F.col("hour") < cut), PROCESS_COUNT))
+    store.put_days(moments.daily_hour_moments(earlier.where(F.col("hour") >= cut), PROCESS_COUNT))
+    return _rounded(store.baselines())
+
+
 @query(
     "baseline_lookup",
     f"""
