@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import struct
 import zlib
 
 import numpy as np
+
 import pytest
 
 from tests.llm.conftest import SF, by_id
@@ -62,21 +64,39 @@ def test_decode_documents(odd_docs):
     assert got[3] == ("word",) and got[0] == ("",)
 
 
-def test_character_map_takes_the_longest_prefix():
-    # A double array made by hand: "a" -> "x", "ab" -> "yz".
-    codec = pieces.Codec(queries.PIECE_MODEL)
-    made = pieces.CharacterMap(b"")
+def test_character_map_equals_the_library():
+    """A compiled map that a library brings along (nothing is trained): normalised texts, and where each byte came from."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
 
-    class Known:
-        units = (1,)
+    library = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(library.serialized_model_proto())
+    codec = pieces.Codec(queries.PIECE_MODEL)
+    codec.map = pieces.CharacterMap(proto.normalizer_spec.precompiled_charsmap)
+    codec.prefix, codec.squeeze = proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.remove_extra_whitespaces
+    rng = random.Random(9)
+    marks = ["a", "b", " ", "  ", "\t", "ﬁ", "①", "é", "e\u0301", "ｶﾞ", "２", "㍿", "\u200b", "\u00ad", "가", "\u1112\u1161\u11ab", "𝐀", "🦊", "日本", "\u3000", "½"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    for text in texts:
+        got, origin = codec.normalised(text.encode())
+        assert got == library.normalize(text), text
+        data = text.encode()
+        assert len(origin) == len(got.encode()) + 1
+        assert all(a <= b for a, b in zip(origin, origin[1:])) and (not got or origin[-1] <= len(data))
+        assert all(o == len(data) or data[o] & 0xC0 != 0x80 for o in origin.tolist())  # places of whole characters
 
-        def longest(self, data, at):
-            return next(((len(k), v) for k, v in ((b"ab", b"yz"), (b"a", b"x")) if data.startswith(k, at)), None)
 
-    assert made.longest(b"ab", 0) is None
-    codec.map = Known()
-    text, origin = codec.normalised(b"ab a")
-    assert text == "▁yz▁x" and origin.tolist() == [0, 0, 0, 0, 0, 2, 2, 2, 3, 4]
+def test_character_map_takes_the_longest_prefix():
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    known = pieces.CharacterMap(proto.normalizer_spec.precompiled_charsmap)
+    composed = "e\u0301x".encode()
+    assert known.longest(composed, 0) == (3, "é".encode())  # not the one of "e" alone
+    assert known.longest(b"ab", 0) is None and pieces.CharacterMap(b"").longest(composed, 0) is None
 
 
 # Quality rules
