@@ -30,6 +30,15 @@ def test_xml_records_over_several_lines(spark, tmp_path):
     assert got == ['<Event xmlns="n">\n <A/>\n</Event>', "<Event><B/></Event>"]
 
 
+def test_text_between_xml_records_is_kept_as_records(spark, tmp_path):
+    (tmp_path / "e.xml").write_text(
+        '<?xml version="1.0"?><Events>\n<broken one\n<Event><A/></Event>\n\n two \r\n<broken three>\n<Event xmlns="n">\n<B/></Event></Events>\nlast\n<Event a='
+    )
+    got = [r.value for r in read_xml_records(spark, str(tmp_path)).orderBy("seq").collect()]
+    assert [v.strip() for v in got if not v.startswith("<Event")] == ["<broken one", "two", "<broken three>", "</Events>", "last"][:3] + ["last"]
+    assert [v for v in got if v.startswith("<Event")][:2] == ["<Event><A/></Event>", '<Event xmlns="n">\n<B/></Event>']
+
+
 def test_indicator_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("# comment\n\n 10.0.0.7 \nEVIL.exe\n10.0.0.7\nlast\n")
     (tmp_path / "b.txt").write_text("10.0.0.7\nother\n")

@@ -87,17 +87,20 @@ def read_xml_records(spark: SparkSession, paths) -> DataFrame:
     return number_lines(xml_records(raw_text(spark, paths, line_sep=RECORD_END)))
 
 
+# What may stand around records: a declaration and the tags of a list of events.
+_WRAPPING = r"^\s*(<\?xml[^>]*\?>)?\s*(</?Events(\s[^>]*)?>)*\s*$"
+
+
 def xml_records(records: DataFrame) -> DataFrame:
     """Whole records from text that was read with ``RECORD_END`` as line separator, in batch or as a stream.
 
-    With the closing tag as separator large files still split; whatever stands
-    before the opening tag is cut off.
+    With the closing tag as separator large files still split. Other text before an opening tag or after the last record is
+    kept as records of their own, one for each line that is not blank; they fail to parse and so reach the quarantine.
     """
-    end = RECORD_END
     start = F.regexp_instr("value", F.lit(r"<Event[\s>]"))
-    return (
-        records.where(strip(F.col("value")) != "")
-        .withColumn("value", F.when(start > 0, F.expr("substr(value, regexp_instr(value, '<Event[\\\\s>]'))")).otherwise(F.col("value")))
-        .withColumn("value", F.when(F.startswith("value", F.lit("<Event")), F.concat("value", F.lit(end))).otherwise(F.col("value")))
-        .where(~F.col("value").rlike(r"^\s*</Events>\s*$"))
-    )
+    others = [c for c in records.columns if c != "value"]
+    placed = records.where(strip(F.col("value")) != "").withColumn("_start", start)
+    before = F.when(F.col("_start") > 0, F.expr("substr(value, 1, _start - 1)")).otherwise(F.col("value"))
+    stray = F.filter(F.split(before, r"\r?\n"), lambda line: (strip(line) != "") & ~line.rlike(_WRAPPING))
+    record = F.when(F.col("_start") > 0, F.concat(F.expr("substr(value, _start)"), F.lit(RECORD_END)))
+    return placed.select(F.explode(F.concat(stray, F.array_compact(F.array(record)))).alias("value"), *others)

@@ -54,20 +54,34 @@ def parse_zeek_files(spark, sf):
     return parsed.select(field("uid").alias("uid"), field("id.orig_h").alias("src_ip"), field("id.resp_p").alias("dst_port"))
 
 
+def _streamed_evtx(spark, sf):
+    path = scratch_path(spark, "stream-evtx")
+    records = derived.sql(spark, sf, derived.EVTX_SQL, "flat", "lines_base")
+    records.select(F.regexp_replace("value", "><", ">\n  <").alias("value")).repartition(3).write.text(f"{path}/logs")
+    store = EventStore(spark, f"{path}/store", REGISTRY)
+    lines = stream_lines(spark, f"{path}/logs", source_format="evtx")
+    start_ingest(lines, "evtx", 6003, store, f"{path}/checkpoint", ingest_time=_AT).awaitTermination()
+    return store
+
+
+@query(
+    "stream_ingest_evtx_quarantine",
+    "SELECT '<broken garbage ' || CAST(event_id AS STRING) AS raw_line, 'parse' AS failure FROM flat WHERE event_id % 50 = 0",
+    "flat",
+)
+def stream_ingest_evtx_quarantine(spark, sf):
+    """The malformed records of the same stream."""
+    return _streamed_evtx(spark, sf).quarantine().select(F.trim("raw_line").alias("raw_line"), "failure")
+
+
 @query(
     "stream_ingest_evtx",
     "SELECT replace(iso, 'T', ' ') AS time, user_name, src_ip, src_hostname, auth_protocol FROM lines_base WHERE event_id % 50 <> 0",
     "lines_base",
 )
 def stream_ingest_evtx(spark, sf):
-    """Records over several lines, between other text, from files as they arrive."""
-    path = scratch_path(spark, "stream-evtx")
-    records = derived.sql(spark, sf, derived.EVTX_SQL, "flat", "lines_base").where("event_id % 50 <> 0")
-    records.select(F.regexp_replace("value", "><", ">\n  <").alias("value")).repartition(3).write.text(f"{path}/logs")
-    store = EventStore(spark, f"{path}/store", REGISTRY)
-    lines = stream_lines(spark, f"{path}/logs", source_format="evtx")
-    start_ingest(lines, "evtx", 6003, store, f"{path}/checkpoint", ingest_time=_AT).awaitTermination()
-    return store.scan(6003).select(
+    """Records over several lines, between malformed ones, from files as they arrive."""
+    return _streamed_evtx(spark, sf).scan(6003).select(
         as_text_time("time").alias("time"),
         F.col("actor.user.name").alias("user_name"),
         F.col("src_endpoint.ip").alias("src_ip"),
