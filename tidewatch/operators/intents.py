@@ -44,6 +44,11 @@ def decode_intents(responses: DataFrame, column: str = "response") -> DataFrame:
     return parsed.withColumn("intent", intent).drop("_bare", "_json")
 
 
+def runnable_intents(decoded: DataFrame) -> DataFrame:
+    """The decoded intents that name an event class; others are no valid queries."""
+    return decoded.where(F.col("intent.class_uid").isNotNull())
+
+
 def intent_to_spec(intent: Row, text: str = "") -> QuerySpec:
     """One decoded intent as a query specification."""
     return QuerySpec(

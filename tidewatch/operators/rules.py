@@ -79,6 +79,12 @@ def rule_counts(rules: DataFrame) -> DataFrame:
     )
 
 
+def exports(rules: DataFrame) -> DataFrame:
+    """(rule_id, version, exported, refused): the text of each rule whose latest version is confirmed; others are refused."""
+    confirmed = F.coalesce(F.col("analyst_confirmed"), F.lit(False))
+    return rules.select("rule_id", "version", F.when(confirmed, F.col("yaml_content")).alias("exported"), (~confirmed).alias("refused"))
+
+
 # -- keywords ----------------------------------------------------------------
 
 # How keywords are found in rule text when every list item counts.

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidewatch.operators.rules import rule_counts
+from tidewatch.session import scratch_path
 from tidewatch.sources.audit import newest
+from tidewatch.sources.paths import path_exists
 
 # Class a source format counts for when the audit row names none.
 FORMAT_CLASSES = {"zeek": 3001, "apache": 3002, "evtx": 6003, "syslog": 1001}
@@ -80,8 +86,8 @@ def page_count(rows: DataFrame, page_size: int = 50) -> int:
 def paginate(rows: DataFrame, page: int, page_size: int = 50, order: tuple = ("time",)) -> tuple[DataFrame, int]:
     """(rows of the page, number of pages); pages outside the range are clamped.
 
-    Sort and offset together only keep the leading rows of each partition. To walk
-    far into a large result use ``page_after``, which never reads skipped rows.
+    Sort and offset together only keep the leading rows of each partition. For pages far into a
+    large result use ``PageIndex``, or ``page_after`` to walk; neither reads skipped rows.
     """
     pages = page_count(rows, page_size)
     page = max(0, min(page, pages - 1))
@@ -98,3 +104,49 @@ def page_after(rows: DataFrame, last_key: dict, page_size: int = 50) -> DataFram
     lead = next(iter(last_key))
     pushed = F.col(lead) >= F.lit(last_key[lead])  # plain comparison, reaches the Parquet scan
     return rows.where(pushed & after).orderBy(*last_key).limit(page_size)
+
+
+class PageIndex:
+    """Pages of a large sorted result, of which each opens only the parts of the result that it lies in.
+
+    Rows are written once, range-partitioned and sorted by ``order``; how many rows each part has (a few numbers)
+    tells in which part a page begins. ``order`` should end in a column that tells rows apart.
+    """
+
+    def __init__(self, rows: DataFrame, order: tuple = ("time",), page_size: int = 50, parts: int | None = None):
+        if page_size < 1:
+            raise ValueError(f"page_size must be at least 1, got {page_size}")
+        self.spark, self.order, self.page_size = rows.sparkSession, order, page_size
+        self.path = scratch_path(self.spark, "pages")
+        self.schema = rows.schema
+        ranged = rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)
+        ranged.withColumn("_part", F.spark_partition_id()).write.partitionBy("_part").parquet(self.path)
+        counted = self._stored().groupBy("_part").count().orderBy("_part").collect()  # a row for each part
+        self.parts = [r["_part"] for r in counted]
+        self.ends = list(accumulate(r["count"] for r in counted))
+
+    def _stored(self) -> DataFrame:
+        kind = StructType([*self.schema.fields, StructField("_part", IntegerType())])
+        return self.spark.read.schema(kind).parquet(self.path) if path_exists(self.spark, self.path) else self.spark.createDataFrame([], kind)
+
+    @property
+    def row_count(self) -> int:
+        return self.ends[-1] if self.ends else 0
+
+    @property
+    def pages(self) -> int:
+        return max(1, -(-self.row_count // self.page_size))
+
+    def parts_of(self, page: int) -> tuple[list[int], int]:
+        """The parts that hold a page, and how many rows of the first stand before it."""
+        first = max(0, min(page, self.pages - 1)) * self.page_size
+        last = min(first + self.page_size, self.row_count)
+        low, high = bisect_right(self.ends, first), bisect_left(self.ends, last)
+        before = self.ends[low - 1] if low else 0
+        return self.parts[low : high + 1], first - before
+
+    def page(self, page: int) -> DataFrame:
+        """Rows of a page; pages outside the range are clamped."""
+        parts, skipped = self.parts_of(page)
+        rows = self._stored().where(F.col("_part").isin(parts)) if parts else self._stored()
+        return rows.drop("_part").orderBy(*self.order).offset(skipped).limit(self.page_size)

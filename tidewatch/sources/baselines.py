@@ -43,6 +43,10 @@ class BaselineStore:
         return found.first()
 
 
+def day_bucket(buckets: int) -> Column:
+    return F.concat_ws("-", F.date_format("day", "yyyyMMdd"), hash_bucket(KEYS, buckets))
+
+
 class MomentStore:
     """Moments of each entity and day, in buckets by day and key: a day's update rewrites that day only.
 
@@ -50,10 +54,7 @@ class MomentStore:
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
-        def bucket(n: int) -> Column:
-            return F.concat_ws("-", F.date_format("day", "yyyyMMdd"), hash_bucket(KEYS, n))
-
-        self.table = BucketedTable(spark, root, MOMENTS_SCHEMA, [*KEYS, "day"], bucket, buckets)
+        self.table = BucketedTable(spark, root, MOMENTS_SCHEMA, [*KEYS, "day"], day_bucket, buckets)
 
     def read(self) -> DataFrame:
         return self.table.read()
@@ -65,3 +66,20 @@ class MomentStore:
     def baselines(self, **options) -> DataFrame:
         """Baselines over all stored days, without a look at any event."""
         return merged(self.read(), **options)
+
+
+SKETCHES_SCHEMA = "entity_type string, entity_value string, metric_name string, class_uid int, day date, sketch binary"
+
+
+class SketchStore:
+    """Distinct-count sketches of each entity and day, kept like moments: a day's update rewrites that day only."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
+        self.table = BucketedTable(spark, root, SKETCHES_SCHEMA, [*KEYS, "day"], day_bucket, buckets)
+
+    def read(self) -> DataFrame:
+        return self.table.read()
+
+    def put_days(self, sketches: DataFrame) -> DataFrame:
+        """Store the sketches of whole days; returns all."""
+        return self.table.upsert(sketches)

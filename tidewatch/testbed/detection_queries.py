@@ -116,6 +116,16 @@ def rules_confirmed(spark, sf):
     return rules.list_rules(_rules(spark, sf), confirmed_only=True).select("rule_id", "version")
 
 
+@query(
+    "rules_export",
+    "SELECT rule_id, version, CASE WHEN confirmed THEN sha256(yaml_content) END AS exported_sha256, NOT confirmed AS refused FROM rules",
+    "rules",
+)
+def rules_export(spark, sf):
+    """What an export of every rule gives: the text, or a refusal where the latest version is not confirmed."""
+    return rules.exports(_rules(spark, sf)).select("rule_id", "version", F.sha2("exported", 256).alias("exported_sha256"), "refused")
+
+
 @query(
     "rule_counts",
     "SELECT count(*) AS rules_stored, count(*) FILTER (confirmed) AS rules_confirmed FROM rules",
@@ -420,6 +430,18 @@ def page_2(spark, sf):
     return page.select("event_id", F.lit(pages).cast("bigint").alias("total_pages"))
 
 
+@query(
+    "page_deep",
+    "SELECT event_id, (SELECT CAST(ceil(count(*) / 50.0) AS BIGINT) FROM ev) AS total_pages FROM ev "
+    "ORDER BY event_time, event_id LIMIT 50 OFFSET (SELECT CAST(ceil(count(*) / 50.0) AS BIGINT) * 50 - 150 FROM ev)",
+    "ev",
+)
+def page_deep(spark, sf):
+    """The last page but two, out of the one part of the sorted result that holds it."""
+    index = system.PageIndex(security_events(spark, sf), order=("time", "event_id"), parts=8)
+    return index.page(index.pages - 3).select("event_id", F.lit(index.pages).cast("bigint").alias("total_pages"))
+
+
 @query(
     "page_after",
     "SELECT event_id FROM ev WHERE event_time >= TIMESTAMP '2024-01-15' ORDER BY event_time, event_id LIMIT 50",
@@ -457,3 +479,18 @@ def intent_decode(spark, sf):
         "intent.time_range_hours",
         "intent.confidence",
     )
+
+
+@query(
+    "intent_valid",
+    """
+    SELECT event_id, CAST(class_uid AS INT) AS class_uid, 'src_endpoint.ip eq ' || src_ip AS filters
+    FROM flat WHERE event_id % 7 <> 0 AND event_id % 5 <> 0
+    """,
+    "flat",
+)
+def intent_valid(spark, sf):
+    """Decoded queries that pass the gate: those that name a class."""
+    valid = intents.runnable_intents(intents.decode_intents(derived.sql(spark, sf, derived.INTENT_SQL, "flat")))
+    filters = F.array_join(F.transform("intent.filters", lambda f: F.concat_ws(" ", f["field_path"], f["operator"], f["value"])), ";")
+    return valid.select("event_id", "intent.class_uid", filters.alias("filters"))

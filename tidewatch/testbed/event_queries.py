@@ -6,12 +6,12 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import anomalies, baselines, events as event_ops, filters, metrics, moments, normalize, techniques, timeline
+from tidewatch.operators import anomalies, baselines, events as event_ops, filters, metrics, moments, normalize, sketches, techniques, timeline
 from tidewatch.operators.filters import FieldFilter
 from tidewatch.plans import behaviour
-from tidewatch.registry import MetricRegistry
+from tidewatch.registry import MetricDefinition, MetricRegistry
 from tidewatch.session import scratch_path, settled
-from tidewatch.sources.baselines import BaselineStore, MomentStore
+from tidewatch.sources.baselines import BaselineStore, MomentStore, SketchStore
 from tidewatch.sources.store import EventStore
 from tidewatch.testbed.adapter import REGISTRY, flat_events, nest, security_events
 from tidewatch.testbed.catalog import oracle, query
@@ -609,6 +609,33 @@ def baseline_merge_hourly(spark, sf):
     return _rounded(store.baselines())
 
 
+_BY_SOURCE = MetricDefinition("bytes_values", 3001, "source", "metadata.log_source", "distinct_field_count", "network.bytes_out")
+
+
+@query(
+    "distinct_sketch_days",
+    """
+    SELECT log_source AS entity_value, count(DISTINCT bytes_out) AS values, true AS days_within_2_percent, true AS one_pass_within_2_percent
+    FROM ev WHERE class_uid = 3001 GROUP BY log_source
+    """,
+    "ev",
+)
+def distinct_sketch_days(spark, sf):
+    """Sketches of days, stored and united, against the exact number and against one pass over all events."""
+    rows = security_events(spark, sf)
+    store = SketchStore(spark, scratch_path(spark, "sketches"))
+    cut = F.lit("2024-01-15").cast("timestamp")
+    for part in (rows.where(F.col("time") < cut), rows.where(F.col("time") >= cut)):
+        store.put_days(sketches.daily_sketches(part, _BY_SOURCE))
+    united = sketches.distinct_counts(store.read()).select("entity_value", F.col("value").alias("days"))
+    once = sketches.distinct_counts_once(rows, _BY_SOURCE).withColumnRenamed("value", "once")
+    exact = metrics.metric_by_entity(rows, _BY_SOURCE).join(united, "entity_value").join(once, "entity_value")
+    near = lambda name: F.abs(F.col(name) - F.col("value")) <= 0.02 * F.col("value")
+    return exact.select(
+        "entity_value", F.col("value").cast("bigint").alias("values"), near("days").alias("days_within_2_percent"), near("once").alias("one_pass_within_2_percent")
+    )
+
+
 @query(
     "baseline_lookup",
     f"""
