@@ -270,4 +270,35 @@ def test_chat_typed_parts():
     assert chat_format.flatten("[not json", typed=True).text == "\\[not json"
     assert np.all([chat_format.unescape(chat_format.escape(x)) == x for x in ("\\", "[]{}<>", "\\\\[", "a\nb")])
     with pytest.raises(ValueError):
-        chat_format.flatten('[{"type":"video"}]', typed=True)
+        chat_format.flatten('[{"type":"video"}]', typed=True, strict=True)
+
+
+@pytest.mark.parametrize(
+    ("part", "text", "kind", "tokens"),
+    [
+        ('{"type":"video","url":"v"}', "{other 0}", "other", 0),
+        ('{"type":null}', "{other 0}", "other", 0),
+        ('{"type":["image"]}', "{other 0}", "other", 0),
+        ('{"type":"image","width":"56","height":"x"}', "{image 0}", "image", 2),
+        ('{"type":"image","width":-5,"height":true}', "{image 0}", "image", 1),
+        ('{"type":"image","width":1e400,"height":[28]}', "{image 0}", "image", 1),
+        ('{"type":"audio","seconds":"1.5"}', "{audio 0}", "audio", 38),
+        ('{"type":"audio","seconds":{}}', "{audio 0}", "audio", 0),
+        ('{"type":"document","pages":null,"url":{"a":1}}', "{document 0}", "document", 512),
+        ('{"type":"text","text":{"a":"<"}}', '\\{"a": "\\<"}', None, None),
+        ('{"text":"half \\ud800 pair"}', "half ? pair", None, None),
+    ],
+)
+def test_chat_bad_parts_have_a_result(spark, part, text, kind, tokens):
+    flat = chat_format.flatten(f"[{part}]", typed=True)
+    assert flat.text == text
+    assert [(a["kind"], a["tokens"]) for a in flat.attachments] == ([(kind, tokens)] if kind else [])
+
+
+def test_chat_bad_rows_do_not_end_the_job(spark):
+    deep = "[" * 100_000
+    contents = ['[{"type":"video"}]', '[{"type":"image","width":"w","url":7}]', '["no object"]', "[1", deep, None, '[{"text":"\\ud800"}]']
+    rows = spark.createDataFrame([(1, i, "user", c) for i, c in enumerate(contents)] + [(None, 0, None, "x"), (None, 0, None, "x")], "conv_id bigint, turn int, role string, text string")
+    turns = chat_format.format_turns(rows, typed=True).collect()
+    assert len(turns) == len(contents) + 2
+    assert [(a["kind"], a["ref"]) for t in sorted(turns, key=lambda t: (t["conv_id"] or 0, t["seq"])) for a in t["attachments"]] == [("other", None), ("image", "7")]

@@ -20,7 +20,10 @@ but never its memory.)
 
 Defined cases: a null text is empty, a null role is the empty role; turns of equal number
 are ordered by role and text; nulls in conv_id form a conversation of their own; an empty
-table has no conversation; further columns are ignored.
+table has no conversation; further columns are ignored. A content that is no JSON list of objects is plain text. A
+part of an unknown type becomes an attachment of kind ``other`` with 0 tokens; a size that is no finite number of at
+least 0 (also one given as text that is none) counts as missing; a text or reference that is no string is
+taken as its JSON text. With ``strict`` an unknown type is an error instead.
 """
 
 from __future__ import annotations
@@ -55,6 +58,27 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
+# No attachment is larger; greater sizes count as missing, like other impossible ones.
+_LARGEST = 1e9
+
+
+def _number(value) -> float | None:
+    """A size as a number, also if it is given as text; None if it is none."""
+    try:
+        number = float(value) if isinstance(value, (int, float, str)) and not isinstance(value, bool) else -1.0
+    except (ValueError, OverflowError):
+        return None
+    return number if 0 <= number <= _LARGEST else None
+
+
+def _text(value) -> str | None:
+    """A string as it is (halves of surrogate pairs replaced), other values as JSON; None stays."""
+    if value is None:
+        return None
+    text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return text.encode("utf-8", "replace").decode()
+
+
 @dataclass
 class Flattened:
     """Escaped text with placeholders, and the attachments in their order."""
@@ -66,43 +90,46 @@ class Flattened:
 class PartVisitor:
     """Visits typed parts in order; one method for each type."""
 
-    def __init__(self, first: int = 0):
-        self.out, self.first = Flattened(), first
+    def __init__(self, first: int = 0, strict: bool = False):
+        self.out, self.first, self.strict = Flattened(), first, strict
 
     def visit(self, part: dict) -> None:
         kind = part.get("type", "text")
         method = getattr(self, f"visit_{kind}", None)
-        if method is None:
+        if method is None and self.strict:
             raise ValueError(f"unknown part type: {kind}")
-        method(part)
+        (method or self.visit_other)(part)
 
     def visit_text(self, part: dict) -> None:
-        self.out.text += escape(part.get("text") or "")
+        self.out.text += escape(_text(part.get("text")) or "")
 
     def visit_image(self, part: dict) -> None:
-        across, down = (math.ceil((part.get(side) or PATCH) / PATCH) for side in ("width", "height"))
+        across, down = (math.ceil((_number(part.get(side)) or PATCH) / PATCH) for side in ("width", "height"))
         self._attach("image", part, across * down)
 
     def visit_audio(self, part: dict) -> None:
-        self._attach("audio", part, math.ceil((part.get("seconds") or 0) * TOKENS_PER_SECOND))
+        self._attach("audio", part, math.ceil((_number(part.get("seconds")) or 0) * TOKENS_PER_SECOND))
 
     def visit_document(self, part: dict) -> None:
-        self._attach("document", part, (part.get("pages") or 1) * TOKENS_PER_PAGE)
+        self._attach("document", part, math.ceil(_number(part.get("pages")) or 1) * TOKENS_PER_PAGE)
+
+    def visit_other(self, part: dict) -> None:
+        self._attach("other", part, 0)
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
         number = self.first + len(self.out.attachments)
         self.out.text += "{" + f"{kind} {number}" + "}"
-        self.out.attachments.append({"number": number, "kind": kind, "ref": part.get("url") or part.get("ref"), "tokens": tokens})
+        self.out.attachments.append({"number": number, "kind": kind, "ref": _text(part.get("url") or part.get("ref")), "tokens": tokens})
 
 
-def flatten(content: str | None, typed: bool = False, first: int = 0) -> Flattened:
+def flatten(content: str | None, typed: bool = False, first: int = 0, strict: bool = False) -> Flattened:
     """A turn's content as escaped text with placeholders; ``first`` is the number of its first attachment."""
-    visitor = PartVisitor(first)
+    visitor = PartVisitor(first, strict)
     parts = None
     if typed and content and content.lstrip().startswith("["):
         try:
             parts = json.loads(content)
-        except ValueError:
+        except (ValueError, RecursionError):
             parts = None
         if not (isinstance(parts, list) and all(isinstance(p, dict) for p in parts)):
             parts = None
