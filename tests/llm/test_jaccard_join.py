@@ -95,3 +95,11 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901), (950, 950)], "a bigint, b bigint")
     roots = {r["node"]: r["root"] for r in components(links).collect()}
     assert roots == {i: 0 for i in range(201)} | {900: 900, 901: 900}
+
+
+def test_columns_with_the_operators_own_names(spark):
+    rows = [(1, "a b c d e f g", 1, 2, "x"), (2, "a b c d e f g", 3, 4, "y"), (3, "other words here", 5, 6, "z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _stays int, STAYS int, component_id string")
+    kept = jaccard_join.one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]

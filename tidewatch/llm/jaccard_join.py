@@ -277,6 +277,8 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
 
     Of equal rows (doc_id and text) one stays; rows with a null doc_id all stay.
     """
-    stay = join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    kept = docs.join(stay, F.col("doc_id").cast("bigint") == F.col("_stays"), "left_semi").dropDuplicates(["doc_id", "text"])
+    taken = {c.lower() for c in docs.columns}
+    name = next(n for n in ("stays" + "_" * i for i in range(len(taken) + 1)) if n not in taken)
+    stay = join(docs).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(stay, F.col("doc_id").cast("bigint") == F.col(name), "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where("doc_id IS NULL"))
