@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
 from tidewatch.operators import indicators, parse, rules, techniques
+from tidewatch.operators.normalize import MappingRegistry
+from tidewatch.plans.ingest import ingest_lines
 from tidewatch.plans.investigate import run_event_query
 from tidewatch.session import scratch_path, settled
 from tidewatch.sources import indicators as indicator_source
@@ -262,3 +265,54 @@ def stream_anomalies(spark, sf):
         F.round("z_score", 3).alias("z_score"),
         "is_anomaly",
     )
+
+
+_PLAIN = r"[^\x20-\x7e\x{a1}-\x{ff}]"
+
+
+@query(
+    "read_latin1_files",
+    f"""
+    SELECT CAST(doc_id AS STRING) AS doc_id, sha256(CAST(doc_id AS STRING) || ' ' || regexp_replace(coalesce(text, ''), '{_PLAIN}', ' ', 'g') || ' .') AS line_sha256
+    FROM documents
+    """,
+)
+def read_latin1_files(spark, sf):
+    """One folder with files in UTF-8 and files in latin-1: each is read in its own encoding."""
+    docs = table(spark, sf, "documents")
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), _PLAIN, " ")
+    lines = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(" "), plain, F.lit(" .")).alias("value"), (F.col("lang") == "en").alias("en"))
+    path = scratch_path(spark, "encodings")
+    english = F.coalesce("en", F.lit(True))
+    lines.where(english).select("value").repartition(2).write.text(f"{path}/utf8")
+    latin = lines.where(~english).select("value").repartition(3)
+    raw = {"encoding": "ISO-8859-1", "sep": "\x01", "quote": "\x00", "escape": "\x00", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    latin.write.options(**raw).csv(f"{path}/latin1")
+    read = read_lines(spark, [f"{path}/utf8", f"{path}/latin1"])
+    return read.select(F.split_part("value", F.lit(" "), F.lit(1)).alias("doc_id"), F.sha2("value", 256).alias("line_sha256"))
+
+
+@query(
+    "ingest_audit_trail",
+    """
+    SELECT 'query' AS kind, 'DROPPED_FIELDS:user' AS text, CAST(3002 AS INT) AS class_uid, CAST(NULL AS BIGINT) AS events, false AS success
+    UNION ALL SELECT 'ingest', 'apache', 3002, count(*), true FROM flat WHERE event_id % 50 <> 0
+    """,
+    "flat",
+)
+def ingest_audit_trail(spark, sf):
+    """What an ingest leaves in the audit: the fields its mapping names but the class does not have, and the run itself."""
+    path = scratch_path(spark, "ingest-audit")
+    audit = AuditLog(spark, f"{path}/audit")
+    store = EventStore(spark, f"{path}/events", REGISTRY, audit)
+    known = MappingRegistry.default().get("apache", 3002)
+    mappings = MappingRegistry()
+    mappings.register_mapping("apache", 3002, replace(known, fields={**known.fields, "user": "process.name"}))
+    ingest_lines(derived.lines(spark, sf, derived.APACHE_LINES_SQL), "apache", 3002, store, mappings, run_id="run-1", ingest_time=_AT)
+    asked = audit.query_history().select(
+        F.lit("query").alias("kind"), F.col("sql_template").alias("text"), F.col("event_class").alias("class_uid"), F.lit(None).cast("bigint").alias("events"), "success"
+    )
+    run = audit.ingest_history().select(
+        F.lit("ingest").alias("kind"), F.col("source_format").alias("text"), "class_uid", F.col("event_count").alias("events"), F.lit(True).alias("success")
+    )
+    return asked.unionByName(run)
