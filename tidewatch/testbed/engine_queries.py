@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+import atexit
+import json
+import os
+import tempfile
+from dataclasses import asdict, replace
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import indicators, parse, rules, techniques
+from tidewatch.operators import events as event_ops
+from tidewatch.operators import indicators, metrics, parse, rules, techniques
 from tidewatch.operators.normalize import MappingRegistry
 from tidewatch.plans.ingest import ingest_lines
 from tidewatch.plans.investigate import run_event_query
+from tidewatch.registry import FieldRegistry, MetricRegistry
 from tidewatch.session import scratch_path, settled
 from tidewatch.sources import indicators as indicator_source
 from tidewatch.sources.audit import AuditLog
@@ -316,3 +322,35 @@ def ingest_audit_trail(spark, sf):
         F.lit("ingest").alias("kind"), F.col("source_format").alias("text"), "class_uid", F.col("event_count").alias("events"), F.lit(True).alias("success")
     )
     return asked.unionByName(run)
+
+
+def _document(list_key: str, definitions) -> str:
+    """A registry document in a file of the driver, which alone reads it."""
+    with tempfile.NamedTemporaryFile("w", suffix=".json", delete=False) as out:
+        json.dump({"version": "1.0", list_key: [asdict(d) for d in definitions]}, out)
+    atexit.register(os.unlink, out.name)
+    return out.name
+
+
+@query("metrics_from_json", ORACLES["metrics_all"])
+def metrics_from_json(spark, sf):
+    """All metrics as a document declares them."""
+    loaded = MetricRegistry.from_json(_document("metrics", MetricRegistry.default().all()))
+    return metrics.all_metrics(security_events(spark, sf), loaded.all()).withColumn("value", F.round("value", 4))
+
+
+@query(
+    "class_fields_from_json",
+    "SELECT strftime(event_time, '%Y-%m-%d %H:%M:%S') AS time, src_ip, dst_ip, dst_port, bytes_out FROM ev WHERE class_uid = 3001",
+    "ev",
+)
+def class_fields_from_json(spark, sf):
+    """The fields of a class as a document declares them, one of which it takes from the class."""
+    definitions = [REGISTRY.get_field_definition(p) for p in REGISTRY.paths]
+    without = [replace(d, applicable_classes=tuple(c for c in d.applicable_classes if c != 3001)) if d.field_path == "network.bytes_in" else d for d in definitions]
+    loaded = FieldRegistry.from_json(_document("fields", without))
+    flat = event_ops.class_projection(security_events(spark, sf), 3001, loaded)
+    if "network.bytes_in" in flat.columns or set(loaded.paths) != set(REGISTRY.paths):
+        raise ValueError("the document was not read as it was written")
+    names = {"src_endpoint.ip": "src_ip", "dst_endpoint.ip": "dst_ip", "dst_endpoint.port": "dst_port", "network.bytes_out": "bytes_out"}
+    return flat.select(as_text_time("time").alias("time"), *[F.col(f"`{path}`").alias(name) for path, name in names.items()])
