@@ -16,8 +16,8 @@ a corpus in one array needs it all in one place, so windows are first parted, ex
    has WINDOW bytes are repeated windows.
 4. A key with more than ``WIDE`` different segments (text that very many documents have,
    each with other words around it) never meets in one task: its windows are counted
-   one by one, by 128-bit hashes. Equal windows that a task meets travel as one row, so a window that stands
-   everywhere (or over and over in one text) is a few rows for each task.
+   one by one, by 128-bit hashes, and looked up in the files of those that repeat. Equal windows that a task meets
+   travel once, so a window that stands everywhere (or over and over in one text) is a few entries for each task.
 
 Defined cases: null and empty texts have no bytes; texts shorter than a window lose
 nothing; equal rows are copies of each other; a null doc_id is a document like others in
@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidewatch.llm.common import BYTE_VALUES, chunks, column, encoded, mix, settle
+from tidewatch.llm.shards import each_shard, mapped, write_shards
+from tidewatch.session import scratch_path
 
 WINDOW = 400
 
@@ -50,6 +52,8 @@ LONGEST_RUN = 1024
 # Bytes sorted at once, and the most different segments of a key that are sorted together.
 BATCH_BYTES = 60_000
 WIDE = 400
+# Windows of wide keys for each shard of their hashes, about.
+SHARD_WINDOWS = 2_000_000
 _CHUNK = 500_000
 
 
@@ -305,64 +309,89 @@ def _sorted_batches(parts: DataFrame, window: int) -> DataFrame:
     return parts.repartition("key").sortWithinPartitions("key").mapInArrow(run, f"key bigint, content bigint, runs {_RUNS}")
 
 
-_PLACE = np.dtype([("key", "<i8"), ("content", "<i8"), ("at", "<i4")])
+_WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("n", "<i8")])
+_WINDOW_RUNS = f"key bigint, content bigint, runs {_RUNS}"
+
+
+def _window_hashes(data: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
+    a = np.frombuffer(data, np.uint8)
+    return _grown_hashes(a, window), _grown_hashes(a ^ np.uint8(0x5A), window)
+
+
+def _window_counts(one: np.ndarray, two: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The different windows in order, with the sums of their counts."""
+    order = np.lexsort((two, one))
+    one, two, n = one[order], two[order], n[order]
+    heads = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+    out = np.zeros(len(heads), _WINDOW)
+    out["h1"], out["h2"], out["n"] = one[heads], two[heads], np.add.reduceat(n, heads)
+    return out
 
 
 def _counted_windows(parts: DataFrame, window: int) -> DataFrame:
-    """The same for keys with very many different segments: each window by itself, counted by hash."""
+    """The same for keys with very many different segments: each window by itself, counted by hash.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The different windows that a task meets in a batch travel in one packed row for each shard of hashes; those that stand in
+    two places become sorted files, which the segments' tasks map and look their windows up in.
+    """
+    total = parts.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    spark = parts.sparkSession
+    if not total:
+        return spark.createDataFrame([], _WINDOW_RUNS)
+    shards = 1 + int(total) // SHARD_WINDOWS
+    shard_of = lambda one: ((one >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, places = [], []
-            for k, c, data in zip(*(column(batch, n).to_pylist() for n in ("key", "content", "bytes")), strict=True):
-                a = np.frombuffer(data, np.uint8)
-                hashes.append(np.stack([_grown_hashes(a, window), _grown_hashes(a ^ np.uint8(0x5A), window)]))
-                own = np.zeros(hashes[-1].shape[1], _PLACE)
-                own["key"], own["content"], own["at"] = k, c, np.arange(len(own))
-                places.append(own)
-            if not hashes:
+            got = [_window_hashes(data, window) for data in column(batch, "bytes").to_pylist()]
+            if not got:
                 continue
-            one, two = np.concatenate(hashes, axis=1)
-            order = np.lexsort((two, one))
-            one, two = one[order], two[order]
-            heads = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
-            ends = np.append(heads[1:], len(one))
-            blob, size = np.concatenate(places)[order].tobytes(), _PLACE.itemsize
-            members = pa.Array.from_buffers(pa.large_binary(), len(heads), [None, pa.py_buffer(np.append(heads, len(one)) * size), pa.py_buffer(blob)])
-            for at in range(0, len(heads), 100_000):
-                part = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(one[heads][part].view(np.int64)), pa.array(two[heads][part].view(np.int64)), pa.array((ends - heads)[part]), members[part].cast(pa.binary())],
-                    names=["h1", "h2", "n", "members"],
-                )
-
-    windows = parts.mapInArrow(run, "h1 bigint, h2 bigint, n bigint, members binary")
-    again = windows.groupBy("h1", "h2").agg(F.sum("n").alias("times")).where("times > 1").drop("times")
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = np.frombuffer(b"".join(column(batch, "members").to_pylist()), _PLACE)
-            got = got[np.lexsort((got["at"], got["content"], got["key"]))]
-            heads = np.flatnonzero(np.append(True, (got["key"][1:] != got["key"][:-1]) | (got["content"][1:] != got["content"][:-1]))) if len(got) else []
-            ends = np.append(heads[1:], len(got)) if len(got) else []
+            one, two = (np.concatenate(x) for x in zip(*got, strict=True))
+            counts = _window_counts(one, two, np.ones(len(one), np.int64))
+            cuts = np.searchsorted(shard_of(counts["h1"]), np.arange(shards + 1))
+            own = np.flatnonzero(np.diff(cuts))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(got["key"][heads] if len(got) else [], pa.int64()),
-                    pa.array(got["content"][heads] if len(got) else [], pa.int64()),
-                    pa.array([got["at"][a:b].tobytes() for a, b in zip(heads, ends, strict=True)], pa.binary()),
-                ],
-                names=["key", "content", "places"],
+                [pa.array(own, pa.int32()), pa.array([counts[cuts[s] : cuts[s + 1]].tobytes() for s in own], pa.binary())], names=["shard", "windows"]
             )
 
-    found = windows.join(again, ["h1", "h2"], "left_semi").select("members").mapInArrow(unpack, "key bigint, content bigint, places binary")
-    repeated = found.groupBy("key", "content").agg(F.collect_list("places").alias("places"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(rows: pa.Table) -> dict[str, np.ndarray]:
+        got = np.concatenate([np.frombuffer(x.as_buffer(), _WINDOW) for x in rows["windows"]])
+        counts = _window_counts(got["h1"], got["h2"], got["n"])
+        counts = counts[counts["n"] > 1]
+        return {"h1": np.ascontiguousarray(counts["h1"]), "h2": np.ascontiguousarray(counts["h2"])}
+
+    paths = write_shards(parts.mapInArrow(count, "shard int, windows binary"), scratch_path(spark, "suffix-windows"), "suffix-window-shards", make)
+
+    def repeated(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(one), bool)
+        for s, at in each_shard(shard_of(one)):
+            known = mapped(paths[s][0])
+            n = len(known["h1"])
+            place = np.searchsorted(known["h1"], one[at])
+            open_ = np.flatnonzero(place < n)
+            while len(open_):  # windows with equal first hashes stand side by side
+                open_ = open_[known["h1"][place[open_]] == one[at[open_]]]
+                hit = known["h2"][place[open_]] == two[at[open_]]
+                out[at[open_[hit]]] = True
+                open_ = open_[~hit]
+                place[open_] += 1
+                open_ = open_[place[open_] < n]
+        return out
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = [_runs(np.sort(np.frombuffer(b"".join(p), np.int32).astype(np.int64))) for p in column(batch, "places").to_pylist()]
-            yield pa.RecordBatch.from_arrays([column(batch, "key"), column(batch, "content"), pa.array(runs, _RUNS_KIND)], names=["key", "content", "runs"])
+            got = [_window_hashes(data, window) for data in column(batch, "bytes").to_pylist()]
+            if not got:
+                continue
+            ends = np.cumsum([0] + [len(one) for one, _ in got])
+            again = repeated(*(np.concatenate(x) for x in zip(*got, strict=True)))
+            runs = [_runs(np.flatnonzero(again[a:b])) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            own = pa.array([i for i, r in enumerate(runs) if r], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, "key").take(own), column(batch, "content").take(own), pa.array([r for r in runs if r], _RUNS_KIND)], names=["key", "content", "runs"]
+            )
 
-    return repeated.mapInArrow(pack, f"key bigint, content bigint, runs {_RUNS}")
+    return parts.mapInArrow(look_up, _WINDOW_RUNS)
 
 
 def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -381,7 +410,8 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     mixed = open_.where("NOT equal")
     one = F.min(F.struct("doc_id", "text_hash", "first", "windows"))
     different = settle(mixed.groupBy("key", "content").agg(F.count("*").alias("times"), one.alias("one")), "suffix-different")
-    wide = different.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > WIDE).select("key", F.lit(True).alias("is_wide"))
+    # Settled, so that Spark knows how small it is (at most one row for WIDE rows of ``different``).
+    wide = settle(different.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > WIDE).select("key", F.lit(True).alias("is_wide")), "suffix-wide")
     wanted = different.join(wide, "key", "left").select(
         "key",
         "content",
