@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tidewatch.errors import PartitionNotFoundError, ReplaySessionNotFoundError
 from tidewatch.operators import indicators as I
 from tidewatch.plans.ingest import failure_summary, ingest_files, ingest_lines
-from tidewatch.plans.investigate import run_event_query, run_spec
+from tidewatch.plans.investigate import event_query, run_event_query, run_spec
 from tidewatch.operators.filters import FieldFilter, QuerySpec
 from tidewatch.sources import indicators as S
 from tidewatch.sources.audit import AuditLog
@@ -268,3 +268,37 @@ def test_large_lists_touch_only_events_that_may_hit(spark, make_events):
     for branch in plan.split("Exchange hashpartitioning")[1:]:
         assert "getbit" in branch or "indicators-present" in branch or "indicator-values" in branch
     assert I.mark_indicators(events, listed, max_bytes=0).count() == 2000
+
+
+def rows_read(df):
+    """Rows that the file scan of a query handed on, after whole row groups were left out."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaf = (plan.executedPlan() if plan.getClass().getSimpleName().startswith("AdaptiveSpark") else plan).collectLeaves().head()
+    return leaf.metrics().get("numOutputRows").get().value()
+
+
+def test_a_needle_is_found_in_few_row_groups(spark, make_events, tmp_path):
+    n = 20_000
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    before = hadoop.get("parquet.block.size")
+    hadoop.set("parquet.block.size", "65536")
+    try:
+        store = EventStore(spark, str(tmp_path / "needles"))
+        flat = spark.range(n).select(
+            F.lit(3001).alias("class_uid"),
+            F.concat(F.lit("10."), (F.col("id") % 97).cast("string"), F.lit("."), (F.col("id") * 31 % 5003).cast("string")).alias("ip"),
+            F.concat(F.lit("192.168."), (F.col("id") * 7919 % n).cast("string")).alias("dst"),
+        )
+        events = make_events([{"class_uid": 3001}]).drop("id").crossJoin(flat.select("ip", "dst")).withColumns(
+            {"src_endpoint": F.col("src_endpoint").withField("ip", F.col("ip")), "dst_endpoint": F.col("dst_endpoint").withField("ip", F.col("dst"))}
+        ).drop("ip", "dst")
+        assert store.append(events, run_id="r") == n
+        wanted = flat.where("id = 4711").first()
+        by_source = event_query(store, 3001, {"src_endpoint.ip": wanted.ip})
+        by_target = event_query(store, 3001, {"dst_endpoint.ip": wanted.dst})
+        assert by_source.count() == flat.where(F.col("ip") == wanted.ip).count() and by_target.count() == 1
+        assert 0 < rows_read(by_source.select("time", "src_endpoint.ip")) < n / 4  # sorted: few row groups can hold it
+        assert 0 < rows_read(by_target.select("time", "dst_endpoint.ip")) < n / 2  # not sorted by it: the Bloom filters tell
+    finally:
+        hadoop.set("parquet.block.size", before or "134217728")

@@ -15,7 +15,7 @@ from tidewatch.operators import events as event_ops
 from tidewatch.operators import indicators, metrics, parse, rules, techniques
 from tidewatch.operators.normalize import MappingRegistry
 from tidewatch.plans.ingest import ingest_lines
-from tidewatch.plans.investigate import run_event_query
+from tidewatch.plans.investigate import event_query, run_event_query
 from tidewatch.registry import FieldRegistry, MetricRegistry
 from tidewatch.session import scratch_path, settled
 from tidewatch.sources import indicators as indicator_source
@@ -119,6 +119,17 @@ def store_time_range(spark, sf):
     return found.groupBy(F.col("actor.user.name").alias("user_name")).agg(F.count(F.lit(1)).alias("events"))
 
 
+@query(
+    "store_needle",
+    "SELECT strftime(event_time, '%Y-%m-%d %H:%M:%S') AS time, dst_ip, bytes_out FROM ev WHERE class_uid = 3001 AND src_ip = '10.0.0.17'",
+    "ev",
+)
+def store_needle(spark, sf):
+    """A single value, in a store whose files are sorted by the field and have Bloom filters of it."""
+    found = event_query(_filled_store(spark, sf, "needle"), 3001, {"src_endpoint.ip": "10.0.0.17"})
+    return found.select(as_text_time("time").alias("time"), F.col("dst_endpoint.ip").alias("dst_ip"), F.col("network.bytes_out").alias("bytes_out"))
+
+
 @query(
     "event_query_audit",
     "SELECT CAST(3002 AS INT) AS event_class, true AS success, count(*) AS row_count FROM ev WHERE class_uid = 3002 AND http_code = 500 "
