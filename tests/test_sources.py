@@ -201,9 +201,9 @@ def test_slower_baseline_writer_fails(spark, tmp_path):
     store = BaselineStore(spark, str(tmp_path / "b"))
     store.upsert(rows("1"))
     assert store.upsert(rows("2")).count() == 2
-    current = store._current()
-    create_text(spark, f"{store.root}/current/{3:012d}.txt", "other")
-    store._current = lambda: current
+    current = store.table.manifest()
+    create_text(spark, f"{store.table.root}/current/{3:012d}.txt", "other")
+    store.table.manifest = lambda: current
     with pytest.raises(ConcurrentUpdateError):
         store.upsert(rows("3"))
 
