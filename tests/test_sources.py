@@ -302,3 +302,15 @@ def test_a_needle_is_found_in_few_row_groups(spark, make_events, tmp_path):
         assert 0 < rows_read(by_target.select("time", "dst_endpoint.ip")) < n / 2  # not sorted by it: the Bloom filters tell
     finally:
         hadoop.set("parquet.block.size", before or "134217728")
+
+
+def test_a_registry_without_the_sorted_fields(spark, tmp_path):
+    from tidewatch.registry import FieldRegistry
+    from tidewatch.sources.store import _has_field
+
+    full = FieldRegistry.default()
+    registry = FieldRegistry([full.get_field_definition(p) for p in full.paths if not p.startswith(("src_endpoint", "actor"))])
+    store = EventStore(spark, str(tmp_path / "few"), registry)
+    assert not _has_field(store.event_schema(), "src_endpoint.ip") and _has_field(store.event_schema(), "dst_endpoint.ip")
+    events = spark.sql("SELECT 3001 AS class_uid, 1 AS activity_id, 1 AS severity_id, timestamp'2026-01-01' AS time")
+    assert store.append(events, run_id="r") == 1 and store.scan(3001).count() == 1

@@ -213,14 +213,24 @@ CLUSTER_FIELDS = ("src_endpoint.ip", "actor.user.name")
 NEEDLE_FIELDS = ("src_endpoint.ip", "dst_endpoint.ip", "actor.user.name")
 
 
+def _has_field(schema: T.StructType, path: str) -> bool:
+    """Whether a registry of its own has kept the field."""
+    head, _, rest = path.partition(".")
+    if head not in schema.names:
+        return False
+    kind = schema[head].dataType
+    return not rest or (isinstance(kind, T.StructType) and _has_field(kind, rest))
+
+
 def write_partitions(rows: DataFrame, root: str, partitions: list[str]) -> None:
     """Overwrite only the partitions that occur in ``rows``.
 
     The writer sorts by partition anyway; the further sort columns ride along.
     """
-    blooms = {f"parquet.bloom.filter.enabled#{path}": "true" for path in NEEDLE_FIELDS}
+    blooms = {f"parquet.bloom.filter.enabled#{path}": "true" for path in NEEDLE_FIELDS if _has_field(rows.schema, path)}
+    cluster = [path for path in CLUSTER_FIELDS if _has_field(rows.schema, path)]
     (
-        rows.sortWithinPartitions(*partitions, *CLUSTER_FIELDS)
+        rows.sortWithinPartitions(*partitions, *cluster)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .options(**blooms, **{"parquet.bloom.filter.adaptive.enabled": "true"})
