@@ -48,6 +48,29 @@ def test_empty_sides(spark):
     assert K.find(rows.where("false"), some).collect() == []
 
 
+def test_absent_keywords_leave_before_grams_are_shuffled(spark):
+    """Far more grams than a filter of the former size held: only keywords that may occur are cut up."""
+    words = spark.range(400_000).select(F.concat(F.lit("10.0.0."), F.col("id").cast("string"), F.lit(" host1")).alias("keyword"))
+    texts = spark.range(3_000).select(F.concat(F.lit("a 10.0.0."), (F.col("id") % 50).cast("string"), F.lit(" host1 at "), (F.col("id") * 7919).cast("string")).alias("text"))
+    have = K.text_bits(texts, [4, 8, 16])
+    kept = K.may_occur(words, have)
+    assert 50 <= kept.count() < 4_000
+    found = K.find(texts, words).select(F.explode("hits").alias("w")).groupBy("w").count()
+    assert {r["w"]: r["count"] for r in found.collect()} == {f"10.0.0.{i} host1": 60 for i in range(50)}
+
+
+def test_long_texts_and_grams_over_pieces(spark, monkeypatch):
+    monkeypatch.setattr(K, "_PLACES", 7)
+    import pyarrow as pa
+
+    texts = ["", "ab", "é" * 9, "x" * 40, "0123456789abcdefghij"]
+    got = {size: 0 for size in (1, 2, 8, 16)}
+    for size, rows, hashes in K._grams(pa.array(["cut"] + texts)[1:], [1, 2, 8, 16]):
+        assert len(rows) == len(hashes)
+        got[size] += len(rows)
+    assert got == {n: sum(max(0, len(t.encode()) - n + 1) for t in texts) for n in got}
+
+
 def test_rows_keep_their_columns_and_copies(spark):
     rows = spark.createDataFrame([(1, "needle here", 2), (2, "needle here", 3), (3, None, 4)], "text_id int, line string, hit int")
     words = spark.createDataFrame([("needle",)], "keyword string")

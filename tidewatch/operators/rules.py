@@ -172,7 +172,7 @@ def with_keyword_hits(rows: DataFrame, words: DataFrame, text: str = "text", lit
     through ``keyword_search.find``; equal texts are searched once and known by a hash (the text itself is
     compared when hits are joined back).
     """
-    wanted = words.select("keyword").where("keyword <> ''").distinct()
+    wanted = settled(words.select("keyword").where("keyword <> ''").distinct(), "keywords")
     listed = wanted.limit(literal_keywords + 1).collect()
     if len(listed) <= literal_keywords:
         found = [F.when(F.contains(F.col(text), F.lit(w)), F.lit(w)) for w in sorted(row.keyword for row in listed)]
@@ -188,11 +188,12 @@ def with_keyword_hits(rows: DataFrame, words: DataFrame, text: str = "text", lit
 def keyword_sets(texts: DataFrame, words: DataFrame, literal_keywords: int = LITERAL_KEYWORDS) -> DataFrame:
     """(hits, n): per set of keywords that occur together in a ``text``, how many rows have it; the empty set included."""
     count = F.count(F.lit(1)).alias("n")
-    if len(words.select("keyword").distinct().limit(literal_keywords + 1).collect()) <= literal_keywords:
-        return with_keyword_hits(texts, words, literal_keywords=literal_keywords).groupBy("hits").agg(count)
+    wanted = settled(words.select("keyword").where("keyword <> ''").distinct(), "keywords")
+    if len(wanted.limit(literal_keywords + 1).collect()) <= literal_keywords:
+        return with_keyword_hits(texts, wanted, literal_keywords=literal_keywords).groupBy("hits").agg(count)
     # Rows are counted by text first, so no hit is joined back to them.
     counted = settled(texts.groupBy("text").agg(count), "keyword-texts")
-    return keyword_search.find(counted, words.select("keyword").where("keyword <> ''").distinct()).groupBy("hits").agg(F.sum("n").alias("n"))
+    return keyword_search.find(counted, wanted).groupBy("hits").agg(F.sum("n").alias("n"))
 
 
 def backtest_rules(
