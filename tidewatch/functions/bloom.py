@@ -18,6 +18,8 @@ BITS_PER_VALUE = 12
 LEAST_BITS = 1 << 12
 MOST_BITS = 1 << 24
 PROBES = 4
+# With fewer bits for a value a filter lets more than a sixth of other values through.
+LEAST_BITS_PER_VALUE = 4
 
 
 def _positions(value: Column, bits: int) -> list[Column]:
@@ -42,7 +44,16 @@ class BloomFilter:
 
 def build(values: DataFrame, column: str, label: str, most_bits: int = MOST_BITS) -> BloomFilter:
     """A filter of the column's values, sized by their number up to ``most_bits`` (a power of two)."""
+    return _build(values, column, label, most_bits, values.count())
+
+
+def build_if_useful(values: DataFrame, column: str, label: str, most_bits: int = MOST_BITS) -> BloomFilter | None:
+    """The same, or None if the values are too many for ``most_bits``."""
     count = values.count()
+    return _build(values, column, label, most_bits, count) if LEAST_BITS_PER_VALUE * count <= most_bits else None
+
+
+def _build(values: DataFrame, column: str, label: str, most_bits: int, count: int) -> BloomFilter:
     bits = LEAST_BITS
     while bits < min(most_bits, BITS_PER_VALUE * count):
         bits *= 2

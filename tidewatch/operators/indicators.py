@@ -31,12 +31,13 @@ def values_present(events: DataFrame, indicators: DataFrame) -> DataFrame:
     """The indicators that occur in the events at all.
 
     Event values are reduced to distinct ones before the shuffle, so a value that
-    fills the data counts once per input partition.
+    fills the data counts once per input partition. They are settled, so Spark knows their size: unless they are many,
+    the list is read in place and not shuffled.
     """
     values = events.select(F.explode(F.array(*[_field(p) for p in MATCH_FIELDS])).alias("ioc")).where(
         F.col("ioc").isNotNull()
     )
-    return values.distinct().join(indicators, "ioc", "left_semi")
+    return indicators.join(settled(values.distinct(), "event-values"), "ioc", "left_semi")
 
 
 def _with_matches(events: DataFrame, is_hit: list[Column]) -> DataFrame:
@@ -85,15 +86,17 @@ class LargeList:
     """An indicator list beyond the size that is broadcast, with a Bloom filter that events are tested against where they are read.
 
     Only events that may hit something take part in any shuffle. In batch they first cut the list down to the values that
-    occur among them; if that is small enough it is broadcast after all.
+    occur among them; if that is small enough it is broadcast after all. A list too long for the bits of a filter would set
+    almost all of them, so it gets none.
     """
 
     def __init__(self, wanted: DataFrame, max_bytes: int, most_bits: int = bloom.MOST_BITS):
         self.wanted, self.max_bytes = wanted, max_bytes
-        self.filter = bloom.build(wanted, "ioc", "indicator-bits", most_bits)
+        self.filter = bloom.build_if_useful(wanted, "ioc", "indicator-bits", most_bits)
 
     def may_hit(self) -> Column:
-        return reduce(or_, [self.filter.may_contain(_field(path)) for path in MATCH_FIELDS])
+        known = [_field(path) for path in MATCH_FIELDS]
+        return reduce(or_, [value.isNotNull() if self.filter is None else self.filter.may_contain(value) for value in known])
 
     def look_up(self, suspects: DataFrame) -> DataFrame:
         """Add ``ioc_matches`` to events that may hit something."""
@@ -112,11 +115,9 @@ class LargeList:
 
 
 def _small_or_large(indicators: DataFrame, max_bytes: int) -> tuple[DataFrame, LargeList | None]:
-    wanted = indicators.select("ioc").where("ioc IS NOT NULL").distinct()
-    if is_small(wanted, "ioc", max_bytes):
-        return wanted, None
-    wanted = settled(wanted, "indicator-list")
-    return wanted, LargeList(wanted, max_bytes)
+    # Settled before it is measured, so that making a long list is not done twice.
+    wanted = settled(indicators.select("ioc").where("ioc IS NOT NULL").distinct(), "indicator-list")
+    return wanted, None if is_small(wanted, "ioc", max_bytes) else LargeList(wanted, max_bytes)
 
 
 def mark_indicators(events: DataFrame, indicators: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
