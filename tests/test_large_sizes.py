@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import bloom
 from tidewatch.operators import indicators as I
+from tidewatch.testbed import engine_queries
 
 
 def _events(spark, n):
@@ -46,3 +47,22 @@ def test_a_long_list_is_made_once(spark):
     listed = spark.range(3_000).select(value.asNondeterministic()("id").alias("ioc"))
     assert I.indicator_hits(_events(spark, 3), listed, max_bytes=16).collect() == []
     assert made.value == 3_000
+
+
+def test_no_shuffle_before_files_are_written(spark, tmp_path, monkeypatch):
+    docs = spark.range(600).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("café "), F.repeat(F.col("id").cast("string"), 50)).alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("fr").alias("lang")
+    )
+    docs.repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    read, paths = engine_queries.read_lines, []
+    monkeypatch.setattr(engine_queries, "read_lines", lambda spark, given: paths.extend(given) or read(spark, given))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = engine_queries.read_latin1_files(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == 600
+    for path in paths:
+        files = spark.read.text(path).select(F.input_file_name()).distinct().count()
+        assert files >= 6

@@ -57,7 +57,7 @@ def parse_zeek_files(spark, sf):
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "\n").alias("lines")
     )
     path = scratch_path(spark, "zeek-files")
-    turns.select(F.concat_ws("\n", "header", "lines")).repartition(3).write.text(path)
+    turns.select(F.concat_ws("\n", "header", "lines")).write.text(path)
     parsed = parse.parse_zeek(read_lines(spark, path)).where("is_parsed")
     field = lambda name: parse.raw_field(parsed.schema, name)
     return parsed.select(field("uid").alias("uid"), field("id.orig_h").alias("src_ip"), field("id.resp_p").alias("dst_port"))
@@ -66,7 +66,7 @@ def parse_zeek_files(spark, sf):
 def _streamed_evtx(spark, sf):
     path = scratch_path(spark, "stream-evtx")
     records = derived.sql(spark, sf, derived.EVTX_SQL, "flat", "lines_base")
-    records.select(F.regexp_replace("value", "><", ">\n  <").alias("value")).repartition(3).write.text(f"{path}/logs")
+    records.select(F.regexp_replace("value", "><", ">\n  <").alias("value")).write.text(f"{path}/logs")
     store = EventStore(spark, f"{path}/store", REGISTRY)
     lines = stream_lines(spark, f"{path}/logs", source_format="evtx")
     start_ingest(lines, "evtx", 6003, store, f"{path}/checkpoint", ingest_time=_AT).awaitTermination()
@@ -156,7 +156,7 @@ def store_partitions(spark, sf):
 def ioc_hits_files(spark, sf):
     """Indicators read from files."""
     path = scratch_path(spark, "indicator-files")
-    derived.indicator_lines(spark, sf).select("value").repartition(3).write.text(path)
+    derived.indicator_lines(spark, sf).select("value").write.text(path)
     listed = indicator_source.distinct_indicators(indicator_source.read_indicators(spark, path))
     found = indicators.indicator_hits(security_events(spark, sf), listed)
     return found.select("event_id", F.array_join("ioc_matches", "|").alias("matches"))
@@ -301,8 +301,9 @@ def read_latin1_files(spark, sf):
     lines = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(" "), plain, F.lit(" .")).alias("value"), (F.col("lang") == "en").alias("en"))
     path = scratch_path(spark, "encodings")
     english = F.coalesce("en", F.lit(True))
-    lines.where(english).select("value").repartition(2).write.text(f"{path}/utf8")
-    latin = lines.where(~english).select("value").repartition(3)
+    # As many files as the table has splits, so no task writes more than one of them.
+    lines.where(english).select("value").write.text(f"{path}/utf8")
+    latin = lines.where(~english).select("value")
     raw = {"encoding": "ISO-8859-1", "sep": "\x01", "quote": "\x00", "escape": "\x00", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
     latin.write.options(**raw).csv(f"{path}/latin1")
     read = read_lines(spark, [f"{path}/utf8", f"{path}/latin1"])
